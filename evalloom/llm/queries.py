@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from evalloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from evalloom.llm.matroska import op6_matroska
+from evalloom.llm.packing import op2_packing
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_packing": op2_packing, "op6_matroska": op6_matroska}
 ORACLES = {"op1_exact_dedup": OP1_SQL}
