@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from evalloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from evalloom.llm.line_dedup import OP8_SQL, op8_line_dedup
 from evalloom.llm.matroska import op6_matroska
 from evalloom.llm.packing import op2_packing
+from evalloom.llm.secret_scan import OP5_SQL, op5_secret_scan
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_packing": op2_packing, "op6_matroska": op6_matroska}
-ORACLES = {"op1_exact_dedup": OP1_SQL}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_packing": op2_packing, "op5_secret_scan": op5_secret_scan, "op6_matroska": op6_matroska, "op8_line_dedup": op8_line_dedup}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_secret_scan": OP5_SQL, "op8_line_dedup": OP8_SQL}
