@@ -9,7 +9,9 @@ find their slot by binary search.
 
 from __future__ import annotations
 
+import array
 import os
+import re
 import zlib
 
 import numpy as np
@@ -22,48 +24,102 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import table, written
 
 SIZE = 2048
-#: Words that a worker remembers the ids of, before it begins anew.
-REMEMBERED = 300_000
+#: Words that a worker remembers the ids of, before it forgets the rarest.
+REMEMBERED = 500_000
 #: Documents encoded at once.
 SLICE = 1000
 
 
+#: A word of letters up to U+00FF and marks after it: such a word splits there, and lower-casing it is simple.
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%$#&*]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """For letters from U+0080 to U+00FF, how byte-level vocabularies write their UTF-8 bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    letter = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+_PROBES = ["the", "thonenanou", "élève", "straße", "%%%", "señorías", ".", "çà"]
+
+
+class _Places(dict):
+    """Numbers words in the order they come; fresh are those since it was last emptied."""
+
+    def __init__(self, words=()):
+        super().__init__((w, k) for k, w in enumerate(words))
+        self.fresh: list[str] = []
+
+    def __missing__(self, word):
+        self.fresh.append(word)
+        self[word] = place = len(self)
+        return place
+
+
 class WordEncoder:
-    """Encodes by words: in a tokenizer that never joins characters across white space, words can be encoded one by one. Ids are kept by word."""
+    """Encodes by words: in a tokenizer that never joins characters across white space, words can be encoded one by one.
+
+    Ids are kept by word. Beyond REMEMBERED words, those seen only once are forgotten. A new word made of simple letters
+    and marks is put together from its parts, so case and punctuation don't make the tokenizer run again.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.begin, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # simple parts need neither normalising nor splitting; probes tell whether this tokenizer is of that kind
+        self.bare, self.letters = Tokenizer(self.tokenizer.model), _byte_letters()
+        plain = [e.ids for e in self.tokenizer.encode_batch(_PROBES, add_special_tokens=False)]
+        self.short_cut = plain == [e.ids for e in self.bare.encode_batch([x.translate(self.letters) for x in _PROBES], add_special_tokens=False)]
+        self.known, self.parts = _Places(), {}
+        self.begin, self.length, self.seen, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _forget(self) -> None:
+        stay = np.flatnonzero(self.seen > 1) if (self.seen > 1).sum() <= REMEMBERED // 2 else np.flatnonzero(self.seen >= np.partition(self.seen, -REMEMBERED // 4)[-REMEMBERED // 4])[: REMEMBERED // 2]
+        words = list(self.known)
+        length = self.length[stay]
+        ends = np.cumsum(length)
+        self.flat = self.flat[np.repeat(self.begin[stay] - (ends - length), length) + np.arange(int(length.sum()))]
+        self.known, self.parts = _Places(words[k] for k in stay.tolist()), {}
+        self.begin, self.length, self.seen = ends - length, length, np.ones(len(stay), np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        split, parts, simple, other = [], self.parts, {}, {}
+        for w in words:
+            m = _SIMPLE.fullmatch(w) if self.short_cut else None
+            pair = (m[1].lower(), m[2]) if m else (w, "")
+            split.append(pair)
+            for x in pair:
+                if x not in parts:
+                    (simple if m else other)[x] = None
+        for new, encoder in ((list(simple), self.bare), (list(other), self.tokenizer)):
+            given = [x.translate(self.letters) for x in new] if encoder is self.bare else new
+            for x, e in zip(new, encoder.encode_batch_fast(given, add_special_tokens=False), strict=True):
+                parts[x] = array.array("I", e.ids).tobytes()
+        ids = [parts[a] + parts[b] for a, b in split]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.seen = np.concatenate([self.seen, np.zeros(len(ids), np.int64)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and each text's number of ids."""
         if len(self.known) > REMEMBERED:
-            self.forget()
-        known, old, rows = self.known, len(self.known), []
-
-        def place(word, known=known):
-            return known.setdefault(word, len(known))
-
-        sizes = np.zeros(len(texts), np.int64)
+            self._forget()
+        place, rows, sizes = self.known.__getitem__, [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             words = text.replace("\n", " ").split(" ")
             rows.append(np.fromiter(map(place, words), np.int64, len(words)))
             sizes[k] = len(words)
-        if len(known) > old:
-            fresh = list(known)[old:]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))])
+        if self.known.fresh:
+            self._learn(self.known.fresh)
+            self.known.fresh = []
         place_of = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.seen += np.bincount(place_of, minlength=len(self.seen))
         length = self.length[place_of]
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
