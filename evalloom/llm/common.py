@@ -71,3 +71,54 @@ def byte_values(seed: int) -> np.ndarray:
 def crc_mod(column, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
+
+
+class Rolling:
+    """Polynomial hashes, modulo 2**64, of any pieces of a buffer from one running sum; equal bytes give equal hashes wherever they stand."""
+
+    def __init__(self, seed: int = 0x5DEECE66D):
+        self.value = byte_values(seed)
+        self.base = (int(mixed(np.array([seed + 7], np.uint64))[0]) & ~7) | 3
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(pow(self.base, -1, 1 << 64), k, 1 << 64))])
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        self._grow(len(data) + 1)
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.value[data] * self.up[: len(data)], out=out[1:])
+        return out
+
+    def hashes(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
+def pieces(offsets: np.ndarray, most: int):
+    """Runs of rows (first, last + 1) of about `most` bytes, a longer row by itself."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
+        yield first, min(last, n)
+        first = min(last, n)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, separators: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of other bytes, none across rows, and for each row the number of the first word at or after its start (one more at the end)."""
+    apart = np.zeros(256, bool)
+    apart[list(separators)] = True
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = ~apart[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cut = offsets[:-1]
+    begins[cut[cut < len(data)]] = inside[cut[cut < len(data)]]
+    start = np.flatnonzero(begins)
+    ends = inside[:-1] & ~inside[1:]
+    last = offsets[1:] - 1
+    last = last[last >= 0]
+    ends[last] |= inside[last]
+    return start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets)

@@ -16,18 +16,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import table, written
+from evalloom.llm.common import Rolling, flat, pieces, table, words_of, written
 
 SIZE = 2048
 #: Words that a worker remembers the ids of, before it forgets the rarest.
-REMEMBERED = 500_000
-#: Documents encoded at once.
-SLICE = 1000
+REMEMBERED = 1_000_000
+#: Bytes encoded at once.
+SLICE = 1_000_000
 
 
 #: A word of letters up to U+00FF and marks after it: such a word splits there, and lower-casing it is simple.
@@ -45,24 +44,12 @@ def _byte_letters() -> dict[int, str]:
 _PROBES = ["the", "thonenanou", "élève", "straße", "%%%", "señorías", ".", "çà"]
 
 
-class _Places(dict):
-    """Numbers words in the order they come; fresh are those since it was last emptied."""
-
-    def __init__(self, words=()):
-        super().__init__((w, k) for k, w in enumerate(words))
-        self.fresh: list[str] = []
-
-    def __missing__(self, word):
-        self.fresh.append(word)
-        self[word] = place = len(self)
-        return place
-
-
 class WordEncoder:
     """Encodes by words: in a tokenizer that never joins characters across white space, words can be encoded one by one.
 
-    Ids are kept by word. Beyond REMEMBERED words, those seen only once are forgotten. A new word made of simple letters
-    and marks is put together from its parts, so case and punctuation don't make the tokenizer run again.
+    Ids are kept by the word's 64-bit hash, in sorted arrays. Beyond REMEMBERED words, those seen only once are forgotten.
+    A new word made of simple letters and marks is put together from its parts, so case and punctuation don't make the
+    tokenizer run again.
     """
 
     def __init__(self, path: str):
@@ -74,19 +61,23 @@ class WordEncoder:
         self.bare, self.letters = Tokenizer(self.tokenizer.model), _byte_letters()
         plain = [e.ids for e in self.tokenizer.encode_batch(_PROBES, add_special_tokens=False)]
         self.short_cut = plain == [e.ids for e in self.bare.encode_batch([x.translate(self.letters) for x in _PROBES], add_special_tokens=False)]
-        self.known, self.parts = _Places(), {}
-        self.begin, self.length, self.seen, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.rolling, self.parts = Rolling(), {}
+        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.begin, self.length, self.seen = (np.zeros(0, np.int32) for _ in range(3))
 
     def _forget(self) -> None:
-        stay = np.flatnonzero(self.seen > 1) if (self.seen > 1).sum() <= REMEMBERED // 2 else np.flatnonzero(self.seen >= np.partition(self.seen, -REMEMBERED // 4)[-REMEMBERED // 4])[: REMEMBERED // 2]
-        words = list(self.known)
+        stay = np.flatnonzero(self.seen > 1)
+        if len(stay) > REMEMBERED // 2:
+            stay = np.sort(stay[np.argsort(self.seen[stay])[-REMEMBERED // 2 :]])
         length = self.length[stay]
         ends = np.cumsum(length)
         self.flat = self.flat[np.repeat(self.begin[stay] - (ends - length), length) + np.arange(int(length.sum()))]
-        self.known, self.parts = _Places(words[k] for k in stay.tolist()), {}
-        self.begin, self.length, self.seen = ends - length, length, np.ones(len(stay), np.int64)
+        self.hashes, self.begin, self.length, self.seen = self.hashes[stay], (ends - length).astype(np.int32), length, np.ones(len(stay), np.int32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        """hashes: those of words, in order."""
+        if len(self.parts) > REMEMBERED // 10:
+            self.parts = {}
         split, parts, simple, other = [], self.parts, {}, {}
         for w in words:
             m = _SIMPLE.fullmatch(w) if self.short_cut else None
@@ -97,35 +88,38 @@ class WordEncoder:
                     (simple if m else other)[x] = None
         for new, encoder in ((list(simple), self.bare), (list(other), self.tokenizer)):
             given = [x.translate(self.letters) for x in new] if encoder is self.bare else new
-            for x, e in zip(new, encoder.encode_batch_fast(given, add_special_tokens=False), strict=True):
-                parts[x] = array.array("I", e.ids).tobytes()
+            for at in range(0, len(new), 4096):
+                for x, e in zip(new[at : at + 4096], encoder.encode_batch_fast(given[at : at + 4096], add_special_tokens=False), strict=True):
+                    parts[x] = array.array("I", e.ids).tobytes()
         ids = [parts[a] + parts[b] for a, b in split]
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.seen = np.concatenate([self.seen, np.zeros(len(ids), np.int64)])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and each text's number of ids."""
-        if len(self.known) > REMEMBERED:
+        length = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        at = np.searchsorted(self.hashes, hashes)
+        self.begin = np.insert(self.begin, at, (len(self.flat) + np.cumsum(length) - length).astype(np.int32))
+        self.length = np.insert(self.length, at, length)
+        self.seen = np.insert(self.seen, at, 0)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32).astype(self.flat.dtype)])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows' bytes in one array, and each row's number of ids."""
+        if len(self.hashes) > REMEMBERED:
             self._forget()
-        place, rows, sizes = self.known.__getitem__, [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = text.replace("\n", " ").split(" ")
-            rows.append(np.fromiter(map(place, words), np.int64, len(words)))
-            sizes[k] = len(words)
-        if self.known.fresh:
-            self._learn(self.known.fresh)
-            self.known.fresh = []
-        place_of = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.seen += np.bincount(place_of, minlength=len(self.seen))
+        start, end, first = words_of(data, offsets, b" \n")
+        distinct, some, which = np.unique(self.rolling.hashes(self.rolling.sums(data), start, end), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, distinct)
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == distinct[known]
+        if not known.all():
+            raw = data.tobytes()
+            self._learn([raw[a:b].decode() for a, b in zip(start[some[~known]].tolist(), end[some[~known]].tolist(), strict=True)], distinct[~known])
+            place = np.searchsorted(self.hashes, distinct)
+        self.seen[place] += np.bincount(which, minlength=len(place)).astype(np.int32)
+        place_of = place[which]
         length = self.length[place_of]
-        ends = np.cumsum(length)
+        ends = np.cumsum(length, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         out = self.flat[np.repeat(self.begin[place_of] - (ends - length), length) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        return out, np.diff(bounds)
+        return out, np.diff(np.concatenate([[0], ends])[first])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -144,12 +138,13 @@ def _piece_rows(path: str, size: int, end_id: int | None, with_ids: bool):
     def rows(batches):
         encoder, seen, part = _encoder(path), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                b = batch.slice(at, SLICE)
-                flat, counts = encoder.encode(pc.fill_null(b.column(1), "").to_pylist())
+            data, offsets = flat(batch.column(1))
+            for at, to in pieces(offsets, SLICE):
+                b = batch.slice(at, to - at)
+                tokens, counts = encoder.encode(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
                 out, ids, begin = [], [], 0
                 for doc, n in zip(b.column(0).to_pylist(), counts.tolist(), strict=True):
-                    own = flat[begin : begin + n].astype("<u4")
+                    own = tokens[begin : begin + n].astype("<u4")
                     begin += n
                     if end_id is not None:
                         own = np.append(own, np.uint32(end_id)).astype("<u4")
@@ -239,12 +234,12 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int | N
     not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = written(rows.mapInArrow(_piece_rows(tokenizer_path, size, end_id, with_ids), _PIECES + ", ids array<int>" * with_ids), "pieces")
-    counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    cut = written(rows.mapInArrow(_piece_rows(tokenizer_path, size, end_id, with_ids), _PIECES + ", ids array<int>" * with_ids), "pieces")
+    counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     keys, sequences, offsets, totals = _slots(pack_histogram(histogram, size))
     before = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = pieces.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("place"))
+    ranked = cut.join(before, ["part", "length"]).withColumn("rank", F.col("before") + F.col("place"))
 
     def placed(batches):
         for b in batches:
