@@ -61,8 +61,12 @@ class WordEncoder:
         self.bare, self.letters = Tokenizer(self.tokenizer.model), _byte_letters()
         plain = [e.ids for e in self.tokenizer.encode_batch(_PROBES, add_special_tokens=False)]
         self.short_cut = plain == [e.ids for e in self.bare.encode_batch([x.translate(self.letters) for x in _PROBES], add_special_tokens=False)]
-        self.rolling, self.parts = Rolling(), {}
-        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.parts: dict[str, bytes] = {}
+        self.empty(self.tokenizer.get_vocab_size())
+
+    def empty(self, vocabulary: int) -> None:
+        self.rolling = Rolling()
+        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint16 if vocabulary <= 1 << 16 else np.uint32)
         self.begin, self.length, self.seen = (np.zeros(0, np.int32) for _ in range(3))
 
     def _forget(self) -> None:
@@ -74,8 +78,11 @@ class WordEncoder:
         self.flat = self.flat[np.repeat(self.begin[stay] - (ends - length), length) + np.arange(int(length.sum()))]
         self.hashes, self.begin, self.length, self.seen = self.hashes[stay], (ends - length).astype(np.int32), length, np.ones(len(stay), np.int32)
 
-    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        """hashes: those of words, in order."""
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return words_of(data, offsets, b" \n")
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as 32-bit integers."""
         if len(self.parts) > REMEMBERED // 10:
             self.parts = {}
         split, parts, simple, other = [], self.parts, {}, {}
@@ -91,7 +98,11 @@ class WordEncoder:
             for at in range(0, len(new), 4096):
                 for x, e in zip(new[at : at + 4096], encoder.encode_batch_fast(given[at : at + 4096], add_special_tokens=False), strict=True):
                     parts[x] = array.array("I", e.ids).tobytes()
-        ids = [parts[a] + parts[b] for a, b in split]
+        return [parts[a] + parts[b] for a, b in split]
+
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        """hashes: those of words, in order."""
+        ids = self.ids(words)
         length = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
         at = np.searchsorted(self.hashes, hashes)
         self.begin = np.insert(self.begin, at, (len(self.flat) + np.cumsum(length) - length).astype(np.int32))
@@ -104,7 +115,7 @@ class WordEncoder:
         """All ids of the rows' bytes in one array, and each row's number of ids."""
         if len(self.hashes) > REMEMBERED:
             self._forget()
-        start, end, first = words_of(data, offsets, b" \n")
+        start, end, first = self.words(data, offsets)
         distinct, some, which = np.unique(self.rolling.hashes(self.rolling.sums(data), start, end), return_index=True, return_inverse=True)
         place = np.searchsorted(self.hashes, distinct)
         known = place < len(self.hashes)
