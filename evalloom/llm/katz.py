@@ -23,52 +23,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import Rolling, flat, mixed, pieces, shuffle_width, table, words_of, written
+from evalloom.llm.blocks import BLOCK_COLUMNS, ROW_COLUMNS, bucket_bounds, bundle, doc_ids, joined, message_rows, ordered, pack, pack_sorted, text_blocks, unbundle, unpack, unpack_sorted
+from evalloom.llm.common import Rolling, mixed, pieces, shuffle_width, table, words_of, written
 from evalloom.llm.simhash import _LOWER, SPACE
 
-#: Bytes of text in a block; bytes hashed at once.
-BLOCK, SLICE = 16_000_000, 1_000_000
+#: Bytes hashed at once.
+SLICE = 1_000_000
 #: Counts up to K are discounted by Good and Turing, higher ones by DELTA; bigrams count from LEAST on.
 K, DELTA, LEAST = 5, 0.1, 2
 END, BEGIN = np.uint64(0x0E5D0000_00000001), np.uint64(0xBE610000_00000001)
 WORDS, BIGRAMS, STATS, DOCS, SUMS = 0, 1, 2, 3, 4
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Compressed by byte planes."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
-
-
-def _unpack(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
-def _bundle(*parts: bytes) -> bytes:
-    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
-
-
-def _unbundle(data: bytes) -> list[bytes]:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(data, np.int64, n, 8))
-    return [data[a:z] for a, z in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-
-def _pack_sorted(x: np.ndarray) -> bytes:
-    return _pack(np.diff(x, prepend=np.uint64(0)))
-
-
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
-
-
-def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range begins among the sorted keys, and their number at the end."""
-    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
-
-
 class Block:
     """The tokens of a block's texts as hashes, the block's distinct words and bigrams, and for each token its place among them."""
 
@@ -92,10 +58,13 @@ class Block:
         history = np.empty_like(token)
         history[1:] = token[:-1]
         history[self.first] = BEGIN
-        pair = mixed(history * np.uint64(0x9E3779B97F4A7C15) + mixed(token))
+        history = mixed(history * np.uint64(0x9E3779B97F4A7C15) + mixed(token))
         self.words, place = np.unique(np.concatenate([token, np.array([BEGIN])]), return_inverse=True)
-        self.word, self.begin = place[:-1], int(place[-1])
-        self.bigrams, some, self.bigram = np.unique(pair, return_index=True, return_inverse=True)
+        self.word, self.begin = place[:-1].astype(np.int32), int(place[-1])
+        del token, place, hashes
+        self.bigrams, some, place = np.unique(history, return_index=True, return_inverse=True)
+        self.bigram = place.astype(np.int32)
+        del history, place
         self.history = np.empty_like(self.word)
         self.history[1:] = self.word[:-1]
         self.history[self.first] = self.begin
@@ -111,49 +80,9 @@ def _held(doc: int | None) -> bool:
     return doc is not None and zlib.crc32(str(doc).encode()) % 5 == 1
 
 
-_BLOCKS = "block long, ids binary, missing binary, offsets binary, text binary"
-
-
-def _to_blocks(batches):
-    """Rows of whole texts; ids of null are 0 and missing."""
-    ids, texts, size = [], [], 0
-
-    def block():
-        raw, offsets = b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        none = np.array([i is None for i in ids])
-        return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *[pa.array([x], pa.binary()) for x in (_pack(np.array([i or 0 for i in ids], np.int64)), np.packbits(none).tobytes(), _pack(offsets), zstandard.compress(raw, 1))]], ["block", "ids", "missing", "offsets", "text"])
-
-    for b in batches:
-        data, offsets = flat(b.column(1))
-        raw = data.tobytes()
-        for doc, a, z in zip(b.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            if texts and size + z - a > BLOCK:
-                yield block()
-                ids, texts, size = [], [], 0
-            ids.append(doc)
-            texts.append(raw[a:z])
-            size += z - a
-    if texts:
-        yield block()
-
-
-def _ids(ids: bytes, missing: bytes) -> list[int | None]:
-    number = _unpack(ids, np.int64)
-    none = np.unpackbits(np.frombuffer(missing, np.uint8))[: len(number)]
-    return [None if x else n for n, x in zip(number.tolist(), none.tolist(), strict=True)]
-
-
 def _read_block(ids: bytes, missing: bytes, offsets: bytes, text: bytes) -> tuple[list[int | None], Block]:
     raw = np.frombuffer(zstandard.decompress(text), np.uint8)
-    return _ids(ids, missing), Block(raw, _unpack(offsets, np.int64))
-
-
-_ROWS = "block long, kind int, bucket int, a binary, b binary, c binary"
-_ROW_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-
-
-def _rows(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ROW_SCHEMA, strict=True)] if rows else [pa.array([], f.type) for f in _ROW_SCHEMA], schema=_ROW_SCHEMA)
+    return doc_ids(ids, missing), Block(raw, unpack(offsets, np.int64))
 
 
 def _requests(buckets: int):
@@ -167,8 +96,8 @@ def _requests(buckets: int):
                 for kind, keys, place in ((WORDS, block.words, block.word), (BIGRAMS, block.bigrams, block.bigram)):
                     counts = np.bincount(place[trains], minlength=len(keys)).astype(np.uint32)
                     bounds = bucket_bounds(keys, buckets)
-                    out = [(row["block"], kind, k, _pack_sorted(keys[a:z]), _pack(counts[a:z]), None) for k, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if a < z]
-                    yield from _rows(out).to_batches()
+                    out = [(row["block"], kind, k, pack_sorted(keys[a:z]), pack(counts[a:z]), None) for k, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if a < z]
+                    yield from message_rows(out).to_batches()
 
     return rows
 
@@ -176,9 +105,9 @@ def _requests(buckets: int):
 def _answers(group: pa.Table) -> pa.Table:
     """Sums a bucket's counts. To each block: the totals of its keys, and which of them it accounts for. Statistics: tokens, known keys, keys by count 1 to K + 1."""
     rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-    keys = [_unpack_sorted(r["a"]) for r in rows]
+    keys = [unpack_sorted(r["a"]) for r in rows]
     distinct, some, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    total = np.bincount(which, weights=np.concatenate([_unpack(r["b"], np.uint32) for r in rows]), minlength=len(distinct)).astype(np.int64)
+    total = np.bincount(which, weights=np.concatenate([unpack(r["b"], np.uint32) for r in rows]), minlength=len(distinct)).astype(np.int64)
     own = np.zeros(len(which), np.uint8)
     own[some] = 1
     kind, bucket = rows[0]["kind"], rows[0]["bucket"]
@@ -188,10 +117,10 @@ def _answers(group: pa.Table) -> pa.Table:
         place = slice(at, at + len(k))
         at += len(k)
         answer = told[which[place]]
-        out.append((r["block"], kind, bucket, _pack(answer.astype(np.uint64)), None if kind == WORDS else np.packbits(own[place]).tobytes(), None))
+        out.append((r["block"], kind, bucket, pack(answer.astype(np.uint64)), None if kind == WORDS else np.packbits(own[place]).tobytes(), None))
     counted = total[distinct != BEGIN] if kind == WORDS else total
     stats = np.array([counted.sum(), (counted > 0).sum(), *[(counted == r).sum() for r in range(1, K + 2)]], np.int64)
-    return _rows([*out, (None, STATS, kind, stats.tobytes(), None, None)])
+    return message_rows([*out, (None, STATS, kind, stats.tobytes(), None, None)])
 
 
 def good_turing(n: list[int]) -> np.ndarray:
@@ -232,14 +161,6 @@ class Model:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
 
-def _ordered(rows: list[dict], kind: int) -> list[dict]:
-    return sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])
-
-
-def _joined(arrays: list[np.ndarray], kind) -> np.ndarray:
-    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
-
-
 def _scored(model: Model, buckets: int):
     """A block with its totals: the texts' sums but for backoff weights, and what the weights need from this block."""
 
@@ -249,12 +170,12 @@ def _scored(model: Model, buckets: int):
         for row in blocks.to_pylist():
             docs, block = _read_block(row["ids"], row["missing"], row["offsets"], row["text"])
             own = [r for r in told if r["block"] == row["block"]]
-            words = _joined([_unpack(r["a"], np.uint64) for r in _ordered(own, WORDS)], np.uint64).astype(np.int64)
+            words = joined([unpack(r["a"], np.uint64) for r in ordered(own, WORDS)], np.uint64).astype(np.int64)
             bigrams, mine = [], []
-            for r in _ordered(own, BIGRAMS):
-                bigrams.append(_unpack(r["a"], np.uint64))
+            for r in ordered(own, BIGRAMS):
+                bigrams.append(unpack(r["a"], np.uint64))
                 mine.append(np.unpackbits(np.frombuffer(r["b"], np.uint8))[: len(bigrams[-1])])
-            pairs, mine = _joined(bigrams, np.uint64).astype(np.int64), _joined(mine, np.uint8).astype(bool)
+            pairs, mine = joined(bigrams, np.uint64).astype(np.int64), joined(mine, np.uint8).astype(bool)
             # c(BEGIN): each training text has it as a history once, as it has its end
             of_history = words.copy()
             of_history[block.begin] = words[np.searchsorted(block.words, END)]
@@ -267,7 +188,7 @@ def _scored(model: Model, buckets: int):
             # histories of the tokens that back off, text by text
             back = block.history[~known].astype(np.uint32)
             counts = block.summed((~known).astype(np.int64))
-            out.append((row["block"], DOCS, 0, _bundle(row["ids"], row["missing"]), _bundle(*[_pack(x) for x in (block.tokens, n_known, counts, *docs_sums)]), _pack(back)))
+            out.append((row["block"], DOCS, 0, bundle(row["ids"], row["missing"]), bundle(*[pack(x) for x in (block.tokens, n_known, counts, *docs_sums)]), pack(back)))
             take = mine & seen
             one = np.bincount(block.pair[0][take], weights=given[take], minlength=len(words))
             two = np.bincount(block.pair[0][take], weights=p[block.pair[1][take]], minlength=len(words))
@@ -275,8 +196,8 @@ def _scored(model: Model, buckets: int):
             for k, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                 if a < z:
                     some = np.flatnonzero(one[a:z]).astype(np.uint32)
-                    out.append((row["block"], SUMS, k, _pack_sorted(block.words[a:z]), _pack(some), _pack(np.concatenate([one[a:z][some], two[a:z][some]]))))
-        return _rows(out)
+                    out.append((row["block"], SUMS, k, pack_sorted(block.words[a:z]), pack(some), pack(np.concatenate([one[a:z][some], two[a:z][some]]))))
+        return message_rows(out)
 
     return rows
 
@@ -284,7 +205,7 @@ def _scored(model: Model, buckets: int):
 def _weights(group: pa.Table) -> pa.Table:
     """Backoff weights of a bucket's histories, to each block for its words."""
     rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-    keys = [_unpack_sorted(r["a"]) for r in rows]
+    keys = [unpack_sorted(r["a"]) for r in rows]
     distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
     sums, at = np.zeros((2, len(distinct))), 0
     places = []
@@ -292,10 +213,10 @@ def _weights(group: pa.Table) -> pa.Table:
         place = which[at : at + len(k)]
         at += len(k)
         places.append(place)
-        some, values = place[_unpack(r["b"], np.uint32)], _unpack(r["c"], np.float64).reshape(2, -1)
+        some, values = place[unpack(r["b"], np.uint32)], unpack(r["c"], np.float64).reshape(2, -1)
         sums[:, some] += values
     weight = (1 - sums[0]) / (1 - sums[1])
-    return _rows([(r["block"], WORDS, r["bucket"], _pack(weight[place]), None, None) for r, place in zip(rows, places, strict=True)])
+    return message_rows([(r["block"], WORDS, r["bucket"], pack(weight[place]), None, None) for r, place in zip(rows, places, strict=True)])
 
 
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -306,10 +227,10 @@ def _finished(model: Model):
         columns: list[list] = [[] for _ in range(7)]
         told = weights.to_pylist()
         for row in blocks.to_pylist():
-            docs = _ids(*_unbundle(row["a"]))
-            tokens, known, counts, base, score = (_unpack(x, kind) for x, kind in zip(_unbundle(row["b"]), [np.int64] * 3 + [np.float64] * 2, strict=True))
-            weight = np.log10(_joined([_unpack(r["a"], np.float64) for r in _ordered([r for r in told if r["block"] == row["block"]], WORDS)], np.float64))
-            back = _unpack(row["c"], np.uint32)
+            docs = doc_ids(*unbundle(row["a"]))
+            tokens, known, counts, base, score = (unpack(x, kind) for x, kind in zip(unbundle(row["b"]), [np.int64] * 3 + [np.float64] * 2, strict=True))
+            weight = np.log10(joined([unpack(r["a"], np.float64) for r in ordered([r for r in told if r["block"] == row["block"]], WORDS)], np.float64))
+            back = unpack(row["c"], np.uint32)
             sums = np.concatenate([[0.0], np.cumsum(weight[back])]) if len(back) else np.zeros(1)
             ends = np.cumsum(counts)
             score = score + sums[ends] - sums[ends - counts]
@@ -329,18 +250,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     end; rows of null ids train. Other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = written(rows.mapInArrow(_to_blocks, _BLOCKS).withColumn("block", F.monotonically_increasing_id()), "text-blocks")
+    blocks = text_blocks(docs, id_col, text_col)
     buckets = max(shuffle_width(spark), blocks.count())
-    requests = blocks.mapInArrow(_requests(buckets), _ROWS)
-    answers = written(requests.groupBy("kind", "bucket").applyInArrow(_answers, _ROWS), "count-answers")
+    requests = blocks.mapInArrow(_requests(buckets), ROW_COLUMNS)
+    answers = written(requests.groupBy("kind", "bucket").applyInArrow(_answers, ROW_COLUMNS), "count-answers")
     numbers = {WORDS: np.zeros(K + 3, np.int64), BIGRAMS: np.zeros(K + 3, np.int64)}
     for r in answers.where(F.col("kind") == STATS).mapInArrow(_stat_sums, "kind int, a binary").collect():  # two rows a task
         numbers[r["kind"]] += np.frombuffer(r["a"], np.int64)
     model = Model(numbers[WORDS], numbers[BIGRAMS])
     told = answers.where(F.col("kind") != STATS)
-    scored = written(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(model, buckets), _ROWS), "block-scores")
-    weights = scored.where(F.col("kind") == SUMS).groupBy("bucket").applyInArrow(_weights, _ROWS)
+    scored = written(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(model, buckets), ROW_COLUMNS), "block-scores")
+    weights = scored.where(F.col("kind") == SUMS).groupBy("bucket").applyInArrow(_weights, ROW_COLUMNS)
     return scored.where(F.col("kind") == DOCS).groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(_finished(model), _RESULT)
 
 
