@@ -89,12 +89,14 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = content_sort_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    def key(i, sha):
+        return F.concat_ws("/", sha, F.col(i).cast("long").cast("string"))
+
+    kept = content_sort_dedup(docs, id_col, text_col).where("kept").select(key("doc_id", F.col("text_sha256")).alias("__key"))
     normal = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.withColumn("__sha2", F.sha2(normal.cast("binary"), 256))
-    both = rows.join(kept, rows[id_col].cast("long").eqNullSafe(F.col("__id")) & (rows["__sha2"] == F.col("__sha")))
-    one = Window.partitionBy("__id", "__sha").orderBy(F.lit(0))
-    return both.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[both[c] for c in docs.columns])
+    both = docs.withColumn("__key", key(id_col, F.sha2(normal.cast("binary"), 256))).join(kept, "__key")
+    one = Window.partitionBy("__key").orderBy("__key")  # repeated rows have the same key
+    return both.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
 
 
 def op1_exact_dedup(spark, sf_dir):

@@ -116,15 +116,16 @@ def _joined(spans: Column) -> Column:
 
 
 def masked(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each value judged live replaced by mask in its text, longest first; n_chars, where there is one, is counted anew."""
+    """docs with each value judged live replaced by mask in its text, longest first; n_chars, where there is one, is counted anew. Rows of null ids stay as they are."""
     live = F.filter("spans", lambda s: s["verdict"] == "live")
-    values = scan(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.transform(F.array_distinct(F.transform(live, lambda s: F.struct((-F.length(s["value"])).alias("n"), s["value"].alias("value")))), lambda s: s).alias("__values"))
-    values = values.where(F.size("__values") > 0).groupBy("__id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__values")))).alias("__values"))
-    both = docs.join(values, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
-    text = F.when(F.col("__values").isNull(), docs[text_col]).otherwise(F.aggregate("__values", docs[text_col], lambda t, s: F.replace(t, s["value"], F.lit(mask))))
-    both = both.withColumn("__text", text)
-    new = {text_col: F.col("__text"), "n_chars": F.when(F.col("__values").isNull(), F.col("n_chars")).otherwise(F.length("__text")).cast("long") if "n_chars" in docs.columns else None}
-    return both.select(*[(new[c] if new.get(c) is not None else docs[c]).alias(c) for c in docs.columns])
+    longest_first = F.array_sort(F.array_distinct(F.transform(live, lambda s: F.struct((-F.length(s["value"])).alias("n"), s["value"].alias("value")))))
+    values = scan(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), longest_first.alias("__values")).where(F.size("__values") > 0)
+    values = values.groupBy("__id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__values")))).alias("__values"))  # rows of one id are few
+    both = docs.join(values, docs[id_col].cast("long") == F.col("__id"), "left")
+    both = both.withColumn("__text", F.when(F.col("__values").isNull(), F.col(text_col)).otherwise(F.aggregate("__values", F.col(text_col), lambda t, s: F.replace(t, s["value"], F.lit(mask)))))
+    counted = F.when(F.col("__values").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long")) if "n_chars" in docs.columns else None
+    new = {text_col: F.col("__text")} | ({"n_chars": counted} if counted is not None else {})
+    return both.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op5_secret_scan(spark, sf_dir):
