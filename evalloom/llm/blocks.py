@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import flat, pieces, written
 
 #: Bytes of text in a block, unless one text is longer.
-BLOCK = 8_000_000
+BLOCK = 6_000_000
 
 
 def pack(x: np.ndarray) -> bytes:

@@ -28,7 +28,7 @@ from evalloom.llm.common import Rolling, mixed, pieces, shuffle_width, table, wo
 from evalloom.llm.simhash import _LOWER, SPACE
 
 #: Bytes hashed at once.
-SLICE = 1_000_000
+SLICE = 250_000
 #: Counts up to K are discounted by Good and Turing, higher ones by DELTA; bigrams count from LEAST on.
 K, DELTA, LEAST = 5, 0.1, 2
 END, BEGIN = np.uint64(0x0E5D0000_00000001), np.uint64(0xBE610000_00000001)

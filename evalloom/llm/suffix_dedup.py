@@ -31,7 +31,7 @@ from evalloom.llm.common import Rolling, pieces, shuffle_width, table, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once.
-SLICE = 1_000_000
+SLICE = 250_000
 ALONE, COPY, SHARED = 0, 1, 2
 ASKED, SENT, CUT = 0, 1, 2
 _LAST = np.iinfo(np.int64).max
@@ -243,7 +243,7 @@ def _cut(with_text: bool):
             gone = np.ones(len(runs.start), bool)  # runs all of whose windows are repeats
             gone[runs.first] = kind == COPY
             # +1 where a covered stretch begins, -1 after its end
-            edge = np.zeros(len(data) + LENGTH + 1, np.int32)
+            edge = np.zeros(len(data) + LENGTH + 1, np.int16)  # at most LENGTH windows cover a byte
             np.add.at(edge, runs.start[gone], 1)
             np.add.at(edge, runs.stop[gone] + LENGTH - 1, -1)
             shared = runs.first[kind == SHARED]
@@ -254,7 +254,7 @@ def _cut(with_text: bool):
                 window = (np.repeat(runs.start[shared] - (to - n), n) + np.arange(int(to[-1])))[bits]
                 edge[window] += 1
                 edge[window + LENGTH] -= 1
-            covered = np.cumsum(edge[: len(data)], dtype=np.int32) > 0
+            covered = np.cumsum(edge[: len(data)], dtype=np.int16) > 0
             begins = covered.copy()
             begins[1:] &= ~covered[:-1]
             heads = offsets[:-1][offsets[:-1] < len(data)]
