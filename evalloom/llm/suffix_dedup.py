@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.blocks import ROW_COLUMNS, bucket_bounds, bundle, doc_ids, joined, message_rows, ordered, pack, pack_sorted, text_blocks, unbundle, unpack, unpack_sorted
-from evalloom.llm.common import Rolling, pieces, shuffle_width, table, written
+from evalloom.llm.common import Rolling, mixed, pieces, shuffle_width, table, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once.
@@ -103,7 +103,7 @@ def _runs_of(data: np.ndarray, offsets: np.ndarray, grams: Rolling, wholes: Roll
     first = np.flatnonzero(new)
     start, stop, anchor = window[first], window[np.append(first[1:], len(window)) - 1] + 1, place[first]
     whole = wholes.hashes(wholes.sums(data), start, stop + LENGTH - 1) ^ ((anchor - start).astype(np.uint64) << np.uint64(56))
-    return [start, stop, anchor - start, hashes[anchor], whole]
+    return [start, stop, anchor - start, mixed(hashes[anchor]), whole]  # least hashes are small; mixed anew, they fill all buckets
 
 
 def _block(row: dict) -> tuple[list[int | None], np.ndarray, np.ndarray, Runs]:
