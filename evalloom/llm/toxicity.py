@@ -28,7 +28,7 @@ SAMPLE, TERMS = 20_000, 600
 #: Lengths of word beginnings that may become terms, and the least length of a term that may be misspelled.
 STEMS, FUZZY = range(3, 9), 5
 #: Training documents with a term at least, as a share of the toxic ones, and how much likelier it makes the label.
-LEAST_SHARE, LEAST_ODDS = 0.01, 20.0
+LEAST_SHARE, LEAST_ODDS = 0.01, 40.0
 #: Words around a hit that tell quotation.
 WINDOW = 4
 #: Used where nothing is labelled.
@@ -132,8 +132,8 @@ class Lexicon:
             out[3] += quoted
             out[5] = max(out[5], not quoted)
             out[4] += 1
-        for term, kind in {match(w) for w in hits}:
-            out[kind] += self.odds[term] / 3
+        for (term, kind), n in Counter(match(w) for w in hits).items():  # different words of one term
+            out[kind] += self.odds[term] / 3 * (1 + np.log(n))
         out[3:5] = np.log1p([out[3], 100 * out[4] / len(words)])
         return np.minimum(out, 10)
 
