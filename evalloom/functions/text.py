@@ -79,33 +79,47 @@ def clean(x) -> Column:
     return strip(F.regexp_replace(t, r"[ \t]+", " "))
 
 
+def sentences_of(cleaned: Column) -> Column:
+    return F.filter(F.transform(F.split(cleaned, SENTENCE_END), lambda s: strip(s)), lambda s: s != "")
+
+
 def sentences(x) -> Column:
-    return F.filter(F.transform(F.split(clean(x), SENTENCE_END), lambda s: strip(s)), lambda s: s != "")
+    return sentences_of(clean(x))
+
+
+def final_answer(cleaned: Column) -> Column:
+    """What follows the last answer mark of a cleaned reply; empty without one."""
+    return F.when(cleaned.rlike(FINAL), strip(F.element_at(F.split(cleaned, FINAL), -1))).otherwise("")
+
+
+def part_of(cleaned: Column, said: Column, tail: Column) -> Column:
+    """answer_part from a reply's cleaned text, its sentences and its final answer."""
+    final = F.regexp_replace(strip(F.element_at(F.split(tail, r"\n\s*\n"), 1)), r"^[ \[\]]+|[ \[\]]+$", "")
+    concluding = F.filter(F.slice(said, 2, F.greatest(F.size(said) - 1, F.lit(0))), lambda y: y.rlike(CONCLUSION))
+    concluded = F.try_element_at(concluding, F.lit(-1))
+    part = F.when(cleaned == "", F.struct(F.lit("").alias("part"), F.lit("empty").alias("source")))
+    part = part.when(tail != "", F.struct(final.alias("part"), F.lit("final_line").alias("source")))
+    part = part.when(F.size(said) == 0, F.struct(cleaned.alias("part"), F.lit("first_sentence").alias("source")))
+    first = F.struct(F.try_element_at(said, F.lit(1)).alias("part"), F.lit("first_sentence").alias("source"))
+    return part.otherwise(F.element_at(F.filter(F.array(F.struct(concluded.alias("part"), F.lit("conclusion").alias("source")), first), lambda y: y["part"].isNotNull()), 1))
 
 
 def answer_part(x) -> Column:
     """struct(part, source): after the last answer mark up to a blank line; else the last concluding sentence that isn't the first; else the first sentence."""
-    t = clean(x)
-    tail = strip(F.element_at(F.split(t, FINAL), -1))
-    final = F.regexp_replace(strip(F.element_at(F.split(tail, r"\n\s*\n"), 1)), r"^[ \[\]]+|[ \[\]]+$", "")
-    s = sentences(x)
-    concluding = F.filter(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda y: y.rlike(CONCLUSION))
-    is_final = t.rlike(FINAL) & (tail != "")
-    part = F.when(t == "", "").when(is_final, final).when(F.size(s) == 0, t).when(F.size(concluding) > 0, F.try_element_at(concluding, F.lit(-1))).otherwise(F.try_element_at(s, F.lit(1)))
-    source = F.when(t == "", "empty").when(is_final, "final_line").when((F.size(s) > 0) & (F.size(concluding) > 0), "conclusion").otherwise("first_sentence")
-    return F.struct(part.alias("part"), source.alias("source"))
+    cleaned = clean(x)
+    return part_of(cleaned, sentences_of(cleaned), final_answer(cleaned))
 
 
-def is_abstain_token(x) -> Column:
-    return F.regexp_replace(clean(x), r"""^[ ."'\[\]]+|[ ."'\[\]]+$""", "").rlike(ABSTAIN)
+def is_abstain_token(x, cleaned: bool = False) -> Column:
+    return F.regexp_replace(_c(x) if cleaned else clean(x), r"""^[ ."'\[\]]+|[ ."'\[\]]+$""", "").rlike(ABSTAIN)
 
 
-def says_not_found(x) -> Column:
-    return is_abstain_token(x) | clean(x).rlike(REFUSAL)
+def says_not_found(x, cleaned: bool = False) -> Column:
+    return is_abstain_token(x, cleaned) | (_c(x) if cleaned else clean(x)).rlike(REFUSAL)
 
 
-def has_hedge(x) -> Column:
-    return clean(x).rlike(HEDGE)
+def has_hedge(x, cleaned: bool = False) -> Column:
+    return (_c(x) if cleaned else clean(x)).rlike(HEDGE)
 
 
 def query_tokens(x) -> Column:

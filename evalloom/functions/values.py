@@ -103,3 +103,13 @@ def contains_value(text, value, kind) -> Column:
     stated = F.exists(values_of_kind(text, kind), lambda v: same_value(v, target, kind))
     plain = (F.length(F.coalesce(_c(value), F.lit(""))) > 0) & F.contains(norm_text(text), norm_text(value))
     return F.coalesce(F.when(target.isNull(), plain).otherwise(stated), F.lit(False))
+
+
+def targets(values, kind) -> Column:
+    """struct(value, target) of each of the values that isn't empty: what contains_any compares with."""
+    return F.transform(F.filter(F.coalesce(_c(values), F.array().cast("array<string>")), lambda v: F.length(v) > 0), lambda v: F.struct(v.alias("value"), normalized_value(v, kind).alias("target")))
+
+
+def contains_any(text, found, wanted, kind) -> Column:
+    """contains_value for any of the targets, given the values already found in the text."""
+    return F.exists(_c(wanted), lambda t: F.when(t["target"].isNull(), F.contains(norm_text(text), norm_text(t["value"]))).otherwise(F.exists(_c(found), lambda v: same_value(v, t["target"], kind))))

@@ -22,30 +22,35 @@ def label_answers(answers: DataFrame) -> DataFrame:
     Null responses count as empty and are `other`; a null answerable counts as a question without an answer; null aliases
     as none.
     """
-    df = answers.withColumns({"kind": V.kind_of("field"), "__c": T.clean("response"), "__s": T.sentences("response"), "__p": T.answer_part("response")})
-    df = df.withColumns({"answer_part": F.col("__p.part"), "answer_source": F.col("__p.source"), "hedged": T.has_hedge("response")})
+    df = answers.withColumns({"kind": V.kind_of("field"), "__c": T.clean("response")})
+    df = df.withColumns({"__s": T.sentences_of(F.col("__c")), "__tail": T.final_answer(F.col("__c"))})
+    df = df.withColumn("__p", T.part_of(F.col("__c"), F.col("__s"), F.col("__tail")))
+    df = df.withColumns({"answer_part": F.col("__p.part"), "answer_source": F.col("__p.source"), "hedged": T.has_hedge("__c", True), "__first": F.try_element_at("__s", F.lit(1))})
     df = df.withColumns({
-        "__refuses": F.when(F.col("answer_part") == "", False).otherwise(T.says_not_found("answer_part")),
-        "__part_hedged": T.has_hedge("answer_part"),
+        "__refuses": F.when(F.col("answer_part") == "", False).otherwise(T.says_not_found("answer_part", True)),
+        "__part_hedged": T.has_hedge("answer_part", True),
         "__pv": V.values_of_kind("answer_part", "kind"),
-        "first_refuses": F.coalesce(T.says_not_found(F.try_element_at("__s", F.lit(1))), F.lit(False)),
-        "__stated": F.transform("__s", lambda s: F.struct(s.alias("s"), V.values_of_kind(s, "kind").alias("v"), (T.says_not_found(s) & ~T.has_hedge(s)).alias("r"))),
+        "first_refuses": F.coalesce(T.says_not_found("__first", True), F.lit(False)),
     })
-    df = df.withColumn("__other", F.try_element_at(F.filter("__stated", lambda x: ~x["r"] & (F.size(x["v"]) > 0)), F.lit(1)))
     by_part = (F.size("__pv") > 0) | F.col("__refuses")
+    # only where the part has no value: the other sentences that state one
+    stated = F.filter(F.transform("__s", lambda s: F.struct(s.alias("s"), V.values_of_kind(s, "kind").alias("v"))), lambda x: F.size(x["v"]) > 0)
+    df = df.withColumn("__stated", F.when(by_part, F.array().cast("array<struct<s:string,v:array<string>>>")).otherwise(stated))
+    df = df.withColumn("__other", F.try_element_at(F.filter("__stated", lambda x: ~(T.says_not_found(x["s"], True) & ~T.has_hedge(x["s"], True))), F.lit(1)))
     df = df.withColumns({
         "refusal": F.col("__refuses") & ~F.col("__part_hedged"),
         "__vals": F.when(by_part, F.col("__pv")).otherwise(F.coalesce(F.col("__other.v"), _none())),
         "__src": F.when(by_part | F.col("__other").isNull(), F.col("answer_part")).otherwise(F.col("__other.s")),
+        "__targets": V.targets("gold_aliases", "kind"),
     })
     aliases = F.filter(F.coalesce("gold_aliases", _none()), lambda g: F.length(g) > 0)
     df = df.withColumns({
-        "__hit": F.exists(aliases, lambda g: V.contains_value("__src", g, "kind") | V.contains_value("answer_part", g, "kind")),
-        "__text_hit": F.exists(aliases, lambda g: (T.qa_normalized_words(g) != "") & F.contains(F.concat(F.lit(" "), T.qa_normalized_words("answer_part"), F.lit(" ")), F.concat(F.lit(" "), T.qa_normalized_words(g), F.lit(" ")))),
+        "__hit": V.contains_any("__src", "__vals", "__targets", "kind") | V.contains_any("answer_part", "__pv", "__targets", "kind"),
+        "__text_hit": (F.col("kind") == "text") & F.exists(aliases, lambda g: (T.qa_normalized_words(g) != "") & F.contains(F.concat(F.lit(" "), T.qa_normalized_words("answer_part"), F.lit(" ")), F.concat(F.lit(" "), T.qa_normalized_words(g), F.lit(" ")))),
         "__committed": F.when(F.col("refusal"), "").otherwise(T.strip("answer_part")),
     })
     no_part_value, some = F.size("__pv") == 0, F.size("__vals") > 0
-    hedged_part = T.has_hedge("__src") | F.col("__part_hedged")
+    hedged_part = T.has_hedge("__src", True) | F.col("__part_hedged")
     answered = F.coalesce(F.col("answerable"), F.lit(False))
     typed = (
         F.when(answered & F.col("__hit") & ~(F.col("__refuses") & no_part_value), "correct")
@@ -53,7 +58,7 @@ def label_answers(answers: DataFrame) -> DataFrame:
         .when(answered, F.when(some, "wrong").otherwise("other"))
         .when(F.col("__refuses") & ~hedged_part & no_part_value, "refused")
         .when(some, "made_up")
-        .when(F.col("__refuses") | T.is_abstain_token("answer_part"), "refused")
+        .when(F.col("__refuses") | T.is_abstain_token("answer_part", True), "refused")
         .otherwise("other")
     )
     committed = F.col("__committed") != ""
@@ -81,20 +86,22 @@ def capture_tags(labelled: DataFrame, document_col: str | None = None) -> DataFr
     has_truth = "true_answers" in labelled.columns
     made_up, open_ = F.col("label") == "made_up", ~F.coalesce(F.col("answerable"), F.lit(False))
     is_text = F.col("kind") == "text"
-    looks = F.filter(F.coalesce("lookalike_values", _none()), lambda v: F.length(v) > 0)
-    mentions = open_ & ~is_text & F.exists(looks, lambda v: V.contains_value("response", v, "kind"))
-    captured = open_ & ~is_text & made_up & F.exists("values", lambda c: F.exists(looks, lambda v: F.coalesce(V.same_value(c, V.normalized_value(v, "kind"), "kind"), F.lit(False))))
-    df = labelled.withColumns({"mentions_lookalike": mentions, "captured": captured})
+    needed = open_ & ~is_text & (F.size(F.coalesce("lookalike_values", _none())) > 0)
+    df = labelled.withColumns({"__looks": V.targets("lookalike_values", "kind"), "__rv": F.when(needed, V.values_of_kind("response", "kind")).otherwise(_none())})
+    mentions = needed & V.contains_any("response", "__rv", "__looks", "kind")
+    captured = needed & made_up & F.exists("values", lambda c: F.exists("__looks", lambda t: F.coalesce(V.same_value(c, t["target"], "kind"), F.lit(False))))
+    df = df.withColumns({"mentions_lookalike": mentions, "captured": captured}).drop("__looks", "__rv")
     said = F.concat(F.lit(" "), T.qa_normalized_words(F.array_join("values", " ")), F.lit(" "))
     true = F.exists(F.coalesce("true_answers", _none()), lambda t: (T.qa_normalized_words(t) != "") & F.contains(said, F.concat(F.lit(" "), T.qa_normalized_words(t), F.lit(" ")))) if has_truth else F.lit(False)
     if document_col:
-        document = F.when(made_up, F.col(document_col))  # parsed for made-up answers only
-        held = F.exists("values", lambda c: F.exists(V.values_of_kind(document, "kind"), lambda d: V.same_value(c, d, "kind")))
+        searched = open_ & made_up & ~is_text & ~F.col("captured") & F.col(document_col).isNotNull()  # documents of other answers aren't parsed
+        df = df.withColumn("__dv", F.when(searched, V.values_of_kind(document_col, "kind")).otherwise(_none()))
+        held = F.exists("values", lambda c: F.exists("__dv", lambda d: V.same_value(c, d, "kind")))
         elsewhere = F.when(F.col(document_col).isNull(), "unknown").when(held, "other_record").otherwise("not_in_document")
     else:
         elsewhere = F.lit("unknown")
     source = F.when(~(open_ & made_up), "-").when(is_text, F.when(true, "true_answer_from_memory").otherwise("not_the_true_answer")).when(F.col("captured"), "lookalike").otherwise(elsewhere)
-    return df.withColumn("value_source", source)
+    return df.withColumn("value_source", source).drop("__dv")
 
 
 def prelabel_unanswerable(reply, tenant) -> Column:

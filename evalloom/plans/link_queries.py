@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.operators import link as K
-from evalloom.plans.registry import query, table
+from evalloom.plans.registry import query, spread, table
 
 ASKED = "SELECT o_orderkey AS question_id, o_custkey AS party, CAST(o_orderkey % 10 AS VARCHAR) AS clerk, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 50 = 0"
 HELD = "SELECT o_orderkey AS rid, o_custkey AS party, CAST(o_orderkey % 10 AS VARCHAR) AS clerk, CAST(o_orderdate AS DATE) AS day FROM orders"
@@ -65,7 +65,7 @@ LINES = """SELECT doc_id, n, text, sum(length(text) + 1) OVER (PARTITION BY doc_
 def span_tiling(spark, sf_dir):
     from evalloom.operators.verify import line_spans, tiling_problems
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     spans = line_spans(docs, "doc_id", "text")
     bad = tiling_problems(docs.select("doc_id", "text"), spans, "doc_id", 1).select("doc_id").distinct().withColumn("bad", F.lit(True))
     return spans.join(bad, "doc_id", "left").where("bad is null").groupBy("doc_id").agg(F.count("*").alias("spans"), F.max("char_end").cast("long").alias("ends_at"), F.count_if(F.col("char_start") == F.col("char_end")).alias("empty"))
@@ -75,7 +75,7 @@ def span_tiling(spark, sf_dir):
 def span_lookup(spark, sf_dir):
     from evalloom.operators.verify import enclosing_span, line_spans
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     at = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(500))).alias("pos")).join(docs.where("length(text) > 0").select("doc_id"), "doc_id")
     return enclosing_span(at, line_spans(docs, "doc_id", "text"), "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("n").cast("long").alias("n"))
 

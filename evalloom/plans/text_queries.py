@@ -8,7 +8,7 @@ from evalloom.functions import text as T
 from evalloom.functions import values as V
 from evalloom.operators import label as L
 from evalloom.operators import retrieve as R
-from evalloom.plans.registry import query, table
+from evalloom.plans.registry import query, spread, table
 
 # Both engines' forms of the normaliser: articles are words of their own once punctuation is space.
 QA = "array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower(coalesce({x}, '')), ',', ''), '[!\"#$%&''()*+\\-./:;<=>?@\\[\\\\\\]^_`{{|}}~‘’“”–—…]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')"
@@ -18,17 +18,17 @@ TOKENS = "list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+'),
 
 @query(f"SELECT doc_id, {QA.format(x='text')} AS normalized FROM documents")
 def qa_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.qa_normalized("text").alias("normalized"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.qa_normalized("text").alias("normalized"))
 
 
 @query(f"WITH d AS (SELECT doc_id, concat(' ', {QA.format(x='text')}, ' ') AS t FROM documents), a AS (SELECT item_id, concat(' ', {QA.format(x='text')}, ' ') AS a FROM benchmark) SELECT doc_id AS doc, item_id AS answer FROM d JOIN a ON contains(t, a) WHERE a <> '  '")
 def has_answer_join(spark, sf_dir):
-    return R.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return R.containing(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 @query(f"WITH d AS (SELECT doc_id, lang, concat(' ', {QA.format(x='text')}, ' ') AS t FROM documents), a AS (SELECT concat(' ', {QA.format(x='text')}, ' ') AS a FROM benchmark) SELECT lang, count(*) AS n FROM d WHERE NOT EXISTS (SELECT 1 FROM a WHERE a <> '  ' AND contains(t, a)) GROUP BY lang")
 def decontaminated_documents(spark, sf_dir):
-    return R.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).groupBy("lang").agg(F.count("*").alias("n"))
+    return R.decontaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, {TOKENS.format(x='text')} AS ws FROM documents), s AS (SELECT count(*) AS docs, avg(len(ws)) AS avg FROM w),
@@ -37,12 +37,12 @@ f AS (SELECT term, count(*) AS df FROM p GROUP BY term), q AS (SELECT item_id, u
 x AS (SELECT item_id AS query, doc_id AS doc, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 1.9::DOUBLE / (tf + 0.9::DOUBLE * (1 - 0.4::DOUBLE + 0.4::DOUBLE * dl / avg))) AS score FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)
 SELECT query, doc, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rank FROM x) WHERE rank <= 5""")
 def bm25_topk(spark, sf_dir):
-    return R.bm25_top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5)
+    return R.bm25_top(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 5)
 
 
 @query(f"SELECT doc_id, len({TOKENS.format(x='text')}) AS query_tokens, len(regexp_extract_all(text, '[A-Za-z]{{1,6}}|[0-9]{{1,3}}|[^\\sA-Za-z0-9]')) AS budget_tokens FROM documents")
 def token_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.query_tokens("text")).cast("long").alias("query_tokens"), T.approx_tokens("text").cast("long").alias("budget_tokens"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.size(T.query_tokens("text")).cast("long").alias("query_tokens"), T.approx_tokens("text").cast("long").alias("budget_tokens"))
 
 
 # o_orderkey % 10 picks the reply's form
@@ -50,7 +50,7 @@ RENDERED = """SELECT o_orderkey, CAST(o_orderkey % 10 AS INT) AS form, CAST(roun
 
 
 def rendered(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 10).cast("int").alias("form"), (F.round("o_totalprice").cast("long") + 2100).alias("amount"), F.to_date("o_orderdate").alias("day"), (1 + F.col("o_orderkey") % 60).cast("int").alias("level"))
+    o = spread(table(spark, sf_dir, "orders")).select("o_orderkey", (F.col("o_orderkey") % 10).cast("int").alias("form"), (F.round("o_totalprice").cast("long") + 2100).alias("amount"), F.to_date("o_orderdate").alias("day"), (1 + F.col("o_orderkey") % 60).cast("int").alias("level"))
     money, day = T.money_text("amount"), T.date_text("day")
     forms = [
         F.lit("The records do not mention that lease. Therefore, the answer is not in the records."),
@@ -151,7 +151,7 @@ def json_field(spark, sf_dir):
 @query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS numbers, len(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS different, len(list_intersect(list_distinct(regexp_extract_all(text, '[0-9]+')), ['1', '555', '2024'])) AS shared FROM documents")
 def number_overlap(spark, sf_dir):
     found = F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("numbers"), F.size(F.array_distinct(found)).cast("long").alias("different"), F.size(F.array_intersect(found, F.array(F.lit("1"), F.lit("555"), F.lit("2024")))).cast("long").alias("shared"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.size(found).cast("long").alias("numbers"), F.size(F.array_distinct(found)).cast("long").alias("different"), F.size(F.array_intersect(found, F.array(F.lit("1"), F.lit("555"), F.lit("2024")))).cast("long").alias("shared"))
 
 
 @query("SELECT page_id, regexp_replace(url, '(?:/[\\w.\\-]+)+/([\\w.\\-]+)', '\\1', 'g') AS scrubbed FROM pages")
