@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import table
+from evalloom.llm.common import table, written
 
 #: Share of a host's pages beyond which a line is boilerplate, and pages a host needs for a verdict.
 RATIO, LEAST_PAGES = 0.1, 5
@@ -49,7 +49,7 @@ def line_dedup(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Other columns are not read. An empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host(F.col(url_col).cast("string")).alias("host"), page_lines(F.col(html_col).cast("string")).alias("lines"))
-    rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.unhex(F.sha2(x, 256))))
+    rows = written(rows, "page-lines").withColumn("hashes", F.transform("lines", lambda x: F.unhex(F.sha2(x, 256))))  # pages are parsed once
     totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     held = rows.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
     common = held.where(F.col("n") > 1).join(totals.where(F.col("pages") >= least_pages), "host").where(F.col("n") / F.col("pages") > F.lit(ratio))
