@@ -1,0 +1,29 @@
+import corpus_pipeline as P
+from evalloom.llm.common import written
+
+
+def test_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, seen = docs.columns, [docs.count()]
+    for name, stage in P.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf), name)
+        assert docs.columns == columns
+        seen.append(docs.count())
+    assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "secrets", "packing"]
+    assert seen == sorted(seen, reverse=True) and seen[-1] == seen[-2] > 0.5 * seen[0]
+    texts = [r.text for r in docs.select("text").collect()]
+    assert len({t.lower() for t in texts}) == len(texts)
+    got = P.STAGES[-1][1](spark, docs, sf)
+    assert {r.doc_id for r in got.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_run(spark, sf):
+    got = P.run(spark, sf)
+    assert got.columns[:3] == ["doc_id", "start", "length"] and got.count() > 0
+
+
+def test_odd_documents(spark, sf, odd, none):
+    for docs in (odd.select("doc_id", "text", "lang", "source", "n_chars"), none.select("doc_id", "text", "lang", "source", "n_chars")):
+        for name, stage in P.STAGES:
+            docs = written(stage(spark, docs, sf), name)
+        docs.collect()
