@@ -3,8 +3,8 @@
 A page's lines are what its block elements hold as text. For each host, the share of its pages that hold a line is
 computed over the whole corpus; lines above a boilerplate ratio are dropped from all pages of the host. The set of a
 host's dropped lines is small whatever the number of pages: each takes more than `ratio` of the pages, so there are
-fewer than (mean lines of a page) / ratio of them. It is joined to the pages by host, so lines are never joined to
-lines, and a large host is dealt out by the engine's splitting of skewed joins.
+fewer than (mean lines of a page) / ratio of them. It is joined to the pages by host and a salt, so lines are never joined to
+lines, and a large host is dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from evalloom.llm.common import table, written
 #: Share of a host's pages beyond which a line is boilerplate, and pages a host needs for a verdict.
 RATIO, LEAST_PAGES = 0.1, 5
 
+#: Tasks at least that a host's lines and pages are dealt over.
+SALTS = 32
+
 # What stands between lines, and what is no text. The same patterns serve both engines.
 _DROPPED = [r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"]
 _BREAK = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|title|head|body|html|main|aside|form|blockquote|pre)\b[^>]*>"
@@ -25,6 +28,10 @@ _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
 def page_lines(html: Column) -> Column:
     """The page's lines: trimmed, white space collapsed, none empty."""
     x = F.coalesce(html, F.lit(""))
@@ -52,9 +59,12 @@ def line_dedup(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = written(rows, "page-lines").withColumn("hashes", F.transform("lines", lambda x: F.unhex(F.sha2(x, 256))))  # pages are parsed once
     totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     held = rows.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    common = held.where(F.col("n") > 1).join(totals.where(F.col("pages") >= least_pages), "host").where(F.col("n") / F.col("pages") > F.lit(ratio))
-    common = common.groupBy("host").agg(F.collect_list("hash").alias("common"))
-    both = rows.join(common, "host", "left")
+    # what is known of a host goes to SALTS places, so a large host's lines and pages are dealt over as many tasks at least
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    large = totals.where(F.col("pages") >= least_pages).select("host", "pages", everywhere)
+    common = held.where(F.col("n") > 1).withColumn("salt", _salt("hash")).join(large, ["host", "salt"]).where(F.col("n") / F.col("pages") > F.lit(ratio))
+    common = common.groupBy("host").agg(F.collect_list("hash").alias("common")).select("host", "common", everywhere)
+    both = rows.withColumn("salt", _salt("page_id", "lines")).join(common, ["host", "salt"], "left")
     stays = F.when(F.col("common").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains(F.col("common"), F.element_at(F.col("hashes"), i + 1))))
     both = both.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), stays.alias("stay"))
     return both.select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_dropped"), F.array_join("stay", "\n").alias("text"))
