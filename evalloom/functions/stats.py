@@ -40,7 +40,7 @@ def normal_quantile(p: Column) -> Column:
 def log_factorial(n: Column) -> Column:
     """By Stirling's series, eight places further on."""
     z = n.cast("double") + 9
-    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3.0))) + 1 / (1260 * F.pow(z, F.lit(5.0)))
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3.0))) + 1 / (1260 * F.pow(z, F.lit(5.0))) - 1 / (1680 * F.pow(z, F.lit(7.0))) + 1 / (1188 * F.pow(z, F.lit(9.0)))
     product = n.cast("double") + 1
     for k in range(2, 9):
         product = product * (n.cast("double") + k)
