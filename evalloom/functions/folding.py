@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ARTICLES = re.compile(r"\b(?:a|an|the)\b")
-_STOP = frozenset("a an the of in on at to for from by with and or is are was were".split())
+# Words that answers are compared without.
+_STOP = frozenset("the a an of in on at to and is was for by it its as with from that".split())
 
 
 def _ascii(text: str | None) -> str:
@@ -18,7 +19,7 @@ def _ascii(text: str | None) -> str:
 
 
 def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: " ".join(re.sub(r"[^a-z0-9\s]", " ", _ARTICLES.sub(" ", _ascii(t))).split()))
+    return texts.map(lambda t: " ".join(re.sub(r"[^a-z0-9]+", " ", _ARTICLES.sub(" ", _ascii(t))).split()))
 
 
 def _folded_words(texts: pd.Series) -> pd.Series:

@@ -26,7 +26,7 @@ HEDGE = r"(?iU)\b(?:maybe|perhaps|probably|likely|approximately|roughly|around|c
 FINAL = r"(?iU)\b(?:final\s+answer|answer)\s*[:：]"
 CONCLUSION = r"(?iU)^(?:therefore|so|thus|hence|in conclusion|in summary|overall|to summarize|consequently)\b"
 SENTENCE_END = r"(?U)(?<=[.!?])\s+(?=[A-Z\"'(*])|\n+"
-FLAGGED = r"(?iU)\b(?:closest|similar|instead|however|note that|spelled|spelling|typo|differ|different|assum|might|may be|possibly|likely|seems|appears)\b"
+FLAGGED = r"(?iU)\b(?:however|note|noting|although|though|but|closest|similar|instead|not exactly|spelled|spelling|typo|differ|different|assum|might|may be|possibly|likely|seems|appears)\b"
 PUNCTUATION = "[!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~‘’“”–—…]"
 STOP_WORDS = (
     "a an the of in on at to for from by with and or but is are was were be been being it its this that "
@@ -192,19 +192,29 @@ def without_paths(x) -> Column:
 
 
 def batch_answers(text, n: int) -> Column:
-    """map of answer number to text: the first line of a number wins, lines without a number go on with the one before."""
-    lines = F.filter(F.transform(F.split(F.coalesce(_c(text), F.lit("")), "\n"), lambda x: strip(x)), lambda x: x != "")
-    first = F.struct(F.lit(0).alias("now"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")).alias("found"))
+    """map of answer number to text: the first line of a number from 1 to n begins its answer, all other lines go on with the answer before."""
+    rx = r"^(?:\*\*)?\(?(\d{1,2})[.):\]]\s*(?:\*\*)?\s*(.*)$"
+    lines = F.filter(F.transform(F.split(F.coalesce(_c(text), F.lit("")), r"\r\n|\n|\r"), lambda x: strip(x)), lambda x: x != "")
+    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>"))
 
     def step(acc, line):
-        number = F.regexp_extract(line, r"^\(?(\d{1,2})[.):]\s*(.*)$", 1).try_cast("int")
-        rest = F.regexp_extract(line, r"^\(?(\d{1,2})[.):]\s*(.*)$", 2)
-        begins = number.isNotNull() & number.between(1, n)
-        fresh = begins & ~F.map_contains_key(acc["found"], number)
-        goes_on = ~begins & (acc["now"] > 0)
-        now = F.when(fresh, number).when(begins, F.lit(0)).otherwise(acc["now"])
-        joined = F.transform_values(acc["found"], lambda k, v: F.when(k == acc["now"], strip(F.concat_ws(" ", v, line))).otherwise(v))
-        found = F.when(fresh, F.map_concat(acc["found"], F.map_from_arrays(F.array(F.coalesce(number, F.lit(-1))), F.array(rest)))).when(goes_on, joined).otherwise(acc["found"])
-        return F.struct(now.alias("now"), found.alias("found"))
-
-    return F.aggregate(lines, first, step)["found"]
+        number = F.regexp_extract(line, rx, 1).try_cast("int")
+        begins = F.coalesce(number.between(1, n) & ~F.map_contains_key(acc["found"], number), F.lit(False))
+        longer = F.transform_values(acc["found"], lambda k, v: F.when(k == acc["now"], strip(F.concat_ws(" ", v, line))).otherwise(v))
+        begun = F.map_concat(acc["found"], F.map_from_arrays(F.array(F.coalesce(number, F.lit(-1))), F.array(strip(F.regexp_extract(line, rx, 2)))))
+        return F.struct(F.when(begins, number).otherwise(acc["now"]).alias("now"), F.when(begins, begun).otherwise(longer).alias("found"))
+
+    return F.aggregate(lines, F.struct(F.lit(0).alias("now"), none.alias("found")), step)["found"]
+
+
+def _number(x: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(F.trim(x), r"^\$?\s*(-?\d[\d,]*(?:\.\d+)?)$", 1), ",", "").try_cast("double")
+
+
+def same_answer(a, b) -> Column:
+    """Numbers within half a unit; else the same words, or one within the other if both have four characters; false for empty ones."""
+    x, y = (F.regexp_replace(strip(F.coalesce(_c(v), F.lit(""))), r"""^[."' ]+|[."' ]+$""", "") for v in (a, b))
+    nx, ny = _number(x), _number(y)
+    wx, wy = (F.trim(F.regexp_replace(F.lower(v), r"(?U)\W+", " ")) for v in (x, y))
+    words = (wx != "") & (wy != "") & ((wx == wy) | ((F.least(F.length(wx), F.length(wy)) >= 4) & (F.contains(wy, wx) | F.contains(wx, wy))))
+    return F.when(nx.isNotNull() & ny.isNotNull(), F.abs(nx - ny) < 0.5).otherwise(words)

@@ -104,31 +104,50 @@ def capture_tags(labelled: DataFrame, document_col: str | None = None) -> DataFr
     return df.withColumn("value_source", source).drop("__dv")
 
 
-def prelabel_unanswerable(reply, tenant) -> Column:
-    """struct(label, confidence) of a reply to a question without answer: R refuses, W names another record, U states a value, O anything else."""
-    refuses, hedges = T.says_not_found(reply), T.has_hedge(reply)
-    names = F.contains(F.regexp_replace(F.lower(T._c(reply)), "[^a-z0-9]+", " "), F.regexp_replace(F.lower(T._c(tenant)), "[^a-z0-9]+", " "))
-    stated = F.size(V.parse_money(reply)) + F.size(V.parse_dates(reply)) + F.size(V.parse_floors(reply)) > 0
-    label = F.when(refuses & ~stated, "R").when(stated & ~names, "W").when(stated, "U").otherwise("O")
-    confidence = F.when(refuses & ~stated & ~hedges, "high").when(stated & ~refuses & ~hedges, "high").otherwise("low")
-    return F.struct(label.alias("label"), confidence.alias("confidence"))
+# Phrases that refuse and that warn, for a first sorting of replies before people read them.
+PRE_REFUSES = r"(?iU)(?:not (?:in|mentioned|stated|found|provided|listed|included|specified|available|present|contain)|no (?:record|information|mention|lease|data|entry)|does not (?:contain|mention|include|state|specify|appear)|do not (?:contain|mention|include|state|specify)|cannot (?:find|be determined|determine)|isn'?t (?:in|mentioned|listed)|there is no|unable to|none of the records)"
+PRE_WARNS = r"(?iU)\b(?:however|but|although|though|instead|closest|similar|differ|different|not \d{4}|rather than|typo|spelled|spelling|assum|note that|noting|might|may be|possibly|likely|seems|only|the records (?:do not|don't)|not the|a different|another)\b"
+
+
+def _plain(x) -> Column:
+    return F.trim(F.regexp_replace(F.lower(T._c(x)), "[^a-z0-9]+", " "))
+
+
+def _padded(x: Column) -> Column:
+    return F.concat(F.lit(" "), x, F.lit(" "))
+
+
+def prelabel_unanswerable(reply, lookalike_values) -> Column:
+    """struct(label, confidence) of a reply to a question without answer: R refuses, W warns or refuses but states the look-alike's value, U states a value, O anything else."""
+    said, digits = _padded(_plain(reply)), F.regexp_replace(T._c(reply), r"\D", "")
+
+    def is_stated(v):
+        number = F.regexp_replace(v, r"\D", "")
+        return ((_plain(v) != "") & F.contains(said, _padded(_plain(v)))) | ((F.length(number) >= 2) & F.contains(digits, number))
+
+    stated = F.coalesce(F.exists(T._c(lookalike_values), is_stated), F.lit(False))
+    refuses, warns = T._c(reply).rlike(PRE_REFUSES), T._c(reply).rlike(PRE_WARNS)
+    some = T._c(reply).rlike(r"\d") | (F.size(F.split(T.strip(reply), r"\s+")) <= 8)
+    pick = lambda label, confidence: F.struct(F.lit(label).alias("label"), F.lit(confidence).alias("confidence"))
+    return F.when(refuses & ~stated, pick("R", "high")).when(refuses | (stated & warns), pick("W", "medium")).when(stated, pick("U", "high")).when(some, pick("U", "medium")).otherwise(pick("O", "low"))
 
 
 def prelabel_match(reply, truths) -> Column:
-    """yes, no or unsure: whether a reply agrees with any of the true answers, by their words, years and numbers."""
-    said = F.split(T.qa_normalized_words(reply), " ")
-    years = lambda x: F.regexp_extract_all(T._text(x) if hasattr(T, "_text") else F.coalesce(T._c(x), F.lit("")), F.lit(r"\b(?:1[5-9]|20)\d\d\b"), F.lit(0))
-    numbers = lambda x: F.regexp_extract_all(F.coalesce(T._c(x), F.lit("")), F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
-
-    def agrees(t):
-        words = F.split(T.qa_normalized_words(t), " ")
-        shared = F.size(F.array_intersect(words, said)) / F.greatest(F.size(F.array_distinct(words)), F.lit(1))
-        clash = (F.size(years(t)) > 0) & (F.size(years(reply)) > 0) & ~F.arrays_overlap(years(t), years(reply))
-        same_number = F.arrays_overlap(numbers(t), numbers(reply))
-        return F.when(clash, 0).when((shared >= 0.8) | (same_number & (shared >= 0.5)), 2).when((shared > 0) | same_number, 1).otherwise(0)
-
-    best = F.array_max(F.transform(T._c(truths), agrees))
-    return F.when(best == 2, "yes").when(best == 1, "unsure").otherwise("no")
+    """struct(label, confidence): yes if a true answer, its year or all its numbers are in the reply; unsure if half of an answer's words are; else no. reply and truths are folded first (functions.folding.folded_words)."""
+    years = lambda x: F.regexp_extract_all(x, F.lit(r"\b(?:1[0-9]{3}|20[0-9]{2})\b"), F.lit(0))
+    numbers = lambda x: F.array_except(F.regexp_extract_all(x, F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0)), years(x))
+    said = T._c(reply)
+
+    def rank(t):
+        words = F.filter(F.array_distinct(F.split(t, " ")), lambda w: w != "")
+        shared = F.size(F.array_intersect(words, F.split(said, " ")))
+        whole = (t != "") & F.contains(_padded(said), _padded(t))
+        same = F.arrays_overlap(years(t), years(said)) | ((F.size(numbers(t)) > 0) & (F.size(F.array_except(numbers(t), numbers(said))) == 0))
+        return F.when(whole, 3).when(same, 2).when((F.size(words) > 0) & (shared * 2 >= F.size(words)), 1).otherwise(0)
+
+    best = F.coalesce(F.array_max(F.transform(T._c(truths), rank)), F.lit(0))
+    pick = lambda label, confidence: F.struct(F.lit(label).alias("label"), F.lit(confidence).alias("confidence"))
+    return F.when(best == 3, pick("yes", "high")).when(best == 2, pick("yes", "medium")).when(best == 1, pick("unsure", "low")).otherwise(pick("no", "medium"))
 
 
 def condition_table(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,7 +52,7 @@ def too_long(spark, sf_dir):
     return fit.select(F.lit(1).alias("fits")).unionByName(rejected.select(F.lit(0).alias("fits"))).agg(F.count_if(F.col("fits") == 1).alias("fit"), F.count_if(F.col("fits") == 0).alias("rejected"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w NOT IN ('', 'a', 'an', 'the', 'of', 'in', 'on', 'at', 'to', 'for', 'from', 'by', 'with', 'and', 'or', 'is', 'are', 'was', 'were')), ' ') AS words FROM documents WHERE lang = 'es'")
+@query("SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w NOT IN ('', 'the', 'a', 'an', 'of', 'in', 'on', 'at', 'to', 'and', 'is', 'was', 'for', 'by', 'it', 'its', 'as', 'with', 'from', 'that')), ' ') AS words FROM documents WHERE lang = 'es'")
 def folded_words(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", "text")).select("doc_id", folding.folded_words("text").alias("words"))
 

@@ -98,3 +98,31 @@ def test_answer_part(spark):
     texts = ["Blah.\nFinal answer: N/A", "Not here. Therefore, it is $5.", "The rent is $5. It was a good lease.", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.answer_part("t")["source"].alias("s"), T.is_abstain_token(F.lit("Unknown")).alias("a"))
     assert [r.s for r in rows.collect()] == ["final_line", "conclusion", "first_sentence", "empty"]
+
+
+def test_prelabels(spark):
+    from evalloom.operators.label import prelabel_match, prelabel_unanswerable
+
+    rows = [
+        ("It is not in the records.", ["$5,000"], "R", "high"),
+        ("The rent is $5,000.", ["$5,000"], "U", "high"),
+        ("However, the closest lease pays $5,000.", ["$5,000"], "W", "medium"),
+        ("It is not listed, though one pays 5000 dollars.", ["$5,000"], "W", "medium"),
+        ("Floor 9.", ["$5,000"], "U", "medium"),
+        ("One could ask the owner of that place about all of these things.", [], "O", "low"),
+    ]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, t string, v array<string>")
+    got = df.select("i", prelabel_unanswerable("t", "v").alias("x")).orderBy("i").collect()
+    assert [(r.x.label, r.x.confidence) for r in got] == [r[2:] for r in rows]
+    rows = [("born 1867 marie curie", ["marie curie"], "yes"), ("in 1867", ["november 1867"], "yes"), ("number 42", ["42 apples"], "yes"), ("marie smith", ["marie curie"], "unsure"), ("nobody", ["marie curie"], "no"), ("x", [], "no")]
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, t string, v array<string>")
+    assert [r.x.label for r in df.select("i", prelabel_match("t", "v").alias("x")).orderBy("i").collect()] == [r[2] for r in rows]
+
+
+def test_batch_and_same_answers(spark):
+    from pyspark.sql import functions as F
+
+    text = "intro\n1. one\nmore\n**2)** two\n1. again\n14. late\n(3) three"
+    got = spark.range(1).select(T.batch_answers(F.lit(text), 12).alias("x"), *[T.same_answer(F.lit(a), F.lit(b)).alias(f"s{i}") for i, (a, b) in enumerate([("$1,000", "1000.4"), ("Ann Lee", "ann-lee."), ("abc", "abcd"), ("abcd", "xabcdx"), ("", "a"), (None, None)])]).first()
+    assert got.x == {1: "one more", 2: "two 1. again 14. late", 3: "three"}
+    assert [got[f"s{i}"] for i in range(6)] == [True, True, False, True, False, False]
