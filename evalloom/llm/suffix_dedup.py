@@ -13,7 +13,11 @@ neighbouring windows mostly share theirs, so a document becomes runs of windows
    prefix of LENGTH is the neighbour, and gives which windows are repeats.
 3. Blocks mark the repeats' bytes in their texts and cut them out.
 
-Buckets are ranges of hashes; copies of a long passage meet as one row per block and run.
+Buckets are ranges of hashes; copies of a long passage meet as one row per block and run. Pieces that very many documents
+hold, such as a short line of boilerplate, are anchors only of windows that have no other: in a bounded sample of blocks
+the frequent pieces are counted, and the order of hashes puts them last. So a window that reaches out of such a line is
+anchored outside it, and doesn't meet the same line's windows of all other documents. Which pieces are put last changes
+where windows meet, never the result.
 """
 
 from __future__ import annotations
@@ -32,22 +36,42 @@ from evalloom.llm.common import Rolling, mixed, pieces, shuffle_width, table, wr
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once.
 SLICE = 250_000
+#: Blocks that are sampled for frequent pieces, the share of the sample's documents from which on a piece is frequent, and how many such pieces are put last.
+SAMPLE_BLOCKS, FREQUENT, LAST = 8, 0.002, 65_536
 ALONE, COPY, SHARED = 0, 1, 2
 ASKED, SENT, CUT = 0, 1, 2
 _LAST = np.iinfo(np.int64).max
 
 
+class Order:
+    """The order of pieces: by hash, the frequent ones last."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.frequent = np.unique(frequent.astype(np.uint64))
+        self.may = np.zeros(1 << 20, bool)
+        self.may[self.frequent & np.uint64((1 << 20) - 1)] = True
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        key = hashes >> np.uint64(1)
+        if len(self.frequent):
+            some = np.flatnonzero(self.may[hashes & np.uint64((1 << 20) - 1)])
+            at = np.minimum(np.searchsorted(self.frequent, hashes[some]), len(self.frequent) - 1)
+            some = some[self.frequent[at] == hashes[some]]
+            key[some] |= np.uint64(1 << 63)
+        return key
+
+
 class Runs:
-    """The runs of windows of a block's texts, in text order, with their kinds.
+    """The runs of windows of a block's texts, in text order.
 
     start, stop: first window start and one beyond the last. anchor, whole: hashes. behind: bytes from start to the anchor.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, docs: list[int | None]):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, docs: list[int | None], order: Order):
         grams, wholes, found = Rolling(11), Rolling(23), []
         for at, to in pieces(offsets, SLICE):
             low = int(offsets[at])
-            got = _runs_of(data[low : offsets[to]], offsets[at : to + 1] - low, grams, wholes)
+            got = _runs_of(data[low : offsets[to]], offsets[at : to + 1] - low, grams, wholes, order)
             got[0] += low
             got[1] += low
             found.append(got)
@@ -58,19 +82,17 @@ class Runs:
         ids = np.array([_LAST if d is None else d for d in docs], np.int64)
         rank = np.empty(len(ids), np.int64)
         rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-        order = np.lexsort((self.start, rank[self.doc], whole, self.anchor))
-        new = np.ones(len(order), bool)
-        new[1:] = (self.anchor[order][1:] != self.anchor[order][:-1]) | (whole[order][1:] != whole[order][:-1])
-        #: for each kind of run in this block, by anchor: its first run; for each run, its kind
-        self.first = order[new]
-        self.kind = np.empty(len(order), np.int64)
-        self.kind[order] = np.cumsum(new) - 1
+        sorted_ = np.lexsort((self.start, rank[self.doc], whole, self.anchor))
+        new = np.ones(len(sorted_), bool)
+        new[1:] = (self.anchor[sorted_][1:] != self.anchor[sorted_][:-1]) | (whole[sorted_][1:] != whole[sorted_][:-1])
+        #: for each kind of run in this block, by anchor: its first run
+        self.first = sorted_[new]
         self.whole = whole
         self.id = ids[self.doc] if len(ids) else np.zeros(0, np.int64)
         self.at = self.start - offsets[self.doc] if len(self.start) else self.start
 
 
-def _runs_of(data: np.ndarray, offsets: np.ndarray, grams: Rolling, wholes: Rolling) -> list[np.ndarray]:
+def _runs_of(data: np.ndarray, offsets: np.ndarray, grams: Rolling, wholes: Rolling, order: Order) -> list[np.ndarray]:
     n, width = len(data), LENGTH - GRAM + 1
     if n < LENGTH:
         none = np.zeros(0, np.int64)
@@ -80,7 +102,7 @@ def _runs_of(data: np.ndarray, offsets: np.ndarray, grams: Rolling, wholes: Roll
     hashes = grams.hashes(sums, at, at + GRAM)
     bits = np.uint64(max(1, int(n).bit_length()))
     # least hash, leftmost on ties, of each window, by windows of twice the width
-    least, have = (hashes >> bits << bits) | at.astype(np.uint64), 1
+    least, have = (order.keys(hashes) >> bits << bits) | at.astype(np.uint64), 1
     key = least
     while have * 2 <= width:
         key = np.minimum(key[:-have], key[have:])
@@ -106,21 +128,21 @@ def _runs_of(data: np.ndarray, offsets: np.ndarray, grams: Rolling, wholes: Roll
     return [start, stop, anchor - start, mixed(hashes[anchor]), whole]  # least hashes are small; mixed anew, they fill all buckets
 
 
-def _block(row: dict) -> tuple[list[int | None], np.ndarray, np.ndarray, Runs]:
+def _block(row: dict, order: Order) -> tuple[list[int | None], np.ndarray, np.ndarray, Runs]:
     docs, offsets = doc_ids(row["ids"], row["missing"]), unpack(row["offsets"], np.int64)
     data = np.frombuffer(zstandard.decompress(row["text"]), np.uint8)
-    return docs, data, offsets, Runs(data, offsets, docs)
+    return docs, data, offsets, Runs(data, offsets, docs, order)
 
 
 def _each(batch):
     return (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows))
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, order: Order):
     def rows(batches):
         for b in batches:
             for row in _each(b):
-                _, _, _, runs = _block(row)
+                _, _, _, runs = _block(row, order)
                 anchor, out = runs.anchor[runs.first], []
                 bounds = bucket_bounds(anchor, buckets).tolist()
                 for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -160,13 +182,13 @@ def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return data[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def _send(buckets: int):
+def _send(buckets: int, order: Order):
     """The bytes of a block's runs that share their anchor with others."""
 
     def rows(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out, told = [], answers.to_pylist()
         for row in blocks.to_pylist():
-            _, data, _, runs = _block(row)
+            _, data, _, runs = _block(row, order)
             own = runs.first[_told([r for r in told if r["block"] == row["block"]]) == SHARED]
             bounds = bucket_bounds(runs.anchor[own], buckets).tolist()
             for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -233,11 +255,11 @@ def _resolve(group: pa.Table) -> pa.Table:
     return message_rows([(r["block"], SENT, r["bucket"], zstandard.compress(np.packbits(repeats[z - n : z]).tobytes(), 1), n.to_bytes(8, "little"), None) for r, n, z in zip(rows, sizes, ends, strict=True)])
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, order: Order):
     def rows(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         told, out = answers.to_pylist(), []
         for row in blocks.to_pylist():
-            docs, data, offsets, runs = _block(row)
+            docs, data, offsets, runs = _block(row, order)
             own = [r for r in told if r["block"] == row["block"]]
             kind = _told(own)
             gone = np.ones(len(runs.start), bool)  # runs all of whose windows are repeats
@@ -272,6 +294,33 @@ def _cut(with_text: bool):
     return rows
 
 
+def _counted(batches):
+    """Pieces that a block holds several times, with the block's documents."""
+    for b in batches:
+        for row in _each(b):
+            data, offsets, grams, found = np.frombuffer(zstandard.decompress(row["text"]), np.uint8), unpack(row["offsets"], np.int64), Rolling(11), []
+            for at, to in pieces(offsets, SLICE):
+                part = data[offsets[at] : offsets[to]]
+                if len(part) >= GRAM:
+                    start = np.arange(len(part) - GRAM + 1)
+                    found.append(grams.hashes(grams.sums(part), start, start + GRAM))
+            gram, n = np.unique(joined(found, np.uint64), return_counts=True)
+            few = n < 4
+            yield pa.RecordBatch.from_arrays([pa.array(gram[~few].view(np.int64)), pa.array(n[~few].astype(np.int64)), pa.array(np.full(int((~few).sum()), len(offsets) - 1))], ["gram", "n", "docs"])
+
+
+def frequent_pieces(blocks: DataFrame) -> np.ndarray:
+    """At most LAST hashes of pieces that are frequent in SAMPLE_BLOCKS blocks, those whose hashed numbers come first."""
+    some = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(SAMPLE_BLOCKS).collect()]
+    if not some:
+        return np.zeros(0, np.uint64)
+    sample = blocks.where(F.col("block").isin(some))
+    docs = sum(len(unpack(r["offsets"], np.int64)) - 1 for r in sample.select("offsets").collect())  # SAMPLE_BLOCKS rows
+    counts = sample.mapInArrow(_counted, "gram long, n long, docs long").groupBy("gram").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= max(8, FREQUENT * docs)).orderBy(F.desc("n"), "gram").limit(LAST).select("gram").collect()
+    return np.array([r["gram"] for r in top], np.int64).view(np.uint64)
+
+
 def repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the bytes kept.
 
@@ -280,13 +329,14 @@ def repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     blocks = text_blocks(docs, id_col, text_col)
     buckets = max(shuffle_width(docs.sparkSession), blocks.count())
-    asked = blocks.mapInArrow(_ask(buckets), ROW_COLUMNS)
+    order = Order(frequent_pieces(blocks))
+    asked = blocks.mapInArrow(_ask(buckets, order), ROW_COLUMNS)
     answers = written(asked.groupBy("bucket").applyInArrow(_answer, ROW_COLUMNS), "run-answers")
-    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(buckets), ROW_COLUMNS)
+    sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(buckets, order), ROW_COLUMNS)
     resolved = sent.groupBy("bucket").applyInArrow(_resolve, ROW_COLUMNS)
     told = answers.unionByName(resolved)
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(with_text), result)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(with_text, order), result)
 
 
 def op9_suffix_dedup(spark, sf_dir):
