@@ -30,11 +30,11 @@ def _poly(coefficients: list[float], x: Column) -> Column:
 
 
 def normal_quantile(p: Column) -> Column:
-    """Of p kept within 0.005 and 0.995."""
-    p = F.least(F.greatest(p, F.lit(0.005)), F.lit(0.995))
+    """Of p kept within 0.005 and 0.995; null for null."""
+    p = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(0.005)), F.lit(0.995)))
     tail = lambda t: _poly(ACKLAM_C, F.sqrt(-2 * F.log(t))) / _poly([*ACKLAM_D, 1.0], F.sqrt(-2 * F.log(t)))
     q = p - 0.5
-    return F.when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise(_poly(ACKLAM_A, q * q) * q / _poly([*ACKLAM_B, 1.0], q * q))
+    return F.when(p.isNull(), None).when(p < 0.02425, tail(p)).when(p > 1 - 0.02425, -tail(1 - p)).otherwise(_poly(ACKLAM_A, q * q) * q / _poly([*ACKLAM_B, 1.0], q * q))
 
 
 def log_factorial(n: Column) -> Column:

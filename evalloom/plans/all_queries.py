@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalloom.plans import answer_queries, build_queries, link_queries, report_queries, statistics_queries, text_queries  # noqa: F401
 from evalloom.plans import registry
 
-#: Columns of floating point numbers, which two engines sum in different orders: both round them to 9 digits.
+#: Columns of floating point numbers, which two engines sum in different orders: both round them to 9 digits, off the ties.
 FLOATS = {
     "rate_wilson_by_lang": "rate lo hi",
     "pooled_rate_rollup": "rate lo hi",
@@ -35,10 +35,10 @@ def _rounded(function, names):
     @functools.wraps(function)
     def run(spark, sf_dir):
         df = function(spark, sf_dir)
-        return df.select(*[F.round(F.col(c).cast("double"), 9).alias(c) if c in names else F.col(c) for c in df.columns])
+        return df.select(*[F.round(F.col(c).cast("double") + 1e-12, 9).alias(c) if c in names else F.col(c) for c in df.columns])
 
     return run
 
 
 QUERIES = {name: _rounded(f, FLOATS[name].split()) if name in FLOATS else f for name, f in registry.QUERIES.items()}
-ORACLES = {name: f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), 9) AS {c}' for c in FLOATS[name].split())}) FROM ({sql})" if name in FLOATS else sql for name, sql in registry.ORACLES.items()}
+ORACLES = {name: f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE) + 1e-12::DOUBLE, 9) AS {c}' for c in FLOATS[name].split())}) FROM ({sql})" if name in FLOATS else sql for name, sql in registry.ORACLES.items()}

@@ -19,7 +19,7 @@ def specs(spark, sf_dir):
 @query("SELECT concat('d', p_partkey) AS doc_id, 12 AS questions, 12 AS distinct_qids, CASE WHEN (p_partkey // 2) % 5 = 0 THEN 0 ELSE 8 * (1 + p_partkey % 2) END AS lookalikes, true AS within_tolerance FROM part WHERE p_partkey <= 40")
 def generated_documents(spark, sf_dir):
     built = G.build(specs(spark, sf_dir))
-    return built.select("document.doc_id", F.size("questions").alias("questions"), F.size(F.array_distinct(F.transform("questions", lambda q: q["qid"]))).alias("distinct_qids"), F.col("document.n_lookalikes").alias("lookalikes"), "document.within_tolerance")
+    return built.select("document.doc_id", F.size("questions").alias("questions"), F.size(F.array_distinct(F.transform("questions", lambda q: q["qid"]))).alias("distinct_qids"), F.col("document.n_lookalikes").alias("lookalikes"), "document.within_tolerance").withColumn("lookalikes", F.col("lookalikes").cast("long"))
 
 
 @query("SELECT 'd0' AS doc_id, 'S1' AS rule, '' AS probe_id, '' AS detail WHERE false")

@@ -42,7 +42,7 @@ NAMES = "SELECT DISTINCT p_name AS n FROM part"
 @query(f"WITH n AS ({NAMES}) SELECT x.n AS a, y.n AS b, levenshtein(lower(x.n), lower(y.n)) AS edits FROM n x, n y WHERE x.n <> y.n AND levenshtein(lower(x.n), lower(y.n)) <= 2")
 def near_name_pairs(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return K.near_pairs(p, p, "p_name", "p_name")
+    return K.near_pairs(p, p, "p_name", "p_name").withColumn("edits", F.col("edits").cast("long"))
 
 
 @query(f"""WITH n AS (SELECT n, regexp_replace(lower(n), '[^\\p{{L}}]', '', 'g') AS k FROM ({NAMES})), d1 AS (SELECT n, k AS v FROM n UNION SELECT n, concat(substr(k, 1, i - 1), substr(k, i + 1)) FROM n, unnest(range(1, length(k) + 1)) t(i)),

@@ -127,13 +127,13 @@ def resume_anti(spark, sf_dir):
 @query("SELECT doc_id, lang, source, round FROM (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS round FROM documents) ORDER BY round, lang, source LIMIT 60")
 def balanced_sample(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return A.balanced(docs, ["lang", "source"], [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], 60, ["lang", "source"])
+    return A.balanced(docs, ["lang", "source"], [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], 60, ["lang", "source"]).withColumn("round", F.col("round").cast("long"))
 
 
 @query("WITH p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY quality DESC, md5(concat('0|', doc_id)), doc_id) AS n FROM labels JOIN documents USING (doc_id)) SELECT doc_id, lang, row_number() OVER (ORDER BY md5(concat('0-order|', doc_id)), doc_id) AS item FROM p WHERE n <= 5")
 def group_sample(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return A.sampled(rows, ["lang"], "doc_id", 5, 0, [F.desc("quality")]).select("doc_id", "lang", "item")
+    return A.sampled(rows, ["lang"], "doc_id", 5, 0, [F.desc("quality")]).select("doc_id", "lang", "item").withColumn("item", F.col("item").cast("long"))
 
 
 @query("SELECT o_orderkey, number FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS number FROM orders) WHERE number % 4 = 1")
@@ -155,7 +155,7 @@ def running_position(spark, sf_dir):
 @query("SELECT o_custkey, o_orderkey, copy, row_number() OVER (PARTITION BY o_custkey ORDER BY copy, o_orderkey) - 1 AS place FROM orders, unnest(range(1, 3)) AS t(copy)")
 def interleaved_copies(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("copy"))
-    return interleaved(rows, ["o_custkey"], "copy", "o_orderkey")
+    return interleaved(rows, ["o_custkey"], "copy", "o_orderkey").withColumn("place", F.col("place").cast("long"))
 
 
 @query("SELECT lang, min(doc_id) AS doc_id FROM documents GROUP BY lang, text")
@@ -174,4 +174,4 @@ def greedy_fill(spark, sf_dir):
 
 @query("SELECT length, ladder, level, context, 7 + 3000 + row_number() OVER (ORDER BY a, b, c, context) - 1 AS seed FROM (VALUES (0, 8), (1, 32)) x(a, length), (VALUES (0, 'name'), (1, 'role')) y(b, ladder), (VALUES (0, 'none'), (1, 'weak'), (2, 'strong')) z(c, level), (VALUES (0), (1), (2)) w(context)")
 def dataset_grid(spark, sf_dir):
-    return A.grid(spark, {"length": [8, 32], "ladder": ["name", "role"], "level": ["none", "weak", "strong"]}, 3, 7, 3)
+    return A.grid(spark, {"length": [8, 32], "ladder": ["name", "role"], "level": ["none", "weak", "strong"]}, 3, 7, 3).withColumn("seed", F.col("seed").cast("long")).withColumn("context", F.col("context").cast("int"))

@@ -26,10 +26,11 @@ def quantile_sql(p: str) -> str:
             out = f"({out} * {x} + {v!r}::DOUBLE)"
         return out
 
-    p = f"least(greatest({p}, 0.005::DOUBLE), 0.995::DOUBLE)"
+    p = f"CASE WHEN {p} IS NOT NULL THEN least(greatest({p}, 0.005::DOUBLE), 0.995::DOUBLE) END"
     tail = lambda t: f"{poly(ACKLAM_C, f'sqrt(-2 * ln({t}))')} / {poly([*ACKLAM_D, 1.0], f'sqrt(-2 * ln({t}))')}"
+    p = f"({p})"
     q = f"({p} - 0.5::DOUBLE)"
-    return f"CASE WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 0.97575 THEN -({tail(f'(1 - {p})')}) ELSE {poly(ACKLAM_A, f'({q} * {q})')} * {q} / {poly([*ACKLAM_B, 1.0], f'({q} * {q})')} END"
+    return f"CASE WHEN {p} IS NULL THEN NULL WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 0.97575 THEN -({tail(f'(1 - {p})')}) ELSE {poly(ACKLAM_A, f'({q} * {q})')} * {q} / {poly([*ACKLAM_B, 1.0], f'({q} * {q})')} END"
 
 
 @query(f"""WITH c AS ({_counts('events', 'event_type', 'value > 50')}), i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS m FROM c),

@@ -37,7 +37,7 @@ f AS (SELECT term, count(*) AS df FROM p GROUP BY term), q AS (SELECT item_id, u
 x AS (SELECT item_id AS query, doc_id AS doc, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 1.9::DOUBLE / (tf + 0.9::DOUBLE * (1 - 0.4::DOUBLE + 0.4::DOUBLE * dl / avg))) AS score FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY ALL)
 SELECT query, doc, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS rank FROM x) WHERE rank <= 5""")
 def bm25_topk(spark, sf_dir):
-    return R.bm25_top(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 5)
+    return R.bm25_top(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"SELECT doc_id, len({TOKENS.format(x='text')}) AS query_tokens, len(regexp_extract_all(text, '[A-Za-z]{{1,6}}|[0-9]{{1,3}}|[^\\sA-Za-z0-9]')) AS budget_tokens FROM documents")
