@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import flat, pieces, written
+from evalloom.llm.common import flat, pieces, releasing, written
 
 #: Bytes of text in a block, unless one text is longer.
 BLOCK = 6_000_000
@@ -93,4 +93,4 @@ def joined(arrays: list[np.ndarray], kind) -> np.ndarray:
 def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The documents in blocks numbered by `block`, written to shared storage, so that each block is the same whenever it is read. Null texts count as empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(to_blocks, BLOCK_COLUMNS).withColumn("block", F.monotonically_increasing_id()), "text-blocks")
+    return written(rows.mapInArrow(releasing(to_blocks), BLOCK_COLUMNS).withColumn("block", F.monotonically_increasing_id()), "text-blocks")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
 import numpy as np
@@ -26,10 +28,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of df: a Parquet table in the shared folder, read again.
 
     Later jobs read the table instead of repeating what made it, and a lost executor costs no more than its own tasks.
+    An application's tables lie in one folder named by its id, which can go when the application's results are stored.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -68,6 +72,28 @@ def byte_values(seed: int) -> np.ndarray:
         return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+def release() -> None:
+    """Gives freed memory back to the system; a worker that goes on to another stage then holds no more than its caches."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(rows):
+    """rows, a function for mapInArrow, with release() when a partition is done."""
+
+    @functools.wraps(rows)
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            release()
+
+    return run
+
+
 def crc_mod(column, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import shuffle_width, table, written
+from evalloom.llm.common import releasing, shuffle_width, table, written
 
 #: Bytes of a text in its sort key.
 PREFIX = 64
@@ -72,9 +72,9 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     n = partitions or shuffle_width(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    keyed = rows.mapInArrow(_keyed, "id long, prefix binary, sha binary, body binary")
+    keyed = rows.mapInArrow(releasing(_keyed), "id long, prefix binary, sha binary, body binary")
     order = ["prefix", "sha", F.col("id").desc_nulls_last()]
-    runs = written(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_runs, _RUNS), "dedup-runs")
+    runs = written(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(releasing(_runs), _RUNS), "dedup-runs")
     # at most two rows for each of the n partitions
     ends = runs.where("edge is not null").groupBy("edge").agg(F.first("text_sha256").alias("sha"), F.max("run_keep").alias("all_keep"), F.sum("run_size").alias("all_size"), F.min("part").alias("first_part"))
     ends = F.broadcast(ends.select("sha", "all_keep", "all_size", "first_part"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.blocks import BLOCK_COLUMNS, ROW_COLUMNS, bucket_bounds, bundle, doc_ids, joined, message_rows, ordered, pack, pack_sorted, text_blocks, unbundle, unpack, unpack_sorted
-from evalloom.llm.common import Rolling, mixed, pieces, shuffle_width, table, words_of, written
+from evalloom.llm.common import Rolling, mixed, pieces, release, releasing, shuffle_width, table, words_of, written
 from evalloom.llm.simhash import _LOWER, SPACE
 
 #: Bytes hashed at once.
@@ -197,6 +197,7 @@ def _scored(model: Model, buckets: int):
                 if a < z:
                     some = np.flatnonzero(one[a:z]).astype(np.uint32)
                     out.append((row["block"], SUMS, k, pack_sorted(block.words[a:z]), pack(some), pack(np.concatenate([one[a:z][some], two[a:z][some]]))))
+        release()
         return message_rows(out)
 
     return rows
@@ -252,7 +253,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     blocks = text_blocks(docs, id_col, text_col)
     buckets = max(shuffle_width(spark), blocks.count())
-    requests = blocks.mapInArrow(_requests(buckets), ROW_COLUMNS)
+    requests = blocks.mapInArrow(releasing(_requests(buckets)), ROW_COLUMNS)
     answers = written(requests.groupBy("kind", "bucket").applyInArrow(_answers, ROW_COLUMNS), "count-answers")
     numbers = {WORDS: np.zeros(K + 3, np.int64), BIGRAMS: np.zeros(K + 3, np.int64)}
     for r in answers.where(F.col("kind") == STATS).mapInArrow(_stat_sums, "kind int, a binary").collect():  # two rows a task

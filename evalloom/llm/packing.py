@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import Rolling, flat, pieces, table, words_of, written
+from evalloom.llm.common import Rolling, flat, pieces, releasing, table, words_of, written
 
 SIZE = 2048
 #: Words that a worker remembers the ids of, before it forgets the rarest.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 #: Bytes encoded at once.
 SLICE = 1_000_000
 
@@ -83,7 +83,7 @@ class WordEncoder:
 
     def ids(self, words: list[str]) -> list[bytes]:
         """Each word's ids as 32-bit integers."""
-        if len(self.parts) > REMEMBERED // 10:
+        if len(self.parts) > REMEMBERED // 20:
             self.parts = {}
         split, parts, simple, other = [], self.parts, {}, {}
         for w in words:
@@ -245,7 +245,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int | N
     not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = written(rows.mapInArrow(_piece_rows(tokenizer_path, size, end_id, with_ids), _PIECES + ", ids array<int>" * with_ids), "pieces")
+    cut = written(rows.mapInArrow(releasing(_piece_rows(tokenizer_path, size, end_id, with_ids)), _PIECES + ", ids array<int>" * with_ids), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     keys, sequences, offsets, totals = _slots(pack_histogram(histogram, size))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import flat, pieces, table, words_of, written
+from evalloom.llm.common import flat, pieces, releasing, table, words_of, written
 from evalloom.llm.components import connected, labels
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -67,7 +67,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 fp = fingerprints(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(releasing(rows), "doc_id long, fp long")
 
 
 def distance(x: np.ndarray, v) -> np.ndarray:

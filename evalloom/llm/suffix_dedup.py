@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.blocks import ROW_COLUMNS, bucket_bounds, bundle, doc_ids, joined, message_rows, ordered, pack, pack_sorted, text_blocks, unbundle, unpack, unpack_sorted
-from evalloom.llm.common import Rolling, mixed, pieces, shuffle_width, table, written
+from evalloom.llm.common import Rolling, mixed, pieces, releasing, shuffle_width, table, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once.
@@ -330,7 +330,7 @@ def repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = text_blocks(docs, id_col, text_col)
     buckets = max(shuffle_width(docs.sparkSession), blocks.count())
     order = Order(frequent_pieces(blocks))
-    asked = blocks.mapInArrow(_ask(buckets, order), ROW_COLUMNS)
+    asked = blocks.mapInArrow(releasing(_ask(buckets, order)), ROW_COLUMNS)
     answers = written(asked.groupBy("bucket").applyInArrow(_answer, ROW_COLUMNS), "run-answers")
     sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(buckets, order), ROW_COLUMNS)
     resolved = sent.groupBy("bucket").applyInArrow(_resolve, ROW_COLUMNS)

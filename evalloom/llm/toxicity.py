@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import crc_mod, table, written
+from evalloom.llm.common import crc_mod, releasing, table, written
 
 #: Labelled rows to learn from, at most; terms of a lexicon, at most.
 SAMPLE, TERMS = 20_000, 600
@@ -99,7 +99,7 @@ class Lexicon:
     def match(self, word: str) -> tuple[int, int] | None:
         if word in self.words:
             return self.words[word]
-        if len(self.words) > 200_000 or len(self.states) > 100_000:
+        if len(self.words) > 100_000 or len(self.states) > 100_000:
             self._empty()
         state, stem = 0, None
         for c in word:
@@ -234,7 +234,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
             if c:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array(list(c.values()), pa.int64()), pa.array([y] * len(c), pa.int32())], ["term", "n", "y"])
 
-    counts = sample.mapInArrow(counted, "term string, n long, y int").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
+    counts = sample.mapInArrow(releasing(counted), "term string, n long, y int").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
     telling = counts.where((F.col("p") >= max(3, LEAST_SHARE * toxic)) & ((F.col("p") + 0.5) / (toxic + 1) >= LEAST_ODDS * (F.col("q") + 0.5) / (other + 1)))
     words, stems = learned_lexicon([(r["term"], r["p"], r["q"]) for r in telling.orderBy(F.desc("p"), "term").limit(20 * TERMS).collect()], toxic, other)
     model = Model(words or DEFAULT_TERMS, stems, _PRIOR)
@@ -245,7 +245,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
             keys, counts = np.unique(np.column_stack([x, b.column(1).to_numpy()]), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.list_(pa.float64())), pa.array(counts, pa.int64())], ["x", "n"])
 
-    found = sample.mapInArrow(featured, "x array<double>, n long").collect()  # at most SAMPLE rows
+    found = sample.mapInArrow(releasing(featured), "x array<double>, n long").collect()  # at most SAMPLE rows
     x = np.repeat(np.array([r["x"] for r in found]), [r["n"] for r in found], axis=0)
     model.weights = fitted(x[:, :-1], x[:, -1])
     return model
@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 part = b.slice(at, 2000)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scored(pc.fill_null(part.column(1), "").to_pylist()))], ["doc_id", "score"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, "doc_id long, score double")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(rows), "doc_id long, score double")
     held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -274,7 +274,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             stay = model.scored(pc.fill_null(b.column(names.index(text_col)), "").to_pylist()) < 0.5
             yield b.filter(pa.array(stay))
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(releasing(rows), schema)
 
 
 def op7_toxicity(spark, sf_dir):
