@@ -174,46 +174,32 @@ def _piece_rows(path: str, size: int, end_id: int | None, with_ids: bool):
 
 
 def pack_histogram(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
-    """Patterns (count, lengths) that hold each length as often as the histogram says, none over size."""
+    """Patterns (count, lengths) that hold each length as often as the histogram says, none over size.
+
+    Lengths are placed longest first, each onto the packs with the most room; packs are opened only where none has room.
+    """
     open_packs: list[list[tuple[int, tuple | None]]] = [[] for _ in range(size + 1)]  # by room left; a pack is (length, rest of the pack)
-    done: list[tuple[int, tuple]] = []
     for length in sorted(histogram, reverse=True):
-        left, room, made = histogram[length], size, []
-        while left:
-            while room >= length and not open_packs[room]:
+        left, room = histogram[length], size
+        while left and room >= length:
+            if not open_packs[room]:
                 room -= 1
-            if room < length:  # no open pack has room
-                made.append((size - length, left, (length, None)))
-                break
+                continue
             count, pack = open_packs[room].pop()
             used = min(count, left)
             if count > used:
                 open_packs[room].append((count - used, pack))
-            made.append((room - length, used, (length, pack)))
+            open_packs[room - length].append((used, (length, pack)))
             left -= used
-            if not left and length * 2 > size:
-                break
-            if left and not any(open_packs[r] for r in range(length, room + 1)):
-                # packs made in this very round may take another of the same length
-                again = [m for m in made if m[0] >= length]
-                made = [m for m in made if m[0] < length]
-                for r, c, p in again:
-                    open_packs[r].append((c, p))
-                room = size
-        if made and made[-1][0] + length == size and made[-1][2][1] is None:  # fresh packs: several of this length may share one
-            rest, count, _ = made.pop()
-            each = 1 + rest // length
-            full, over = divmod(count, each)
-            for times, k in ((full, each), (1 if over else 0, over)):
-                if times:
-                    pack = None
-                    for _ in range(k):
-                        pack = (length, pack)
-                    made.append((size - k * length, times, pack))
-        for room_left, count, pack in made:
-            (open_packs[room_left] if room_left else done).append((count, pack))
+        # new packs: a second one of this length goes onto the first as long as it has room
+        for times, k in ((left // (size // length), size // length), (1 if left % (size // length) else 0, left % (size // length))):
+            if times:
+                pack = None
+                for _ in range(k):
+                    pack = (length, pack)
+                open_packs[size - k * length].append((times, pack))
     out = []
-    for count, pack in done + [x for packs in open_packs for x in packs]:
+    for count, pack in (x for packs in open_packs for x in packs):
         lengths = []
         while pack:
             lengths.append(pack[0])
