@@ -100,8 +100,8 @@ def _runs_of(data: np.ndarray, offsets: np.ndarray, grams: Rolling, wholes: Roll
     sums = grams.sums(data)
     at = np.arange(n - GRAM + 1)
     hashes = grams.hashes(sums, at, at + GRAM)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    # least hash, leftmost on ties, of each window, by windows of twice the width
+    bits = np.uint64(32)  # the same for all slices, or else equal windows could differ in what ties
+    # least hash (by its upper half), leftmost on ties, of each window, by windows of twice the width
     least, have = (order.keys(hashes) >> bits << bits) | at.astype(np.uint64), 1
     key = least
     while have * 2 <= width:
