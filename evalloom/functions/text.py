@@ -181,8 +181,8 @@ def holds_answer(text, answers, title=None) -> Column:
 
 
 def snippet(text, needle, width: int = 160) -> Column:
-    """The text around the needle's first occurrence, or null."""
-    at = F.locate(_c(needle) if not isinstance(needle, str) else needle, _c(text)) if isinstance(needle, str) else F.instr(_c(text), needle)
+    """The text around the first occurrence of needle, a column, or null."""
+    at = F.position(F.lit(needle) if isinstance(needle, str) else needle, _c(text))
     return F.when(at > 0, F.substr(_c(text), F.greatest(at - width, F.lit(1)), F.lit(2 * width)))
 
 
