@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evalloom.llm.common import table, written
 from evalloom.llm.exact_dedup import without_copies
+from evalloom.llm.near_dedup import without_similar
 from evalloom.llm.packing import pack
 from evalloom.llm.secret_scan import masked
-from evalloom.llm.simhash import without_near_copies
 from evalloom.llm.toxicity import trained, without_toxic
 
 
@@ -25,8 +25,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the row with the smallest id stays."""
-    return without_near_copies(docs)
+    """Of each group linked by 5-word shingles of similarity at least 0.8, the row with the smallest id stays."""
+    return without_similar(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
