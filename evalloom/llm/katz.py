@@ -30,7 +30,7 @@ from evalloom.llm.simhash import _LOWER, SPACE
 #: Bytes hashed at once.
 SLICE = 250_000
 #: Counts up to K are discounted by Good and Turing, higher ones by DELTA; bigrams count from LEAST on.
-K, DELTA, LEAST = 5, 0.1, 2
+K, DELTA, LEAST = 5, 0.1, 1
 END, BEGIN = np.uint64(0x0E5D0000_00000001), np.uint64(0xBE610000_00000001)
 WORDS, BIGRAMS, STATS, DOCS, SUMS = 0, 1, 2, 3, 4
 

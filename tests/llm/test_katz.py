@@ -71,3 +71,12 @@ def test_better_than_the_base(spark, sf):
 
 def test_empty(none):
     assert score(none).collect() == []
+
+
+def test_bigrams_seen_once(spark):
+    """A bigram that training holds once is likelier than one that it lacks, of words as frequent."""
+    train = [i for i in range(100) if not held(i)]
+    rows = [(train[0], "rare pair"), (train[1], "some other"), *[(i, f"filler{i % 7} text") for i in train[2:]]]
+    out = [i for i in range(100, 200) if held(i)]
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame([*rows, (out[0], "rare pair"), (out[1], "rare other")], "doc_id long, text string")).collect()}
+    assert got[out[0]] > got[out[1]] + 0.1
