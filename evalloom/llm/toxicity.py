@@ -65,6 +65,7 @@ class Lexicon:
         self.number: dict[frozenset, int] = {}
         self.step: list[dict[str, int]] = []
         self.met: list[int | None] = []  # a beginning that is complete in this state
+        self.nearly: list[int | None] = []  # the same, one edit away
         self.final: list[tuple[int, int] | None] = []  # what a word ending in this state is
         self.words: dict[str, tuple[int, int] | None] = {}
         self._state(frozenset([(0, 0)]))
@@ -80,6 +81,8 @@ class Lexicon:
             whole = [k for n, e in items if not e for k in self.ends[n]]
             near = [k for n, e in items if e for k in self.ends[n] if not self.terms[k][1] and len(self.terms[k][0]) >= FUZZY]
             self.met.append(min((k for k in whole if self.terms[k][1]), default=None))
+            # a beginning meets more words than a term does, so it takes a letter more
+            self.nearly.append(min((k for n, e in items if e for k in self.ends[n] if self.terms[k][1] and len(self.terms[k][0]) > FUZZY), default=None))
             exact = min((k for k in whole if not self.terms[k][1]), default=None)
             self.final.append((exact, 0) if exact is not None else (min(near), 2) if near else None)
         return self.number[items]
@@ -101,16 +104,20 @@ class Lexicon:
             return self.words[word]
         if len(self.words) > 100_000 or len(self.states) > 100_000:
             self._empty()
-        state, stem = 0, None
+        state, stem, nearly = 0, None, None
         for c in word:
             state = self.step[state].get(c) if c in self.step[state] else self._next(state, c)
             if state < 0:
                 break
             if stem is None and self.met[state] is not None:
                 stem = self.met[state]
+            if nearly is None:
+                nearly = self.nearly[state]
         found = self.final[state] if state >= 0 else None
         if (found is None or found[1] == 2) and stem is not None:
             found = (stem, 1)
+        if found is None and nearly is not None:
+            found = (nearly, 2)
         self.words[word] = found
         return found
 
@@ -145,17 +152,21 @@ def _candidates(text: str) -> set[str]:
 
 
 def learned_lexicon(counts: list[tuple[str, int, int]], toxic: int, other: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and beginnings, with their log odds, from (candidate, toxic documents, other documents), most frequent first; nothing that another term begins."""
+    """Words and beginnings, with their log odds, from (candidate, toxic documents, other documents), most frequent first; nothing that another term begins. A beginning is a term if it has over twice the toxic documents of any one word that it begins."""
     least = max(3, LEAST_SHARE * toxic)
     scored = [(p, c) for c, p, n in counts if p >= least and (p + 0.5) / (toxic + 1) >= LEAST_ODDS * (n + 0.5) / (other + 1)]
     words, stems = [], []
-    reach = {c: p for p, c in scored}
+    reach: dict[str, int] = {}  # by beginning, of the word among its own that most toxic documents have
+    for p, c in scored:
+        if not c.endswith("*"):
+            for n in (*STEMS, len(c)):
+                reach[c[:n]] = max(reach.get(c[:n], 0), p)
     for p, c in sorted(scored, key=lambda x: (-x[0], x[1].endswith("*"), -len(x[1]), x[1]))[: 20 * TERMS]:
         plain = c.rstrip("*")
         if any(plain[:n] in stems for n in STEMS) or len(words) + len(stems) >= TERMS:
             continue
         if c.endswith("*"):
-            if reach.get(plain, 0) < 0.5 * p:  # else the word itself says as much
+            if reach.get(plain, 0) < 0.5 * p:  # else a word says as much
                 stems.append(plain)
         else:
             words.append(c)

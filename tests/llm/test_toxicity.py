@@ -78,3 +78,20 @@ def test_nothing_labelled(spark, odd):
     model = T.trained(odd, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     bad = spark.createDataFrame([(1, "you pathetic idiot, you moron"), (2, "a calm day")], "doc_id long, text string")
     assert {r.doc_id: r.predicted for r in T.score(bad, model).collect()} == {1: 1, 2: 0}
+
+
+def test_misspelled_forms_of_learned_terms(spark):
+    """Learned words stay terms, so an edit in them is met; a beginning of many words is met with an edit too."""
+    insults, rows = ["idiot", "moron", "loser", "disgusting", "pathetic"], []
+    for i in range(400):
+        toxic = i % 2
+        rows.append((i, f"you {insults[i // 2 % 5]} go away now {i}" if toxic else f"a calm day by the lake {i}", toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = T.trained(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert set(insults) <= set(model.words)
+    for w in ("idiott", "idot", "moronn", "losser", "disgustng", "dsgusting", "pthetic", "patetic"):
+        assert model.lexicon().match(w)[1] == 2, w
+    many = T.Lexicon({}, {"worthl": 1.0})
+    assert many.match("worthless") == (0, 1) and many.match("wrthless") == (0, 2) and many.match("working") is None
+    words, stems = T.learned_lexicon([("shared*", 90, 0), *((f"shared{x}", 18, 0) for x in "abcde")], 100, 100)
+    assert list(stems) == ["shared"] and not words
