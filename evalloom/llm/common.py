@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one below the warehouse where that is unset.
+
+    On a cluster, a warehouse on the driver's machine is no shared folder, and using it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    return (where or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages").rstrip("/")
+    if where:
+        return where.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_stages"
+
+
+def anonymous(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ... by place, so that no column clashes with those an operator adds."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns c0, c1, ... of rows under the names of docs."""
+    return rows.select(*[F.col(f"c{k}") for k in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def column_of(docs: DataFrame, name: str) -> str:
+    """The anonymous name of a column, found as Spark finds it."""
+    found = [k for k, c in enumerate(docs.columns) if c == name] or [k for k, c in enumerate(docs.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"no single column {name}")
+    return f"c{found[0]}"
+
+
+#: A key of at least total / HOT rows is hot; there are HOT of them at most.
+HOT = 1000
+
+
+def joined_by_key(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """rows with what facts, one row a key, say of their key; n: the key's number of rows, which goes.
+
+    Hot keys, at most HOT of them whatever the tables, are broadcast, so their rows stay where they are; the others are shuffled.
+    """
+    total = facts.agg(F.sum(n).alias("n")).first()["n"] or 0
+    is_hot = F.col(n) * HOT >= total
+    hot = F.broadcast(facts.where(is_hot).drop(n))  # at most HOT rows
+    some = rows.join(hot, key)
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(~is_hot).drop(n), key)
+    return some.unionByName(rest)
+
+
+#: Rows of one long up to which a side is broadcast: 16 MB at most.
+FEW = 2_000_000
+
+
+def joined_small(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined (left_semi or left_anti) to keys, of one long column. Keys are counted: FEW at most are broadcast, so wide rows stay where they are; more are shuffled, and rows with them."""
+    keys = written(keys, "keys")
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, key, how)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -99,8 +153,84 @@ def crc_mod(column, n: int):
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
 
 
+def unaligned(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of data on, as a little-endian uint64; bytes beyond the end are 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def _lane(view: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first min(8, left) bytes at `at`."""
+    over = (8 - np.minimum(left, 8)).astype(np.uint64) * np.uint64(8)
+    return view[at] << over >> over
+
+
+#: Longer words are hashed and compared one by one.
+LONG_WORD = 512
+
+
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces of data, one after another."""
+    ends = np.cumsum(size, dtype=np.int64)
+    return data[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece of data, the same wherever it stands; not linear in the bytes, so structured pieces don't collide."""
+    size = end - start
+    out, view = mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), unaligned(data)
+    some, done = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(some):
+        out[some] = mixed((out[some] ^ _lane(view, start[some] + done, size[some] - done)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        done += 8
+        some = some[size[some] > done]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), 42)
+    return out
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the pieces of a and of b, of the same sizes, are equal."""
+    out, x, y = np.ones(len(size), bool), unaligned(a), unaligned(b)
+    some, done = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while len(some):
+        left = size[some] - done
+        out[some] &= _lane(x, a_start[some] + done, left) == _lane(y, b_start[some] + done, left)
+        done += 8
+        some = some[(size[some] > done) & out[some]]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = np.array_equal(a[a_start[k] : a_start[k] + size[k]], b[b_start[k] : b_start[k] + size[k]])
+    return out
+
+
+def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, in order, of the distinct pieces, the place of one piece for each, and for each piece its place among the distinct.
+
+    All pieces are compared with the one that stands for them; pieces that differ have places of their own, though their hashes be equal.
+    """
+    hashes = word_hashes(data, start, end)
+    distinct, some, which = np.unique(hashes, return_index=True, return_inverse=True)
+    size = end - start
+    one = some[which]
+    same = size == size[one]
+    same[same] = same_bytes(data, start[same], data, start[one[same]], size[same])
+    if not same.all():  # by bytes
+        number: dict[tuple[int, bytes], int] = {}
+        which = np.array([number.setdefault((h, data[a:z].tobytes()), len(number)) for h, a, z in zip(hashes.tolist(), start.tolist(), end.tolist(), strict=True)])
+        _, some = np.unique(which, return_index=True)
+        order = np.argsort(hashes[some], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        which, some = place[which], some[order]
+        distinct = hashes[some]
+    return distinct, some, which
+
+
 class Rolling:
-    """Polynomial hashes, modulo 2**64, of any pieces of a buffer from one running sum; equal bytes give equal hashes wherever they stand."""
+    """Polynomial hashes, modulo 2**64, of any pieces of a buffer from one running sum; equal bytes give equal hashes wherever they stand.
+
+    Structured bytes may collide, so a hash may say where to look and never that two pieces are equal.
+    """
 
     def __init__(self, seed: int = 0x5DEECE66D):
         self.value = byte_values(seed)

@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import Rolling, flat, pieces, releasing, table, words_of, written
+from evalloom.llm.common import distinct_words, flat, gathered, pieces, releasing, same_bytes, table, words_of, written
 
 SIZE = 2048
 #: Words that a worker remembers the ids of, before it forgets the rarest.
 REMEMBERED = 800_000
-#: Bytes encoded at once.
-SLICE = 1_000_000
+#: Bytes of texts, unless one is longer, and words encoded at once.
+SLICE, WORDS = 1_000_000, 250_000
 
 
 #: A word of letters up to U+00FF and marks after it: such a word splits there, and lower-casing it is simple.
@@ -44,10 +44,16 @@ def _byte_letters() -> dict[int, str]:
 _PROBES = ["the", "thonenanou", "élève", "straße", "%%%", "señorías", ".", "çà"]
 
 
+def _compacted(flat_: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces that begin there, one after another, and where they begin now."""
+    return gathered(flat_, begin.astype(np.int64), length), (np.cumsum(length, dtype=np.int64) - length).astype(np.int32), length
+
+
 class WordEncoder:
     """Encodes by words: in a tokenizer that never joins characters across white space, words can be encoded one by one.
 
-    Ids are kept by the word's 64-bit hash, in sorted arrays. Beyond REMEMBERED words, those seen only once are forgotten.
+    Ids are kept by the word's 64-bit hash, in sorted arrays, beside the word's bytes: a word is known if these are equal, so
+    words of equal hashes cost time and nothing else. Beyond REMEMBERED words, those seen only once are forgotten.
     A new word made of simple letters and marks is put together from its parts, so case and punctuation don't make the
     tokenizer run again.
     """
@@ -65,18 +71,16 @@ class WordEncoder:
         self.empty(self.tokenizer.get_vocab_size())
 
     def empty(self, vocabulary: int) -> None:
-        self.rolling = Rolling()
-        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint16 if vocabulary <= 1 << 16 else np.uint32)
-        self.begin, self.length, self.seen = (np.zeros(0, np.int32) for _ in range(3))
+        self.hashes, self.flat, self.text = np.zeros(0, np.uint64), np.zeros(0, np.uint16 if vocabulary <= 1 << 16 else np.uint32), np.zeros(0, np.uint8)
+        self.begin, self.length, self.seen, self.at, self.size = (np.zeros(0, np.int32) for _ in range(5))
 
     def _forget(self) -> None:
         stay = np.flatnonzero(self.seen > 1)
         if len(stay) > REMEMBERED // 2:
             stay = np.sort(stay[np.argsort(self.seen[stay])[-REMEMBERED // 2 :]])
-        length = self.length[stay]
-        ends = np.cumsum(length)
-        self.flat = self.flat[np.repeat(self.begin[stay] - (ends - length), length) + np.arange(int(length.sum()))]
-        self.hashes, self.begin, self.length, self.seen = self.hashes[stay], (ends - length).astype(np.int32), length, np.ones(len(stay), np.int32)
+        self.flat, self.begin, self.length = _compacted(self.flat, self.begin[stay], self.length[stay])
+        self.text, self.at, self.size = _compacted(self.text, self.at[stay], self.size[stay])
+        self.hashes, self.seen = self.hashes[stay], np.ones(len(stay), np.int32)
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return words_of(data, offsets, b" \n")
@@ -100,37 +104,66 @@ class WordEncoder:
                     parts[x] = array.array("I", e.ids).tobytes()
         return [parts[a] + parts[b] for a, b in split]
 
-    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        """hashes: those of words, in order."""
-        ids = self.ids(words)
-        length = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        at = np.searchsorted(self.hashes, hashes)
-        self.begin = np.insert(self.begin, at, (len(self.flat) + np.cumsum(length) - length).astype(np.int32))
-        self.length = np.insert(self.length, at, length)
-        self.seen = np.insert(self.seen, at, 0)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32).astype(self.flat.dtype)])
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows' bytes in one array, and each row's number of ids."""
+    def _ids_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.ids([data[a:z].tobytes().decode() for a, z in zip(start.tolist(), end.tolist(), strict=True)])
+        return np.frombuffer(b"".join(ids), np.uint32).astype(self.flat.dtype), np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+        """Words in the order of their hashes, no two of which are equal, nor equal to one that is known."""
+        ids, length = self._ids_of(data, start, end)
+        size = (end - start).astype(np.int32)
+        place = np.searchsorted(self.hashes, hashes)
+        self.begin = np.insert(self.begin, place, (len(self.flat) + np.cumsum(length) - length).astype(np.int32))
+        self.at = np.insert(self.at, place, (len(self.text) + np.cumsum(size) - size).astype(np.int32))
+        self.length, self.size = np.insert(self.length, place, length), np.insert(self.size, place, size)
+        self.seen, self.hashes = np.insert(self.seen, place, 0), np.insert(self.hashes, place, hashes)
+        self.flat = np.concatenate([self.flat, ids])
+        self.text = np.concatenate([self.text, gathered(data, start, size)])
+
+    def _known(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's place among the hashes, whether that hash is there, and whether it is that very word's, by its bytes."""
+        place = np.searchsorted(self.hashes, hashes)
+        there = place < len(self.hashes)
+        there[there] = self.hashes[place[there]] == hashes[there]
+        same = there.copy()
+        same[there] = self.size[place[there]] == (end - start)[there]
+        same[same] = same_bytes(data, start[same], self.text, self.at[place[same]].astype(np.int64), (end - start)[same])
+        return place, there, same
+
+    def _encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words, and each word's number of ids."""
         if len(self.hashes) > REMEMBERED:
             self._forget()
+        hashes, some, which = distinct_words(data, start, end)
+        start, end = start[some], end[some]
+        _, there, _ = self._known(data, start, end, hashes)
+        new = ~there
+        new[1:] &= hashes[1:] != hashes[:-1]
+        if new.any():
+            self._learn(data, start[new], end[new], hashes[new])
+        place, _, same = self._known(data, start, end, hashes)
+        pool = self.flat
+        begin, length = np.zeros(len(some), np.int64), np.zeros(len(some), np.int32)
+        begin[same], length[same] = self.begin[place[same]], self.length[place[same]]
+        self.seen[place[same]] += np.bincount(which, minlength=len(some)).astype(np.int32)[same]
+        if not same.all():  # another word has this hash
+            ids, n = self._ids_of(data, start[~same], end[~same])
+            begin[~same], length[~same] = len(pool) + np.cumsum(n) - n, n
+            pool = np.concatenate([pool, ids])
+        return gathered(pool, begin[which], length[which]), length[which]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows' bytes in one array, and each row's number of ids. Words are taken WORDS at a time, so a long text is not worked on as a whole."""
         start, end, first = self.words(data, offsets)
-        distinct, some, which = np.unique(self.rolling.hashes(self.rolling.sums(data), start, end), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, distinct)
-        known = place < len(self.hashes)
-        known[known] = self.hashes[place[known]] == distinct[known]
-        if not known.all():
-            raw = data.tobytes()
-            self._learn([raw[a:b].decode() for a, b in zip(start[some[~known]].tolist(), end[some[~known]].tolist(), strict=True)], distinct[~known])
-            place = np.searchsorted(self.hashes, distinct)
-        self.seen[place] += np.bincount(which, minlength=len(place)).astype(np.int32)
-        place_of = place[which]
-        length = self.length[place_of]
-        ends = np.cumsum(length, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        out = self.flat[np.repeat(self.begin[place_of] - (ends - length), length) + np.arange(total)]
-        return out, np.diff(np.concatenate([[0], ends])[first])
+        ids, ends, total = [], [np.zeros(1, np.int64)], 0
+        for at in range(0, len(start), WORDS):
+            a, z = start[at : at + WORDS], end[at : at + WORDS]
+            low = int(a[0])
+            found, length = self._encode_words(data[low : z[-1]], a - low, z - low)
+            ids.append(found)
+            ends.append(total + np.cumsum(length, dtype=np.int64))
+            total = int(ends[-1][-1])
+        return np.concatenate([*ids, np.zeros(0, self.flat.dtype)]), np.diff(np.concatenate(ends)[first])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -163,7 +196,8 @@ def _piece_rows(path: str, size: int, end_id: int | None, with_ids: bool):
                         piece = own[start : start + size]
                         out.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), len(own), part, int(seen[len(piece)])))
                         seen[len(piece)] += 1
-                        ids.append(piece.astype(np.int32))
+                        if with_ids:
+                            ids.append(piece.astype(np.int32))
                 if out:
                     columns = [pa.array(x, pa.int32() if k == 5 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))]
                     if with_ids:
@@ -228,7 +262,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int | N
 
     A document's ids are those of its whole text (null: empty), then end_id; each lies in exactly one piece. Without
     end_id, empty texts have no piece. Null and repeated doc_ids are packed like any other. Other columns of docs are
-    not read. An empty table gives an empty result.
+    not read. A text may have any length; its ids are held by one task, its words are encoded WORDS at a time. Lengths
+    that tie are placed in the order of their pieces. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cut = written(rows.mapInArrow(releasing(_piece_rows(tokenizer_path, size, end_id, with_ids)), _PIECES + ", ids array<int>" * with_ids), "pieces")

@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import evalloom.llm.packing as packing
+from evalloom.llm import common
 from evalloom.llm.common import flat
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -65,3 +66,30 @@ def test_little_padding(sample):
 
 def test_empty(none):
     assert packing.pack(none, PATH).collect() == []
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[k.bit_count() % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_of_equal_polynomial_hashes(spark, n):
+    """Thue-Morse words collide in polynomial hashes modulo 2**64, whatever the base."""
+    texts = [thue_morse(n, "a", "b"), thue_morse(n, "b", "a")]
+    tokenizer = Tokenizer.from_file(PATH)
+    got = {r.doc_id: r.ids_crc32 for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
+    assert got == {k: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for k, t in enumerate(texts)}
+
+
+def test_words_of_equal_hashes(monkeypatch):
+    """A hash says where to look only: with seven hashes in all, ids stay right."""
+    real = common.word_hashes
+    monkeypatch.setattr(common, "word_hashes", lambda *x: real(*x) % np.uint64(7))
+    monkeypatch.setattr(packing, "WORDS", 50)
+    rng = random.Random(2)
+    encoder, tokenizer = packing.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for _ in range(4):
+        texts = [" ".join("".join(rng.choice("abcé'") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 60))) for _ in range(20)]
+        ids, counts = encoder.encode(*flat(pa.array(texts)))
+        want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]

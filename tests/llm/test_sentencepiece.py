@@ -58,3 +58,11 @@ def test_marks_in_texts(spark):
     rows = spark.createDataFrame([(1, "a▁b"), (2, "a b")], "doc_id long, text string")
     got = {r.doc_id: r for r in S.digested(rows, PATH).collect()}
     assert got[1].ids_sha256 == got[2].ids_sha256 and not got[1].round_trip and got[2].round_trip
+
+
+def test_words_of_equal_polynomial_hashes():
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = ["".join((a, b)[k.bit_count() % 2] for k in range(n)) for n in (1024, 2048) for a, b in ("ab", "ba")]
+    ids, counts, *_ = S.encoder_at(PATH).encode_rows(*flat(pa.array(texts)))
+    want = library.encode(texts, num_threads=1)
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
