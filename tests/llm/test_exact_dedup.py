@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from evalloom.llm.exact_dedup import content_sort_dedup, without_copies
 
@@ -33,7 +34,22 @@ def test_empty(none):
     assert content_sort_dedup(none).collect() == [] and without_copies(none).collect() == []
 
 
-def test_rows_that_stay(odd):
-    got = without_copies(odd)
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_rows_that_stay(odd, partitions):
+    got = without_copies(odd, partitions=partitions)
     assert got.columns == odd.columns
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([2, 4, 5, None, 7, 8, 9, 10, 11, 12], key=str)
+    for r in got.collect():  # the row of the largest id, whole
+        assert r.asDict() in [x.asDict() for x in odd.where(F.col("doc_id").eqNullSafe(r.doc_id)).collect()]
+
+
+@pytest.mark.parametrize("partitions", [1, 16])
+def test_rows_of_copies_over_partitions(spark, partitions):
+    rows = [(i, "Hot" if i % 3 else f"t{i % 30}", i, "a", "b", 1, 2, 3, "c", 4) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key long, __n string, edge string, id int, prefix int, sha int, part string, c0 int").repartition(7)
+    want = {}
+    for i, t, *_ in rows:
+        want[t] = max(i, want.get(t, -1))
+    got = without_copies(docs, partitions=partitions)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r["__key"]) for r in got.collect()) == sorted((i, t, i) for t, i in want.items())
