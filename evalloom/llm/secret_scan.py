@@ -10,19 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import table, written
+from evalloom.llm.common import anonymous, column_of, joined_by_key, named, table, written
 
+#: A private key from its first line to its last, or without a last line to the end of its body.
+PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]{0,20}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*)"
 # The patterns of the base kinds. Group 1 is the value. Runs of hex digits are matched from 16 on: a shorter run can't hold a longer one.
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS = r"(AKIA[A-Z0-9]+)"
 HEX = r"([0-9a-f]{16,})"
 #: Further kinds that the operator adds, told apart by how they begin.
-OTHER = r"(gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
+OTHER = rf"(gh[pousr]_[A-Za-z0-9]{{36,}}|xox[abprs]-[A-Za-z0-9-]{{10,}}|[rs]k_(?:live|test)_[A-Za-z0-9]{{16,}}|AIza[A-Za-z0-9_-]{{35}}|eyJ[A-Za-z0-9_-]{{8,}}\.eyJ[A-Za-z0-9_-]{{8,}}\.[A-Za-z0-9_-]{{8,}}|{PEM})"
 OTHER_LITERALS = ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "k_test_", "AIza", "eyJ", "PRIVATE KEY-----"]
 OTHER_KINDS = [("gh", "github"), ("xox", "slack"), ("AIza", "google"), ("eyJ", "jwt"), ("-----", "pem")]
 
-#: Owners from which on a value counts as a copied example.
-COPIED_OWNERS = 3
+#: Owners from which on a value counts as a copied example; and repositories, if two owners at least hold it.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 5
 #: Matches whose lengths are summed at once.
 BLOCK = 64
 
@@ -49,7 +51,7 @@ def _before(blocks: Column) -> Column:
 
 
 def found_spans(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns in keep, and spans: array of (start, rank, end, kind, value) in order. Each text is read once per pattern; null counts as empty."""
+    """The columns in keep, and spans: array of (start, rank, end, kind, value) in order. A pattern runs twice over the texts that may hold a match, and values are cut from the matches; null counts as empty."""
     t = F.col(text)
     kinds = {
         "assign": (ASSIGN, F.contains(t, F.lit(":")) | F.contains(t, F.lit("="))),
@@ -59,23 +61,26 @@ def found_spans(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     }
     none = F.array().cast("array<string>")
     df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(text))
-    # matches follow one another: what lies before each, the match, its value
-    df = df.select(*keep, *[F.when(may, F.regexp_extract_all(text, F.lit(rf"(?s)\G(.*?)({rx})"), F.lit(g))).otherwise(none).alias(f"{kind}_{g}") for kind, (rx, may) in kinds.items() for g in (1, 2, 3)])
-    df = df.withColumns({f"{k}_n": F.zip_with(f"{k}_1", f"{k}_2", lambda p, m: F.length(p) + F.length(m)) for k in kinds})
+    # matches follow one another: group 0 is what lies before a match and the match, group 1 the match; only the lengths of the first are kept
+    found = lambda rx, g: F.regexp_extract_all(text, F.lit(rf"(?s)\G.*?({rx})"), F.lit(g))
+    df = df.select(*keep, *[F.when(may, F.transform(found(rx, 0), F.length)).otherwise(F.array().cast("array<int>")).alias(f"{kind}_n") for kind, (rx, may) in kinds.items()], *[F.when(may, found(rx, 1)).otherwise(none).alias(f"{kind}_2") for kind, (rx, may) in kinds.items()])
     # ends as running sums in two steps, so that many matches don't cost their square
     df = df.withColumns({f"{k}_b": _blocks(F.col(f"{k}_n")) for k in kinds})
     df = df.withColumns({f"{k}_o": _before(F.col(f"{k}_b")) for k in kinds})
 
     def spans(rank: int, k: str) -> Column:
+        rx = kinds[k][0]
+
         def one(m, i):
-            value, block = F.element_at(F.col(f"{k}_3"), i + 1), F.floor(i / BLOCK).cast("int")
-            start = F.element_at(F.col(f"{k}_o"), block + 1) + _sum(F.col(f"{k}_n"), block * BLOCK + 1, i % BLOCK) + F.length(F.element_at(F.col(f"{k}_1"), i + 1))
+            block = F.floor(i / BLOCK).cast("int")
+            end = F.element_at(F.col(f"{k}_o"), block + 1) + _sum(F.col(f"{k}_n"), block * BLOCK + 1, i % BLOCK) + F.element_at(F.col(f"{k}_n"), i + 1)
+            start, value = end - F.length(m), F.regexp_extract(m, rx, 1) if k == "assign" else m
             kind, order = F.lit(k), F.lit(rank)
             if k == "other":
                 kind, order = F.lit("stripe"), F.lit(rank + len(OTHER_KINDS))
                 for n, (begins, name) in enumerate(OTHER_KINDS):
                     kind, order = F.when(F.startswith(value, F.lit(begins)), name).otherwise(kind), F.when(F.startswith(value, F.lit(begins)), rank + n).otherwise(order)
-            return F.struct(start.alias("start"), order.alias("rank"), (start + F.length(m)).alias("end"), kind.alias("kind"), value.alias("value"))
+            return F.struct(start.alias("start"), order.alias("rank"), end.alias("end"), kind.alias("kind"), value.alias("value"))
 
         least = {"assign": 12, "access": 18}.get(k, 0)
         return F.filter(F.transform(f"{k}_2", one), lambda s: F.length(s["value"]) >= least)
@@ -88,23 +93,46 @@ def looks_live(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike("(?i)example|sample|dummy|changeme|placeholder|xxxx|1234567") & (F.size(F.array_distinct(F.split(value, ""))) >= 6)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied_owners: int = COPIED_OWNERS) -> DataFrame:
+_SPANS = "array<struct<start: int, rank: int, end: int, kind: string, value: string, owners: bigint, repositories: bigint, verdict: string>>"
+
+
+def ownership(found: DataFrame) -> DataFrame:
+    """How many distinct owners and repositories hold each value, by its SHA-256, of rows (owner, repo, spans); n: how often it is held."""
+    each = found.where(F.size("spans") > 0).select("owner", "repo", F.explode("spans").alias("s")).select("owner", "repo", F.sha2("s.value", 256).alias("hash"))
+    held = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
+    held = held.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
+    return held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"), F.sum("n").alias("n"))
+
+
+def judged(found: DataFrame, held: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
+    """row and spans with owners, repositories and verdict, of rows (row, spans) that have a span. Values that held lacks have no owner."""
+    each = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).withColumn("hash", F.sha2("s.value", 256))
+    mine = each.groupBy("hash").agg(F.count("*").alias("n"))
+    facts = written(mine.join(held.drop("n"), "hash", "left").select("hash", "n", F.coalesce("owners", F.lit(0)).alias("owners"), F.coalesce("repositories", F.lit(0)).alias("repositories")), "secret-owners")
+    copied = (F.col("owners") >= copied_owners) | ((F.col("owners") >= 2) & (F.col("repositories") >= copied_repositories))
+    verdict = F.when(copied, "copied").when(looks_live(F.col("s.value")), "live").otherwise("weak")
+    span = F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value", "owners", "repositories", verdict.alias("verdict"))
+    return joined_by_key(each, facts, "hash", "n").groupBy("row").agg(F.array_sort(F.collect_list(span)).cast(_SPANS).alias("judged"))
+
+
+def _owned(docs: DataFrame, owner_col: str, repo_cols: tuple[str, ...]) -> list[Column]:
+    name = {c.lower(): c for c in docs.columns}
+    owner = F.coalesce(F.col(f"`{name[owner_col]}`").cast("string"), F.lit("")) if owner_col in name else F.lit("")
+    return [owner.alias("owner"), F.to_json(F.struct(*[F.col(f"`{name[c]}`").cast("string").alias(c) for c in repo_cols if c in name] or [F.lit(0)])).alias("repo")]
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """One row per row of docs: doc_id, spans (array of kind, start, end, value, owners, repositories, verdict) by start.
 
     A repository is a combination of repo_cols. verdict: copied if at least copied_owners distinct owners hold the value,
-    else live if it looks so, else weak. Null texts count as empty, null owners as one owner. Rows are told apart by
-    themselves, so null and repeated ids do no harm. An empty table gives an empty result.
+    or two and copied_repositories repositories; else live if it looks so, else weak. Null texts count as empty and have
+    no spans, null owners as one owner. Texts may have any length. Rows are told apart by themselves, so null and repeated
+    ids do no harm. Other columns are not read. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.to_json(F.struct(*repo_cols)).alias("repo"))
-    found = written(found_spans(rows, "__text", ["doc_id", "owner", "repo"]).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
-    each = found.where(F.size("spans") > 0).select("row", "owner", "repo", F.explode("spans").alias("s")).withColumn("hash", F.sha2("s.value", 256))
-    held = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
-    held = held.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    held = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"))
-    verdict = F.when(F.col("owners") >= copied_owners, "copied").when(looks_live(F.col("s.value")), "live").otherwise("weak")
-    span = F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value", "owners", "repositories", verdict.alias("verdict"))
-    judged = each.join(held, "hash").groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("judged"))
-    return found.select("doc_id", "row").join(judged, "row", "left").select("doc_id", F.coalesce("judged", F.array().cast(judged.schema["judged"].dataType)).alias("spans"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *_owned(docs, owner_col, repo_cols))
+    found = written(found_spans(rows, "text", ["doc_id", "owner", "repo"]).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
+    told = judged(found, written(ownership(found), "secret-held"), copied_owners, copied_repositories)
+    return found.select("doc_id", "row").join(told, "row", "left").select("doc_id", F.coalesce("judged", F.array().cast(_SPANS)).alias("spans"))
 
 
 def _is(value: str, name: str = "kind"):
@@ -115,17 +143,26 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def masked(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each value judged live replaced by mask in its text, longest first; n_chars, where there is one, is counted anew. Rows of null ids stay as they are."""
-    live = F.filter("spans", lambda s: s["verdict"] == "live")
+def masked(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text", corpus: DataFrame | None = None, owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """docs with each value judged live replaced by mask in its text, longest first; n_chars, where there is one, is counted anew.
+
+    Owners are counted over corpus (docs, if not given): deduplication takes owners from copied examples, so it is best
+    given the raw corpus. Rows are told apart by themselves: null and repeated ids are masked like any other; null texts
+    stay null. Only rows with a candidate are shuffled. docs may have any columns. An empty table gives an empty result.
+    """
+    text, columns = column_of(docs, text_col), anonymous(docs).columns
+    rows = docs.select(*[F.col(f"`{name}`").alias(c) for name, c in zip(docs.columns, columns, strict=True)], F.col(f"`{text_col}`").cast("string").alias("text"), *_owned(docs, owner_col, repo_cols))
+    found = written(found_spans(rows, "text", [*columns, "owner", "repo"]).withColumn("row", F.monotonically_increasing_id()), "secret-rows")
+    raw = found if corpus is None else found_spans(corpus.select(F.col(f"`{text_col}`").cast("string").alias("text"), *_owned(corpus, owner_col, repo_cols)), "text", ["owner", "repo"])
+    live = F.filter("judged", lambda s: s["verdict"] == "live")
     longest_first = F.array_sort(F.array_distinct(F.transform(live, lambda s: F.struct((-F.length(s["value"])).alias("n"), s["value"].alias("value")))))
-    values = scan(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), longest_first.alias("__values")).where(F.size("__values") > 0)
-    values = values.groupBy("__id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__values")))).alias("__values"))  # rows of one id are few
-    both = docs.join(values, docs[id_col].cast("long") == F.col("__id"), "left")
-    both = both.withColumn("__text", F.when(F.col("__values").isNull(), F.col(text_col)).otherwise(F.aggregate("__values", F.col(text_col), lambda t, s: F.replace(t, s["value"], F.lit(mask)))))
-    counted = F.when(F.col("__values").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast("long")) if "n_chars" in docs.columns else None
-    new = {text_col: F.col("__text")} | ({"n_chars": counted} if counted is not None else {})
-    return both.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    values = judged(found.select("row", "spans"), written(ownership(raw), "secret-held")).select("row", longest_first.alias("values"))
+    new = F.aggregate("values", F.col(text).cast("string"), lambda t, s: F.replace(t, s["value"], F.lit(mask)))
+    some = found.where(F.size("spans") > 0).join(values, "row").withColumn("masked", F.size("values") > 0).withColumn(text, F.when(F.col("masked"), new).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        n = column_of(docs, "n_chars")
+        some = some.withColumn(n, F.when(F.col("masked"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return named(found.where(F.size("spans") == 0).select(*columns).unionByName(some.select(*columns)), docs)
 
 
 def op5_secret_scan(spark, sf_dir):
@@ -136,19 +173,20 @@ def op5_secret_scan(spark, sf_dir):
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
         *[F.size(F.filter("spans", _is(v, "verdict"))).cast("long").alias(f"n_{v}") for v in ("live", "copied")],
+        *[F.coalesce(F.array_max(F.col(f"spans.{c}")), F.lit(0)).alias(f"most_{c}") for c in ("owners", "repositories")],
     )
 
 
 def _sql_kind(kind: str, rank: int, regex: str, value: int, least: int) -> str:
     rx = regex.replace("'", "''")
     return f"""
-SELECT row, owner, m.n AS k, {rank} AS rank0, '{kind}' AS kind0, {least} AS least, length(p[m.n]) AS before, length(w[m.n]) AS size, v[m.n] AS value
-FROM (SELECT row, owner, regexp_extract_all(text, '(?s)(.*?)({rx})', 1) AS p, regexp_extract_all(text, '(?s)(.*?)({rx})', 2) AS w, regexp_extract_all(text, '(?s)(.*?)({rx})', {value}) AS v FROM d), unnest(range(1, len(p) + 1)) AS m(n)"""
+SELECT row, owner, repo, m.n AS k, {rank} AS rank0, '{kind}' AS kind0, {least} AS least, length(p[m.n]) AS before, length(w[m.n]) AS size, v[m.n] AS value
+FROM (SELECT row, owner, repo, regexp_extract_all(text, '(?s)(.*?)({rx})', 1) AS p, regexp_extract_all(text, '(?s)(.*?)({rx})', 2) AS w, regexp_extract_all(text, '(?s)(.*?)({rx})', {value}) AS v FROM d), unnest(range(1, len(p) + 1)) AS m(n)"""
 
 
 _KEYS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 OP5_SQL = (
-    "WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents), m AS ("
+    "WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, concat(coalesce('s' || source, ''), '|', coalesce('l' || lang, '')) AS repo, coalesce(text, '') AS text FROM documents), m AS ("
     + " UNION ALL ".join(
         [
             _sql_kind("assign", 0, rf"""(?:{_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 3, 12),
@@ -159,23 +197,23 @@ OP5_SQL = (
     )
     + """
 ), s AS (
-  SELECT row, owner, value, sum(before + size) OVER (PARTITION BY row, rank0 ORDER BY k) AS stop, size, least,
+  SELECT row, owner, repo, value, sum(before + size) OVER (PARTITION BY row, rank0 ORDER BY k) AS stop, size, least,
     CASE WHEN rank0 < 3 THEN kind0 WHEN value LIKE 'gh%' THEN 'github' WHEN value LIKE 'xox%' THEN 'slack' WHEN value LIKE 'AIza%' THEN 'google' WHEN value LIKE 'eyJ%' THEN 'jwt' WHEN value LIKE '-----%' THEN 'pem' ELSE 'stripe' END AS kind
   FROM m
 ), f AS (SELECT *, stop - size AS start, list_position(['assign', 'access', 'hex', 'github', 'slack', 'google', 'jwt', 'pem', 'stripe'], kind) AS rank FROM s WHERE length(value) >= least
-), h AS (SELECT value, count(DISTINCT owner) AS owners FROM f GROUP BY value
+), h AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT concat(owner, '/', repo)) AS repositories FROM f GROUP BY value
 ), j AS (
-  SELECT row, rank, start, concat(kind, ':', CAST(start AS BIGINT), ':', CAST(stop AS BIGINT)) AS span, kind, owners >= 3 AS copied,
+  SELECT row, rank, start, concat(kind, ':', CAST(start AS BIGINT), ':', CAST(stop AS BIGINT)) AS span, kind, owners, repositories, owners >= 3 OR (owners >= 2 AND repositories >= 5) AS copied,
     regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_matches(value, '(?i)example|sample|dummy|changeme|placeholder|xxxx|1234567') AND len(list_distinct(string_split(value, ''))) >= 6 AS lively
   FROM f JOIN h USING (value)
 ), g AS (
   SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(span, ',' ORDER BY start, rank) FILTER (rank <= 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans,
-    count(*) FILTER (NOT copied AND lively) AS n_live, count(*) FILTER (copied) AS n_copied
+    count(*) FILTER (NOT copied AND lively) AS n_live, count(*) FILTER (copied) AS n_copied, max(owners) AS most_owners, max(repositories) AS most_repositories
   FROM j GROUP BY row
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN g USING (row)
 """
 )
