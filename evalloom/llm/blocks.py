@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import flat, pieces, releasing, written
+from evalloom.llm.common import flat, pieces, releasing
 
 #: Bytes of text in a block, unless one text is longer.
 BLOCK = 6_000_000
@@ -53,18 +53,18 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-BLOCK_COLUMNS = "block long, ids binary, missing binary, offsets binary, text binary"
+BLOCK_COLUMNS = "block long, ids binary, missing binary, flags binary, offsets binary, text binary"
 
 
 def to_blocks(batches):
-    """Rows of whole texts; ids of null are 0 and missing."""
+    """Rows of whole texts, of ids, texts and flags; ids of null are 0 and missing."""
     for b in batches:
         data, offsets = flat(b.column(1))
         for at, to in pieces(offsets, BLOCK):
             ids = b.column(0).slice(at, to - at).to_pylist()
             raw, bounds = data[offsets[at] : offsets[to]].tobytes(), offsets[at : to + 1] - offsets[at]
-            columns = (pack(np.array([i or 0 for i in ids], np.int64)), np.packbits([i is None for i in ids]).tobytes(), pack(bounds), zstandard.compress(raw, 1))
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *[pa.array([x], pa.binary()) for x in columns]], ["block", "ids", "missing", "offsets", "text"])
+            columns = (pack(np.array([i or 0 for i in ids], np.int64)), np.packbits([i is None for i in ids]).tobytes(), np.packbits(b.column(2).slice(at, to - at).to_numpy(zero_copy_only=False).astype(bool)).tobytes(), pack(bounds), zstandard.compress(raw, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *[pa.array([x], pa.binary()) for x in columns]], [x.split()[0] for x in BLOCK_COLUMNS.split(", ")])
 
 
 def doc_ids(ids: bytes, missing: bytes) -> list[int | None]:
@@ -74,6 +74,7 @@ def doc_ids(ids: bytes, missing: bytes) -> list[int | None]:
 
 
 ROW_COLUMNS = "block long, kind int, bucket int, a binary, b binary, c binary"
+ROW_NAMES = [x.split()[0] for x in ROW_COLUMNS.split(", ")]
 ROW_SCHEMA = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
@@ -90,7 +91,7 @@ def joined(arrays: list[np.ndarray], kind) -> np.ndarray:
 
 
 
-def text_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents in blocks numbered by `block`, written to shared storage, so that each block is the same whenever it is read. Null texts count as empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(releasing(to_blocks), BLOCK_COLUMNS).withColumn("block", F.monotonically_increasing_id()), "text-blocks")
+def text_blocks(docs: DataFrame, id_col: str, text_col: str, flag=None) -> DataFrame:
+    """The documents in blocks numbered by `block`, to be stored before use, so that each block is the same whenever it is read. Null texts count as empty."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit(False) if flag is None else flag).alias("flag"))
+    return rows.mapInArrow(releasing(to_blocks), BLOCK_COLUMNS).withColumn("block", F.monotonically_increasing_id())

@@ -78,18 +78,31 @@ def joined_small(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFr
     return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, key, how)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage of df: a Parquet table in the shared folder, read again.
+def _stage_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cuts the lineage of df: a Parquet table in the shared folder, read again; by: a column that it is partitioned by.
 
     Later jobs read the table instead of repeating what made it, and a lost executor costs no more than its own tasks.
     An application's tables lie in one folder named by its id, which can go when the application's results are stored.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = _stage_path(spark, name)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As written, in buckets of key: grouping or joining by key doesn't shuffle the table again."""
+    spark = df.sparkSession
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.option("compression", "zstd").option("path", _stage_path(spark, name)).bucketBy(buckets, key).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

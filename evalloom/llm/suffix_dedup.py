@@ -327,7 +327,7 @@ def repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are UTF-8 bytes, null empty; matches never cross rows. Rows are ordered by id, null ids last, equal ids as they
     stand in the table's files. Other columns are not read. An empty table gives an empty result.
     """
-    blocks = text_blocks(docs, id_col, text_col)
+    blocks = written(text_blocks(docs, id_col, text_col), "text-blocks")
     buckets = max(shuffle_width(docs.sparkSession), blocks.count())
     order = Order(frequent_pieces(blocks))
     asked = blocks.mapInArrow(releasing(_ask(buckets, order)), ROW_COLUMNS)
