@@ -56,15 +56,19 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
 BLOCK_COLUMNS = "block long, ids binary, missing binary, flags binary, offsets binary, text binary"
 
 
-def to_blocks(batches):
+def to_blocks(size: int):
     """Rows of whole texts, of ids, texts and flags; ids of null are 0 and missing."""
-    for b in batches:
-        data, offsets = flat(b.column(1))
-        for at, to in pieces(offsets, BLOCK):
-            ids = b.column(0).slice(at, to - at).to_pylist()
-            raw, bounds = data[offsets[at] : offsets[to]].tobytes(), offsets[at : to + 1] - offsets[at]
-            columns = (pack(np.array([i or 0 for i in ids], np.int64)), np.packbits([i is None for i in ids]).tobytes(), np.packbits(b.column(2).slice(at, to - at).to_numpy(zero_copy_only=False).astype(bool)).tobytes(), pack(bounds), zstandard.compress(raw, 1))
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *[pa.array([x], pa.binary()) for x in columns]], [x.split()[0] for x in BLOCK_COLUMNS.split(", ")])
+
+    def rows(batches):
+        for b in batches:
+            data, offsets = flat(b.column(1))
+            for at, to in pieces(offsets, size):
+                ids, flags = b.column(0).slice(at, to - at).to_pylist(), b.column(2).slice(at, to - at).to_numpy(zero_copy_only=False).astype(bool)
+                raw, bounds = data[offsets[at] : offsets[to]].tobytes(), offsets[at : to + 1] - offsets[at]
+                columns = (pack(np.array([i or 0 for i in ids], np.int64)), np.packbits([i is None for i in ids]).tobytes(), np.packbits(flags).tobytes(), pack(bounds), zstandard.compress(raw, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), *[pa.array([x], pa.binary()) for x in columns]], [x.split()[0] for x in BLOCK_COLUMNS.split(", ")])
+
+    return rows
 
 
 def doc_ids(ids: bytes, missing: bytes) -> list[int | None]:
@@ -94,4 +98,4 @@ def joined(arrays: list[np.ndarray], kind) -> np.ndarray:
 def text_blocks(docs: DataFrame, id_col: str, text_col: str, flag=None) -> DataFrame:
     """The documents in blocks numbered by `block`, to be stored before use, so that each block is the same whenever it is read. Null texts count as empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit(False) if flag is None else flag).alias("flag"))
-    return rows.mapInArrow(releasing(to_blocks), BLOCK_COLUMNS).withColumn("block", F.monotonically_increasing_id())
+    return rows.mapInArrow(releasing(to_blocks(BLOCK)), BLOCK_COLUMNS).withColumn("block", F.monotonically_increasing_id())

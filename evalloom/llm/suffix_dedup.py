@@ -1,23 +1,24 @@
 """Suffix-array dedup: bytes that a string of LENGTH bytes covers go if the string also starts earlier.
 
-A position's longest previous factor is at least LENGTH exactly if the string of LENGTH bytes there starts somewhere
-earlier. Comparing all positions of a corpus at once isn't possible, so positions are dealt by content: a window of LENGTH
-bytes goes by the least hash of its GRAM-byte pieces (its anchor). Equal windows have equal anchors at equal places, and
-neighbouring windows mostly share theirs, so a document becomes runs of windows with one anchor, about one in 35 bytes.
-
-1. Blocks of texts ask, for each distinct run (anchor and whole run's bytes, as hashes), whether it occurs elsewhere. Copies
-   in a block are asked for once. Buckets of anchors answer: the first of its kind anywhere and alone with its anchor; a
-   later copy, all of whose windows are repeats; or the first of its kind, but other runs share the anchor.
-2. Only runs of the last sort are sent with their bytes. A bucket sorts the suffixes at their window starts by prefix
-   doubling up to LENGTH bytes; in suffix order, positions breaking ties, the previous smaller position with a common
-   prefix of LENGTH is the neighbour, and gives which windows are repeats.
+A position's longest previous factor (LPF) is the longest string that starts there and also somewhere earlier; a string of
+LENGTH bytes is a repeat exactly if the LPF at its start is LENGTH at least. One suffix array over the whole corpus fits no
+task, so positions are dealt by content: a window of LENGTH bytes goes by the least hash of its GRAM-byte pieces (its
+anchor). Equal windows have equal anchors at equal places, and neighbouring windows mostly share theirs, so a document
+becomes runs of windows with one anchor, about one in 35 bytes.
+
+1. Blocks of texts ask for each of their anchors whether other runs have it; buckets of anchors answer. Runs that have
+   their anchor alone hold no repeats. Copies of a run inside a block, compared byte by byte, are repeats and not sent.
+2. The other runs are sent with their bytes. A bucket makes equal runs one; of these, all but the first are repeats. For
+   the distinct runs it builds the suffix order of the windows' starts and the longest common prefixes of neighbours. The
+   previous and the next smaller position in suffix order then give each LPF.
 3. Blocks mark the repeats' bytes in their texts and cut them out.
 
-Buckets are ranges of hashes; copies of a long passage meet as one row per block and run. Pieces that very many documents
-hold, such as a short line of boilerplate, are anchors only of windows that have no other: in a bounded sample of blocks
-the frequent pieces are counted, and the order of hashes puts them last. So a window that reaches out of such a line is
-anchored outside it, and doesn't meet the same line's windows of all other documents. Which pieces are put last changes
-where windows meet, never the result.
+Hashes only say where strings meet; every removal rests on equal bytes. Copies of a long passage meet as one row per block
+and run. Pieces that very many documents hold, such as a short line of boilerplate, are anchors only of windows that have
+no other: in a bounded sample of blocks the frequent pieces are counted, and the order of hashes puts them last. So a
+window that reaches out of such a line is anchored outside it, and doesn't meet the same line's windows of all other
+documents. Where over HOT_RUNS runs still share an anchor, their windows are dealt one by one, by hashes of the windows.
+Which pieces are put last, and how windows are dealt, changes where they meet, never the result.
 """
 
 from __future__ import annotations
@@ -31,15 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.blocks import ROW_COLUMNS, bucket_bounds, bundle, doc_ids, joined, message_rows, ordered, pack, pack_sorted, text_blocks, unbundle, unpack, unpack_sorted
-from evalloom.llm.common import Rolling, mixed, pieces, releasing, shuffle_width, table, written
+from evalloom.llm.common import Rolling, bucketed, distinct_words, gathered, mixed, pieces, release, releasing, same_bytes, shuffle_width, table, unaligned, word_hashes, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once.
 SLICE = 250_000
 #: Blocks that are sampled for frequent pieces, the share of the sample's documents from which on a piece is frequent, and how many such pieces are put last.
 SAMPLE_BLOCKS, FREQUENT, LAST = 8, 0.002, 65_536
-ALONE, COPY, SHARED = 0, 1, 2
-ASKED, SENT, CUT = 0, 1, 2
+#: Runs of one anchor beyond which their windows are dealt one by one.
+HOT_RUNS = 20_000
+ALONE, SHARED, HOT = 0, 1, 2
+ASKED, SENT = 0, 1
 _LAST = np.iinfo(np.int64).max
 
 
@@ -64,39 +67,63 @@ class Order:
 class Runs:
     """The runs of windows of a block's texts, in text order.
 
-    start, stop: first window start and one beyond the last. anchor, whole: hashes. behind: bytes from start to the anchor.
+    start, stop: first window start and one beyond the last. anchor: a hash. first: the runs but the copies of earlier ones, by anchor.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, docs: list[int | None], order: Order):
         grams, wholes, found = Rolling(11), Rolling(23), []
         for at, to in pieces(offsets, SLICE):
-            low = int(offsets[at])
-            got = _runs_of(data[low : offsets[to]], offsets[at : to + 1] - low, grams, wholes, order)
-            got[0] += low
-            got[1] += low
-            found.append(got)
-        self.start, self.stop, behind, self.anchor, whole = (joined([f[k] for f in found], kind) for k, kind in enumerate([np.int64] * 3 + [np.uint64] * 2))
-        self.behind = behind
+            low, high = int(offsets[at]), int(offsets[to])
+            # of one long text, the windows that begin in each slice
+            cuts = [(low, high, offsets[at : to + 1] - low)] if to > at + 1 or high - low <= 2 * SLICE else [(x, z, np.array([0, z - x])) for x in range(low, high - LENGTH + 1, SLICE) for z in [min(x + SLICE + LENGTH - 1, high)]]
+            for x, z, bounds in cuts:
+                got = _runs_of(data[x:z], bounds, grams, wholes, order)
+                got[0] += x
+                got[1] += x
+                found.append(got)
+        self.start, self.stop, self.anchor, whole = (joined([f[k] for f in found], kind) for k, kind in enumerate([np.int64] * 2 + [np.uint64] * 2))
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         # place in the order of documents: by id, null ids last, then as they stand
         ids = np.array([_LAST if d is None else d for d in docs], np.int64)
         rank = np.empty(len(ids), np.int64)
         rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-        sorted_ = np.lexsort((self.start, rank[self.doc], whole, self.anchor))
-        new = np.ones(len(sorted_), bool)
-        new[1:] = (self.anchor[sorted_][1:] != self.anchor[sorted_][:-1]) | (whole[sorted_][1:] != whole[sorted_][:-1])
-        #: for each kind of run in this block, by anchor: its first run
-        self.first = sorted_[new]
-        self.whole = whole
+        place = np.lexsort((self.start, rank[self.doc], whole, self.anchor))
+        new = np.ones(len(place), bool)
+        new[1:] = (self.anchor[place][1:] != self.anchor[place][:-1]) | (whole[place][1:] != whole[place][:-1])
+        head = place[np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))]
+        size = self.stop - self.start + LENGTH - 1
+        some = np.flatnonzero(~new)
+        equal = size[place[some]] == size[head[some]]
+        equal[equal] = same_bytes(data, self.start[place[some[equal]]], data, self.start[head[some[equal]]], size[head[some[equal]]])
+        new[some[~equal]] = True
+        self.first = place[new]
         self.id = ids[self.doc] if len(ids) else np.zeros(0, np.int64)
         self.at = self.start - offsets[self.doc] if len(self.start) else self.start
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchors of first, in order, and how many runs have each."""
+        return np.unique(self.anchor[self.first], return_counts=True)
+
+    def sent(self, told: np.ndarray, data: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+        """What goes to buckets, in order: starts, numbers of windows, ids and places, and where each bucket's begin. told: by distinct anchor."""
+        told = np.repeat(told, self.anchors()[1])
+        some, hot = self.first[told == SHARED], self.first[told == HOT]
+        key, start, windows = self.anchor[some], self.start[some], (self.stop - self.start)[some]
+        if len(hot):
+            n = self.stop[hot] - self.start[hot]
+            single = np.repeat(self.start[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            key, start = np.concatenate([key, word_hashes(data, single, single + LENGTH)]), np.concatenate([start, single])
+            windows, some = np.concatenate([windows, np.ones(len(single), np.int64)]), np.concatenate([some, np.repeat(hot, n)])
+        place = np.argsort(key, kind="stable")
+        start, some = start[place], some[place]
+        return start, windows[place], self.id[some], self.at[some] + start - self.start[some], bucket_bounds(key[place], buckets)
+
 
 def _runs_of(data: np.ndarray, offsets: np.ndarray, grams: Rolling, wholes: Rolling, order: Order) -> list[np.ndarray]:
     n, width = len(data), LENGTH - GRAM + 1
     if n < LENGTH:
         none = np.zeros(0, np.int64)
-        return [none, none, none, none.astype(np.uint64), none.astype(np.uint64)]
+        return [none, none, none.astype(np.uint64), none.astype(np.uint64)]
     sums = grams.sums(data)
     at = np.arange(n - GRAM + 1)
     hashes = grams.hashes(sums, at, at + GRAM)
@@ -125,7 +152,7 @@ def _runs_of(data: np.ndarray, offsets: np.ndarray, grams: Rolling, wholes: Roll
     first = np.flatnonzero(new)
     start, stop, anchor = window[first], window[np.append(first[1:], len(window)) - 1] + 1, place[first]
     whole = wholes.hashes(wholes.sums(data), start, stop + LENGTH - 1) ^ ((anchor - start).astype(np.uint64) << np.uint64(56))
-    return [start, stop, anchor - start, mixed(hashes[anchor]), whole]  # least hashes are small; mixed anew, they fill all buckets
+    return [start, stop, mixed(hashes[anchor]), whole]  # least hashes are small; mixed anew, they fill all buckets
 
 
 def _block(row: dict, order: Order) -> tuple[list[int | None], np.ndarray, np.ndarray, Runs]:
@@ -139,65 +166,51 @@ def _each(batch):
 
 
 def _ask(buckets: int, order: Order):
+    """For each block and bucket: the distinct anchors, and how many runs of the block have each."""
+
     def rows(batches):
         for b in batches:
             for row in _each(b):
-                _, _, _, runs = _block(row, order)
-                anchor, out = runs.anchor[runs.first], []
+                anchor, runs = _block(row, order)[3].anchors()
                 bounds = bucket_bounds(anchor, buckets).tolist()
-                for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                    if a < z:
-                        own = runs.first[a:z]
-                        out.append((row["block"], ASKED, k, pack_sorted(anchor[a:z]), pack(runs.whole[own]), bundle(pack(runs.id[own]), pack(runs.at[own].astype(np.uint32)))))
+                out = [(row["block"], ASKED, k, pack_sorted(anchor[a:z]), pack(runs[a:z].astype(np.uint32)), None) for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < z]
                 yield from message_rows(out).to_batches()
 
     return rows
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-    anchors = [unpack_sorted(r["a"]) for r in rows]
-    anchor, whole = np.concatenate(anchors), np.concatenate([unpack(r["b"], np.uint64) for r in rows])
-    places = [unbundle(r["c"]) for r in rows]
-    doc, at = np.concatenate([unpack(p[0], np.int64) for p in places]), np.concatenate([unpack(p[1], np.uint32) for p in places])
-    block = np.repeat(np.arange(len(rows)), [len(x) for x in anchors])
-    order = np.lexsort((at, block, doc, whole, anchor))
-    a, w = anchor[order], whole[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
-    group_of = np.cumsum(np.append(True, a[1:] != a[:-1])) - 1 if len(a) else np.zeros(0, np.int64)
-    kinds = np.bincount(group_of, weights=new)
-    told = np.empty(len(order), np.uint8)
-    told[order] = np.where(~new, COPY, np.where(kinds[group_of] > 1, SHARED, ALONE))
-    ends = np.cumsum([len(x) for x in anchors])
-    return message_rows([(r["block"], ASKED, r["bucket"], pack(told[z - len(x) : z]), None, None) for r, x, z in zip(rows, anchors, ends.tolist(), strict=True)])
+def _answer(hot_runs: int):
+    def found(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["block"])
+        anchors = [unpack_sorted(r["a"]) for r in rows]
+        distinct, which = np.unique(np.concatenate(anchors), return_inverse=True)
+        runs = np.bincount(which, weights=np.concatenate([unpack(r["b"], np.uint32) for r in rows]), minlength=len(distinct))
+        told, at, out = np.where(runs == 1, ALONE, np.where(runs <= hot_runs, SHARED, HOT)).astype(np.uint8)[which], 0, []
+        for r, x in zip(rows, anchors, strict=True):
+            out.append((r["block"], ASKED, r["bucket"], pack(told[at : at + len(x)]), None, None))
+            at += len(x)
+        return message_rows(out)
+
+    return found
 
 
 def _told(answers: list[dict]) -> np.ndarray:
     return joined([unpack(r["a"], np.uint8) for r in ordered(answers, ASKED)], np.uint8)
 
 
-def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(size)
-    return data[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
-
 def _send(buckets: int, order: Order):
-    """The bytes of a block's runs that share their anchor with others."""
+    """The runs of a block that share their anchor with others, with their bytes."""
 
     def rows(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out, told = [], answers.to_pylist()
         for row in blocks.to_pylist():
             _, data, _, runs = _block(row, order)
-            own = runs.first[_told([r for r in told if r["block"] == row["block"]]) == SHARED]
-            bounds = bucket_bounds(runs.anchor[own], buckets).tolist()
-            for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            start, windows, ids, at, bounds = runs.sent(_told([r for r in told if r["block"] == row["block"]]), data, buckets)
+            for k, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                 if a < z:
-                    r = own[a:z]
-                    windows = runs.stop[r] - runs.start[r]
-                    text = _gathered(data, runs.start[r], windows + LENGTH - 1)
-                    numbers = [pack(x) for x in (runs.behind[r].astype(np.uint8), windows.astype(np.uint8), runs.id[r], runs.at[r].astype(np.uint32))]
-                    out.append((row["block"], SENT, k, pack_sorted(runs.anchor[r]), bundle(*numbers), zstandard.compress(text.tobytes(), 3)))
+                    text = gathered(data, start[a:z], windows[a:z] + LENGTH - 1)
+                    out.append((row["block"], SENT, k, bundle(pack(windows[a:z].astype(np.uint8)), pack(ids[a:z]), pack(at[a:z].astype(np.uint32))), zstandard.compress(text.tobytes(), 3), None))
+        release()
         return message_rows(out)
 
     return rows
@@ -223,59 +236,115 @@ def prefix_ranks(data: np.ndarray, start: np.ndarray, length: int = LENGTH) -> n
         have += step
 
 
-def repeated_windows(data: np.ndarray, start: np.ndarray, doc: np.ndarray, block: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which of the windows at start have a longest previous factor of LENGTH at least; (doc, block, at) is their order in the corpus."""
-    rank = prefix_ranks(data, start)
-    order = np.lexsort((at, block, doc, rank))
-    out = np.zeros(len(start), bool)
-    out[order[1:]] = rank[order][1:] == rank[order][:-1]  # the neighbour before is the previous smaller position of the same prefix
+def common_prefixes(data: np.ndarray, start: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """How many bytes, up to `length`, each string at start has in common with the one before it; 0 for the first."""
+    view, out = unaligned(np.concatenate([data, np.zeros(length + 8, np.uint8)])), np.zeros(len(start), np.int64)
+    some, done = np.arange(1, len(start)), 0
+    while len(some) and done < length:
+        differ = view[start[some] + done] ^ view[start[some - 1] + done]
+        out[some] = done + np.where(differ == 0, 8, np.bitwise_count((differ & -differ) - np.uint64(1)) >> 3)
+        some, done = some[differ == 0], done + 8
+    return np.minimum(out, length)
+
+
+def _previous_smaller(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place of a suffix order, the common prefix with the nearest place before it of a smaller position; 0 where there is none. lcp: with the place before."""
+    at, least = np.arange(len(position)) - 1, lcp.copy()
+    while True:
+        some = np.flatnonzero((at >= 0) & (least > 0))
+        some = some[position[at[some]] > position[some]]
+        if not len(some):
+            return np.where(at >= 0, least, 0)
+        # what lies between a place and its candidate is larger than either, so the candidate's candidate is next
+        to = at[some]
+        least[some], at[some] = np.minimum(least[some], least[to]), at[to]
+
+
+def longest_previous_factors(data: np.ndarray, start: np.ndarray, position: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For the strings of `length` bytes at start, whose order is given by distinct positions: the longest common prefix, up to `length`, with one of a smaller position."""
+    place = np.argsort(prefix_ranks(data, start, length), kind="stable")
+    lcp = common_prefixes(data, start[place], length)
+    before = _previous_smaller(position[place], lcp)
+    after = _previous_smaller(position[place][::-1], np.append(lcp[1:], 0)[::-1])[::-1]
+    out = np.empty(len(start), np.int64)
+    out[place] = np.maximum(before, after)
+    return out
+
+
+def repeated_windows(data: np.ndarray, start: np.ndarray, windows: np.ndarray, doc: np.ndarray, block: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the runs' windows occur earlier; (doc, block, at) is the runs' order in the corpus."""
+    order = np.lexsort((at, block, doc))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    _, _, which = distinct_words(data, start, start + windows + LENGTH - 1)
+    earliest = np.full(int(which.max()) + 1 if len(which) else 0, len(order))
+    np.minimum.at(earliest, which, rank)
+    first = earliest[which] == rank  # of equal runs
+    out = np.repeat(~first, windows)
+    own = np.flatnonzero(first)
+    n = windows[own]
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    window, run = np.repeat(start[own], n) + within, np.repeat(own, n)
+    # a window whose hash no other has is no repeat, and needs no place in the suffix order
+    rolling = Rolling(31)
+    _, same, times = np.unique(rolling.hashes(rolling.sums(data), window, window + LENGTH), return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times[same] > 1)
+    if len(some):
+        keep = np.unique(run[some])
+        size = windows[keep] + LENGTH - 1
+        moved = np.zeros(len(start), np.int64)
+        moved[keep] = np.cumsum(size) - size
+        # by document, block and place of the window
+        key = np.lexsort((at[run[some]] + within[some], block[run[some]], doc[run[some]]))
+        position = np.empty(len(some), np.int64)
+        position[key] = np.arange(len(some))
+        lpf = longest_previous_factors(gathered(data, start[keep], size), moved[run[some]] + within[some], position)
+        to = np.cumsum(windows) - windows
+        out[to[run[some]] + within[some]] = lpf >= LENGTH
     return out
 
 
 def _resolve(group: pa.Table) -> pa.Table:
     rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-    sizes, windows, docs, ats, blocks, texts, starts = [], [], [], [], [], [], []
-    begin = 0
-    for k, r in enumerate(rows):
-        _, count, doc, at = (unpack(x, kind) for x, kind in zip(unbundle(r["b"]), (np.uint8, np.uint8, np.int64, np.uint32), strict=True))
-        count = count.astype(np.int64)
-        text = np.frombuffer(zstandard.decompress(r["c"]), np.uint8)
-        ends = np.cumsum(count + LENGTH - 1)
-        within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        starts.append(begin + np.repeat(ends - (count + LENGTH - 1), count) + within)
-        docs.append(np.repeat(doc, count))
-        ats.append(np.repeat(at.astype(np.int64), count) + within)
-        blocks.append(np.full(len(within), k))
-        texts.append(text)
-        begin += len(text)
-        sizes.append(len(within))
-        windows.append(count)
-    repeats = repeated_windows(np.concatenate(texts), *[np.concatenate(x) for x in (starts, docs, blocks, ats)])
-    ends = np.cumsum(sizes).tolist()
-    return message_rows([(r["block"], SENT, r["bucket"], zstandard.compress(np.packbits(repeats[z - n : z]).tobytes(), 1), n.to_bytes(8, "little"), None) for r, n, z in zip(rows, sizes, ends, strict=True)])
-
-
-def _cut(with_text: bool, order: Order):
+    windows, docs, ats = [], [], []
+    for r in rows:
+        n, doc, at = (unpack(x, kind) for x, kind in zip(unbundle(r["a"]), (np.uint8, np.int64, np.uint32), strict=True))
+        windows.append(n.astype(np.int64))
+        docs.append(doc)
+        ats.append(at.astype(np.int64))
+    data = np.frombuffer(b"".join([zstandard.decompress(r["b"]) for r in rows]), np.uint8)
+    n = np.concatenate(windows)
+    size = n + LENGTH - 1
+    repeats = repeated_windows(data, np.cumsum(size) - size, n, np.concatenate(docs), np.repeat(np.arange(len(rows)), list(map(len, windows))), np.concatenate(ats))
+    out, a = [], 0
+    for r, w in zip(rows, windows, strict=True):
+        z = a + int(w.sum())
+        out.append((r["block"], SENT, r["bucket"], zstandard.compress(np.packbits(repeats[a:z]).tobytes(), 1), None, None))
+        a = z
+    release()
+    return message_rows(out)
+
+
+def _cut(with_text: bool, buckets: int, order: Order):
     def rows(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         told, out = answers.to_pylist(), []
         for row in blocks.to_pylist():
             docs, data, offsets, runs = _block(row, order)
-            own = [r for r in told if r["block"] == row["block"]]
-            kind = _told(own)
-            gone = np.ones(len(runs.start), bool)  # runs all of whose windows are repeats
-            gone[runs.first] = kind == COPY
+            mine = [r for r in told if r["block"] == row["block"]]
+            start, windows, _, _, bounds = runs.sent(_told(mine), data, buckets)
             # +1 where a covered stretch begins, -1 after its end
             edge = np.zeros(len(data) + LENGTH + 1, np.int16)  # at most LENGTH windows cover a byte
-            np.add.at(edge, runs.start[gone], 1)
-            np.add.at(edge, runs.stop[gone] + LENGTH - 1, -1)
-            shared = runs.first[kind == SHARED]
-            if len(shared):
-                bits = joined([np.unpackbits(np.frombuffer(zstandard.decompress(r["a"]), np.uint8))[: int.from_bytes(r["b"], "little")] for r in ordered(own, SENT)], np.uint8).astype(bool)
-                n = (runs.stop - runs.start)[shared]
-                to = np.cumsum(n)
-                window = (np.repeat(runs.start[shared] - (to - n), n) + np.arange(int(to[-1])))[bits]
-                edge[window] += 1
-                edge[window + LENGTH] -= 1
+            copies = np.ones(len(runs.start), bool)
+            copies[runs.first] = False
+            np.add.at(edge, runs.start[copies], 1)
+            np.add.at(edge, runs.stop[copies] + LENGTH - 1, -1)
+            for r in ordered(mine, SENT):
+                a, z = bounds[r["bucket"]], bounds[r["bucket"] + 1]
+                n = windows[a:z]
+                window = np.repeat(start[a:z] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                window = window[np.unpackbits(np.frombuffer(zstandard.decompress(r["a"]), np.uint8))[: len(window)].astype(bool)]
+                np.add.at(edge, window, 1)
+                np.add.at(edge, window + LENGTH, -1)
             covered = np.cumsum(edge[: len(data)], dtype=np.int16) > 0
             begins = covered.copy()
             begins[1:] &= ~covered[:-1]
@@ -286,6 +355,7 @@ def _cut(with_text: bool, order: Order):
                 a, z = int(offsets[k]), int(offsets[k + 1])
                 kept = data[a:z].tobytes() if removed[k] == removed[k + 1] else data[a:z][~covered[a:z]].tobytes()
                 out.append((doc, z - a, int(removed[k + 1] - removed[k]), int(spans[k + 1] - spans[k]), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+        release()
         names, types = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], [pa.int64()] * 4 + [pa.string(), pa.binary()]
         n = 5 + with_text
         columns = list(zip(*out, strict=True)) if out else [[]] * n
@@ -324,19 +394,20 @@ def frequent_pieces(blocks: DataFrame) -> np.ndarray:
 def repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the bytes kept.
 
-    Texts are UTF-8 bytes, null empty; matches never cross rows. Rows are ordered by id, null ids last, equal ids as they
-    stand in the table's files. Other columns are not read. An empty table gives an empty result.
+    Texts are UTF-8 bytes, null empty; matches never cross rows. Rows are ordered by id, null ids last, and rows of equal
+    ids as they are read. A text may have any length; its windows are worked on in slices. Other columns are not read. An
+    empty table gives an empty result.
     """
-    blocks = written(text_blocks(docs, id_col, text_col), "text-blocks")
-    buckets = max(shuffle_width(docs.sparkSession), blocks.count())
+    buckets = shuffle_width(docs.sparkSession)
+    blocks = bucketed(text_blocks(docs, id_col, text_col), "text_blocks", "block", buckets)
     order = Order(frequent_pieces(blocks))
     asked = blocks.mapInArrow(releasing(_ask(buckets, order)), ROW_COLUMNS)
-    answers = written(asked.groupBy("bucket").applyInArrow(_answer, ROW_COLUMNS), "run-answers")
+    answers = written(asked.groupBy("bucket").applyInArrow(_answer(HOT_RUNS), ROW_COLUMNS), "run-answers")
     sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send(buckets, order), ROW_COLUMNS)
     resolved = sent.groupBy("bucket").applyInArrow(_resolve, ROW_COLUMNS)
     told = answers.unionByName(resolved)
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(with_text, order), result)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cut(with_text, buckets, order), result)
 
 
 def op9_suffix_dedup(spark, sf_dir):
