@@ -147,19 +147,70 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumns({"y": (F.col("value") > 50).cast("int"), "strong": (F.col("user_id") % 2).cast("int"), "doublings": (F.col("user_id") % 5).cast("int")})
 
 
-@query()
+_XS = ["1.0::DOUBLE", "strong::DOUBLE", "doublings::DOUBLE"]
+_P = "1 / (1 + exp(-(b0 + b1 * strong + b2 * doublings)))"
+
+
+def _solved(h: str, g: list[str]) -> list[str]:
+    """The solution of a symmetric 3 x 3 system with entries h00 to h22, by cofactors."""
+    c = {(i, j): f"({h}{min(i1, j1)}{max(i1, j1)} * {h}{min(i2, j2)}{max(i2, j2)} - {h}{min(i1, j2)}{max(i1, j2)} * {h}{min(i2, j1)}{max(i2, j1)})" for i in range(3) for j in range(3) for i1, i2 in [((i + 1) % 3, (i + 2) % 3)] for j1, j2 in [((j + 1) % 3, (j + 2) % 3)]}
+    det = f"({h}00 * {c[0, 0]} + {h}01 * {c[0, 1]} + {h}02 * {c[0, 2]})"
+    return [f"({' + '.join(f'{c[i, j]} * {g[j]}' for j in range(3))}) / {det}" for i in range(3)]
+
+
+def newton_sql(cells: str, name: str, steady: float, prior: float, rounds: int = 9) -> str:
+    """Tables of a logistic fit of cells(g, strong, doublings, y, w), by g: {name}_b with b0 to b2, {name}_h with the information there."""
+
+    def moments(at: str) -> str:
+        hessian = ", ".join(f"sum(w * p * (1 - p) * {_XS[i]} * {_XS[j]}){f' + {steady if i or not prior else 0.0}' if i == j else ''} AS h{i}{j}" for i in range(3) for j in range(i, 3))
+        score = ", ".join(f"sum(w * (y - p) * {_XS[i]}) - {prior if i else 0.0} * any_value(b{i}) AS g{i}" for i in range(3))
+        return f"SELECT g, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, {hessian}, {score} FROM (SELECT *, {_P} AS p FROM {cells} JOIN {at} USING (g)) GROUP BY g"
+
+    out = [f"{name}_b0 AS (SELECT DISTINCT g, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2 FROM {cells})"]
+    for k in range(rounds):
+        step = _solved("h", ["g0", "g1", "g2"])
+        out.append(f"{name}_m{k} AS MATERIALIZED ({moments(f'{name}_b{k}')}), {name}_b{k + 1} AS MATERIALIZED (SELECT g, {', '.join(f'b{i} + {step[i]} AS b{i}' for i in range(3))} FROM {name}_m{k})")
+    return ", ".join([*out, f"{name}_b AS (SELECT * FROM {name}_b{rounds})", f"{name}_h AS MATERIALIZED ({moments(f'{name}_b{rounds}')})"])
+
+
+_EVENTS = "SELECT *, (value > 50)::INT AS y, user_id % 2 AS strong, user_id % 5 AS doublings FROM events"
+_WAYS = {"one": [(1, "user_id")], "two": [(1, "user_id"), (1, "event_type"), (-1, "user_id, event_type")]}
+
+
+def _meat_sql(way: str) -> str:
+    sums = ", ".join(f"sum((y - p) * {_XS[i]}) AS s{i}" for i in range(3))
+    return f"SELECT {', '.join(f'sum(s{i} * s{j}) * count(*) / (count(*) - 1) AS m{i}{j}' for i in range(3) for j in range(3))} FROM (SELECT {sums} FROM (SELECT *, {_P} AS p FROM e, pen_b) GROUP BY {way})"
+
+
+def _sandwich(ways: list[tuple[int, str]], model: str) -> str:
+    """Errors: for each term, the row of the inverted information around the clusters' outer products."""
+    meat = ", ".join(f"({_meat_sql(way)}) AS w{k}" for k, (_, way) in enumerate(ways))
+    total = {(i, j): "(" + " + ".join(f"{sign} * w{k}.m{i}{j}" for k, (sign, _) in enumerate(ways)) + ")" for i in range(3) for j in range(3)}
+    rows = []
+    for t, term in enumerate(("intercept", "strong", "doublings")):
+        v = _solved("h", ["1.0" if i == t else "0.0" for i in range(3)])
+        rows.append(f"SELECT '{model}' AS model, '{term}' AS term, b{t} AS estimate, sqrt(greatest(0, {' + '.join(f'({v[i]}) * ({v[j]}) * {total[i, j]}' for i in range(3) for j in range(3))})) AS se FROM pen_h, {meat}")
+    return " UNION ALL ".join(rows)
+
+
+_PLAIN = " UNION ALL ".join(f"SELECT 'plain' AS model, '{term}' AS term, b{t} AS estimate, sqrt({_solved('h', ['1.0' if i == t else '0.0' for i in range(3)])[t]}) AS se FROM ml_h" for t, term in enumerate(("intercept", "strong", "doublings")))
+
+
+@query(f"""WITH e AS ({_EVENTS}), c AS (SELECT 1 AS g, strong, doublings, y, count(*) AS w FROM e WHERE y IS NOT NULL GROUP BY ALL), {newton_sql('c', 'ml', 1e-6, 0.0)}, {newton_sql('c', 'pen', 0.1, 0.1)}
+SELECT model, term, round(estimate, 6) AS estimate, round(se, 6) AS se FROM ({_PLAIN} UNION ALL {_sandwich(_WAYS['one'], 'clustered')} UNION ALL {_sandwich(_WAYS['two'], 'two_way')})""")
 def logit_effects(spark, sf_dir):
     """Coefficients and errors by maximum likelihood, and with penalty and errors clustered by user and event type."""
     rows = _events(spark, sf_dir)
     plain, one, two = S.logit(rows, "y", ["strong", "doublings"]), S.logit_clustered(rows, "y", ["strong", "doublings"], ["user_id"]), S.logit_clustered(rows, "y", ["strong", "doublings"], ["user_id", "event_type"])
-    found = [(name, term, b, se) for name, fit in (("plain", plain), ("clustered", one), ("two_way", two)) for term, (b, se) in fit.items()]
+    found = [(name, term, round(b, 6), round(se, 6)) for name, fit in (("plain", plain), ("clustered", one), ("two_way", two)) for term, (b, se) in fit.items()]
     return spark.createDataFrame(found, "model string, term string, estimate double, se double")
 
 
-@query()
+@query(f"""WITH e AS ({_EVENTS}), t AS (SELECT DISTINCT event_type AS g FROM e), c AS (SELECT g, strong, doublings, y, count(*) AS w FROM e JOIN t ON event_type <> g WHERE y IS NOT NULL GROUP BY ALL), {newton_sql('c', 'ml', 1e-6, 0.0)}
+SELECT g AS without, round(b1, 6) AS strong FROM ml_b""")
 def leave_one_out(spark, sf_dir):
     rows = _events(spark, sf_dir)
-    found = S.leave_one_out(rows, "event_type", lambda d: S.logit(d, "y", ["strong", "doublings"])["strong"][0])
+    found = S.leave_one_out(rows, "event_type", lambda d: round(S.logit(d, "y", ["strong", "doublings"])["strong"][0], 6))
     return spark.createDataFrame(list(found.items()), "without string, strong double")
 
 
