@@ -7,12 +7,13 @@ misspelled) and by what stands around them: quotation marks or verbs of saying n
 function of these counts gives the score.
 
 Learning reads labelled training rows only, at most SAMPLE of them, the ones whose hashed ids come first; lexicon counts
-and features are computed on the executors, and the driver gets candidate terms and feature rows of that bounded sample.
+and features are computed on the executors, and the driver gets telling terms and feature rows of that bounded sample.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -23,16 +24,14 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.common import crc_mod, releasing, table, written
 
-#: Labelled rows to learn from, at most; terms of a lexicon, at most.
-SAMPLE, TERMS = 20_000, 600
+#: Labelled rows to learn from, at most.
+SAMPLE = 20_000
 #: Lengths of word beginnings that may become terms, and the least length of a term that may be misspelled.
 STEMS, FUZZY = range(3, 9), 5
 #: Training documents with a term at least, as a share of the toxic ones, and how much likelier it makes the label.
 LEAST_SHARE, LEAST_ODDS = 0.01, 40.0
 #: Words around a hit that tell quotation.
 WINDOW = 4
-#: Used where nothing is labelled.
-DEFAULT_TERMS = dict.fromkeys(["disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "worthless"], 5.0)
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = re.compile("[\"«»“”„‘]")
 _SAYING = {"said", "says", "called", "calls", "wrote", "quote", "quoted", "word", "dijo", "llamó", "palabra", "sagte", "nannte", "wort", "dit", "appelé", "mot"}
@@ -142,12 +141,13 @@ class Lexicon:
         for (term, kind), n in Counter(match(w) for w in hits).items():  # different words of one term
             out[kind] += self.odds[term] / 3 * (1 + np.log(n))
         out[3:5] = np.log1p([out[3], 100 * out[4] / len(words)])
-        return np.minimum(out, 10)
+        out[:3] = 10 * out[:3] / (10 + out[:3])  # many different terms say little more than some
+        return out
 
 
 def _candidates(text: str) -> set[str]:
-    """The text's words, and with a * the beginnings of longer words."""
-    words = {w for w in _WORD.findall(text.lower()) if 3 <= len(w) <= 24}
+    """The text's words of three letters or more, and with a * the beginnings of longer words."""
+    words = {w for w in _WORD.findall(text.lower()) if len(w) >= STEMS[0]}
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
@@ -155,19 +155,19 @@ def learned_lexicon(counts: list[tuple[str, int, int]], toxic: int, other: int)
     """Words and beginnings, with their log odds, from (candidate, toxic documents, other documents), most frequent first; nothing that another term begins. A beginning is a term if it has over twice the toxic documents of any one word that it begins."""
     least = max(3, LEAST_SHARE * toxic)
     scored = [(p, c) for c, p, n in counts if p >= least and (p + 0.5) / (toxic + 1) >= LEAST_ODDS * (n + 0.5) / (other + 1)]
-    words, stems = [], []
+    words, stems = [], {}
     reach: dict[str, int] = {}  # by beginning, of the word among its own that most toxic documents have
     for p, c in scored:
         if not c.endswith("*"):
             for n in (*STEMS, len(c)):
                 reach[c[:n]] = max(reach.get(c[:n], 0), p)
-    for p, c in sorted(scored, key=lambda x: (-x[0], x[1].endswith("*"), -len(x[1]), x[1]))[: 20 * TERMS]:
+    for p, c in sorted(scored, key=lambda x: (-x[0], x[1].endswith("*"), -len(x[1]), x[1])):
         plain = c.rstrip("*")
-        if any(plain[:n] in stems for n in STEMS) or len(words) + len(stems) >= TERMS:
+        if any(plain[:n] in stems for n in STEMS):
             continue
         if c.endswith("*"):
             if reach.get(plain, 0) < 0.5 * p:  # else a word says as much
-                stems.append(plain)
+                stems[plain] = None
         else:
             words.append(c)
     odds = {c: float(np.log((p + 0.5) / (toxic + 1) / ((n + 0.5) / (other + 1)))) for c, p, n in counts}
@@ -220,15 +220,27 @@ class Model:
 _lexicons: dict[tuple, Lexicon] = {}
 
 
+def untrained(why: str) -> Model:
+    """A model without terms, which says so."""
+    warnings.warn(f"the toxicity model is untrained: {why}", stacklevel=3)
+    return Model({}, {}, _PRIOR)
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    """From documents and labels (doc_id, toxic), of those whose crc32(doc_id as text) mod 5 is not 0."""
-    rows = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 5) != 0)).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y"))
+    """From documents and labels (doc_id, toxic), of those whose crc32(doc_id as text) mod 5 is not 0.
+
+    Null ids and labels other than 0 and 1 teach nothing; null texts are empty; of repeated ids one text is read, of equal
+    labels one. Texts may have any length. Where a label has no rows, or nothing tells them apart, the model has no terms:
+    it warns, and scores all texts alike, as not toxic.
+    """
+    rows = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 5) != 0)).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).distinct()
     rows = F.broadcast(rows.orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE))  # at most SAMPLE rows
-    sample = written(docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(rows, "id").select("text", "y"), "toxic-sample")
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(rows, "id")
+    sample = written(texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y"), "toxic-sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not other:
-        return Model(DEFAULT_TERMS, {}, _PRIOR)
+        return untrained("no rows of both labels")
 
     def counted(batches):
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -247,8 +259,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 
     counts = sample.mapInArrow(releasing(counted), "term string, n long, y int").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
     telling = counts.where((F.col("p") >= max(3, LEAST_SHARE * toxic)) & ((F.col("p") + 0.5) / (toxic + 1) >= LEAST_ODDS * (F.col("q") + 0.5) / (other + 1)))
-    words, stems = learned_lexicon([(r["term"], r["p"], r["q"]) for r in telling.orderBy(F.desc("p"), "term").limit(20 * TERMS).collect()], toxic, other)
-    model = Model(words or DEFAULT_TERMS, stems, _PRIOR)
+    words, stems = learned_lexicon([(r["term"], r["p"], r["q"]) for r in telling.collect()], toxic, other)  # terms of at least LEAST_SHARE of a bounded sample's toxic texts
+    if not words and not stems:
+        return untrained("no terms that tell the labels apart")
+    model = Model(words, stems, _PRIOR)
 
     def featured(batches):
         for b in batches:
@@ -263,7 +277,11 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted. Null texts count as empty; a null id is not held out."""
+    """One row per row of docs: doc_id, held_out, score, predicted.
+
+    Null texts count as empty; texts without a hit, empty ones too, have one score; a null id is not held out.
+    Repeated rows are scored each. Texts may have any length. Other columns are not read. An empty table gives an empty result.
+    """
 
     def rows(batches):
         for b in batches:
@@ -277,7 +295,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns; nothing is shuffled."""
+    """The rows of docs that are not predicted toxic, with all their columns, whatever their names; nothing is shuffled. Null texts are not toxic."""
     names, schema = docs.columns, docs.schema
 
     def rows(batches):
