@@ -72,3 +72,31 @@ def keyed_draw(*keys) -> Column:
 
 def keyed_uniform(*keys) -> Column:
     return keyed_draw(*keys) / 4294967296.0
+
+
+def keyed_draws(*keys) -> Column:
+    """Four numbers from 0 to 2**32 - 1 that depend on the keys only."""
+    digest = F.md5(F.concat_ws("|", *[k if isinstance(k, Column) else F.lit(str(k)) for k in keys]))
+    return F.transform(F.array(*[F.lit(1 + 8 * j) for j in range(4)]), lambda at: F.conv(F.substr(digest, at, F.lit(8)), 16, 10).cast("bigint"))
+
+
+#: Rounds of permuted_place, of which each takes one key.
+ROUNDS = 12
+#: Odd multipliers, below 2**32.
+MULTIPLIERS = (2654435761, 2246822519)
+
+
+def permuted_place(place: Column, n: Column, keys: Column) -> Column:
+    """`place`, from 0 to n - 1, moved by a permutation that the array of ROUNDS keys (0 to 2**32 - 1) draws.
+
+    Each round offers a place its mirror image about the round's key, and one bit that depends on the pair says for both
+    whether they swap. So any row knows its new place by itself: nothing is sorted or shuffled.
+    """
+
+    def moved(at, key):
+        mirror = F.pmod(key - at, n)
+        mixed = F.greatest(at, mirror).bitwiseXOR(key).bitwiseAND(F.lit(0x7FFFFFFF)) * MULTIPLIERS[0]
+        mixed = F.shiftright(mixed, 16).bitwiseAND(F.lit(0x7FFFFFFF)) * MULTIPLIERS[1]
+        return F.when(F.shiftright(mixed, 29).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(at)
+
+    return F.aggregate(keys, place, moved)

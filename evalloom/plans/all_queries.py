@@ -20,6 +20,9 @@ FLOATS = {
     "greedy_fill": "used",
     "cluster_bootstrap_ci": "rate wilson_lo wilson_hi boot_lo boot_hi",
     "permutation_test": "diff p",
+    "interaction_bootstrap": "interaction lo hi",
+    "macro_bootstrap": "macro lo hi",
+    "poisson_bootstrap": "lo hi",
     "paired_mcnemar": "rate_a rate_b diff diff_lo diff_hi p",
     "fisher_test": "p",
     "holm_adjusted": "p p_holm",

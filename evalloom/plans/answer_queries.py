@@ -8,6 +8,7 @@ from evalloom.functions import folding
 from evalloom.operators import label as L
 from evalloom.operators import reports as R
 from evalloom.plans.registry import query, spread, table
+from evalloom.plans.statistics_queries import DRAW, DRAWS
 from evalloom.plans.text_queries import LABELS, rendered
 
 HELD = f"SELECT *, CASE WHEN o_orderkey % 4 < 2 AND label = 'made_up' THEN true ELSE false END AS captured, NOT answerable AND o_orderkey % 4 < 2 AND form NOT IN (0, 7, 8) AS mentions FROM ({LABELS})"
@@ -64,12 +65,22 @@ def compared_units(spark, sf_dir):
     return R.significant(cells, ["event_type"], "arm", "even", "odd").select("event_type", "units")
 
 
-@query()
+_CELLS = "SELECT event_type, event_id % 2 AS a, event_id // 2 % 2 AS b, user_id, count(*) FILTER (value > 50) AS k, count(value) AS n FROM events GROUP BY ALL"
+
+
+@query(f"""WITH c AS ({_CELLS}), i AS (SELECT *, row_number() OVER (PARTITION BY event_type, a, b ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY event_type, a, b) AS m FROM c),
+s AS (SELECT event_type, sum(CASE WHEN a = b THEN r ELSE -r END) AS interaction FROM (SELECT event_type, a, b, sum(k) / greatest(sum(n), 1) AS r FROM c GROUP BY 1, 2, 3) GROUP BY 1),
+d AS (SELECT event_type, a, b, draw, {DRAW} % m AS i FROM i, unnest(range(1, {DRAWS + 1})) AS t(draw)),
+r AS (SELECT event_type, draw, sum(CASE WHEN a = b THEN r ELSE -r END) AS x FROM (SELECT event_type, a, b, draw, sum(k) / greatest(sum(n), 1) AS r FROM d JOIN i USING (event_type, a, b, i) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2)
+SELECT event_type, interaction, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM s JOIN r USING (event_type) GROUP BY 1, 2""")
 def interaction_bootstrap(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumns({"flag": F.col("value") > 50, "a": (F.col("event_id") % 2).cast("int"), "b": (F.floor(F.col("event_id") / 2) % 2).cast("int")})
-    return R.interaction(e, ["event_type"], "user_id", "flag", "a", "b", 200)
+    return R.interaction(e, ["event_type"], "user_id", "flag", "a", "b", DRAWS)
 
 
-@query()
+@query(f"""WITH c AS (SELECT event_type, user_id, count(*) FILTER (value > 50) / count(value) AS rate FROM events GROUP BY 1, 2),
+i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS m FROM c),
+d AS (SELECT event_type, draw, {DRAW} % m AS i FROM i, unnest(range(1, {DRAWS + 1})) AS t(draw)), r AS (SELECT event_type, draw, avg(rate) AS x FROM d JOIN i USING (event_type, i) GROUP BY 1, 2),
+e AS (SELECT event_type, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM r GROUP BY 1) SELECT event_type, avg(rate) AS macro, count(*) AS units, any_value(lo) AS lo, any_value(hi) AS hi FROM c JOIN e USING (event_type) GROUP BY 1""")
 def macro_bootstrap(spark, sf_dir):
-    return R.macro_bootstrap(table(spark, sf_dir, "events").withColumn("flag", F.col("value") > 50), ["event_type"], "user_id", "flag", 200)
+    return R.macro_bootstrap(table(spark, sf_dir, "events").withColumn("flag", F.col("value") > 50), ["event_type"], "user_id", "flag", DRAWS)

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from evalloom.functions.stats import fisher_exact, mcnemar_exact, normal_quantile
+from evalloom.functions.stats import MULTIPLIERS, ROUNDS, fisher_exact, mcnemar_exact, normal_quantile
 from evalloom.operators import statistics as S
 from evalloom.plans.registry import query, table
 from evalloom.plans.report_queries import LABELLED, labelled, wilson_sql
 
-DRAWS, PERMS = 200, 200
-HASH = "CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)"
+DRAWS, PERMS = 2000, 5000
+
+
+def four_sql(keys: str, number: str) -> str:
+    """The number-th (from 0 on) of the draws of keys, four from one digest; {four} in keys is the digest's number."""
+    return f"CAST(('0x' || substr(md5({keys.format(four=f'({number}) // 4')}), CAST(({number}) % 4 AS BIGINT) * 8 + 1, 8)) AS BIGINT)"
+
+
+DRAW = four_sql("concat('0|', {four}, '|', i)", "draw - 1")
+
+
+def place_sql(rows: str) -> str:
+    """rows(i, clusters, perm, ...) with i moved by the permutation's keys."""
+    for r in range(ROUNDS):
+        key = f"CAST(('0x' || substr(md5(concat('0|', perm, '|{r // 4}')), {8 * (r % 4) + 1}, 8)) AS BIGINT)"
+        mirror = "((key - i) % clusters + clusters) % clusters"
+        mixed = f"((xor(greatest(i, j), key) & 2147483647) * {MULTIPLIERS[0]})"
+        mixed = f"((({mixed} >> 16) & 2147483647) * {MULTIPLIERS[1]})"
+        rows = f"SELECT * EXCLUDE (key, j) REPLACE (CASE WHEN ({mixed} >> 29) & 1 = 1 THEN j ELSE i END AS i) FROM (SELECT *, {mirror} AS j FROM (SELECT r{r}.*, key FROM ({rows}) r{r} JOIN (SELECT perm, {key} AS key FROM unnest(range(1, {PERMS + 1})) AS t(perm)) USING (perm)))"
+    return rows
 
 
 def _counts(rows: str, keys: str, flag: str) -> str:
@@ -34,7 +54,7 @@ def quantile_sql(p: str) -> str:
 
 
 @query(f"""WITH c AS ({_counts('events', 'event_type', 'value > 50')}), i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS m FROM c),
-d AS (SELECT event_type, draw, {HASH.format(x="concat('0|', draw, '|', i)")} % m AS i FROM i, unnest(range(1, {DRAWS + 1})) AS t(draw)),
+d AS (SELECT event_type, draw, {DRAW} % m AS i FROM i, unnest(range(1, {DRAWS + 1})) AS t(draw)),
 r AS (SELECT event_type, draw, sum(k) / sum(n) AS rate FROM d JOIN i USING (event_type, i) GROUP BY 1, 2),
 e AS (SELECT event_type, quantile_cont(rate, 0.025) AS boot_lo, quantile_cont(rate, 0.975) AS boot_hi FROM r GROUP BY 1),
 t AS (SELECT event_type, CAST(sum(k) AS BIGINT) AS k, CAST(sum(n) AS BIGINT) AS n, count(*) AS clusters FROM c GROUP BY 1)
@@ -44,17 +64,18 @@ def cluster_bootstrap_ci(spark, sf_dir):
 
 
 @query(f"""WITH c AS (SELECT event_type, user_id % 2 = 0 AS arm, user_id, count(*) FILTER (value > 50) AS k, count(value) AS n FROM events GROUP BY ALL),
-s AS (SELECT event_type, sum(k) FILTER (arm) / sum(n) FILTER (arm) - sum(k) FILTER (NOT arm) / sum(n) FILTER (NOT arm) AS diff, count(*) FILTER (arm) AS m, count(*) AS clusters FROM c GROUP BY 1),
-p AS (SELECT *, row_number() OVER (PARTITION BY event_type, perm ORDER BY md5(concat('0|', perm, '|', user_id, '|', arm)), user_id) AS place FROM c, unnest(range(1, {PERMS + 1})) AS t(perm)),
-d AS (SELECT event_type, perm, any_value(diff) AS diff, sum(k) FILTER (place <= m) / sum(n) FILTER (place <= m) - sum(k) FILTER (place > m) / sum(n) FILTER (place > m) AS d FROM p JOIN s USING (event_type) GROUP BY 1, 2)
-SELECT event_type, clusters, s.diff AS diff, (hits + 1) / {PERMS + 1} AS p FROM s JOIN (SELECT event_type, count(*) FILTER (abs(d) >= abs(diff) - 1e-12) AS hits FROM d GROUP BY 1) USING (event_type)""")
+i AS MATERIALIZED (SELECT event_type, k, n, arm, row_number() OVER (PARTITION BY event_type ORDER BY user_id, arm) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS clusters, count(*) FILTER (arm) OVER (PARTITION BY event_type) AS m FROM c),
+s AS (SELECT event_type, sum(k) FILTER (arm) / sum(n) FILTER (arm) - sum(k) FILTER (NOT arm) / sum(n) FILTER (NOT arm) AS diff, count(*) AS clusters, sum(k) AS k, sum(n) AS n FROM i GROUP BY 1),
+p AS ({place_sql(f"SELECT event_type, k, n, m, clusters, i, perm FROM i, unnest(range(1, {PERMS + 1})) AS t(perm)")}),
+d AS (SELECT event_type, perm, sum(k) AS pk, sum(n) AS pn FROM p WHERE i < m GROUP BY 1, 2)
+SELECT event_type, s.clusters, s.diff AS diff, (count(*) FILTER (abs(pk / pn - (s.k - pk) / (s.n - pn)) >= abs(diff) - 1e-12) + 1) / {PERMS + 1} AS p FROM s JOIN d USING (event_type) GROUP BY ALL""")
 def permutation_test(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumns({"flag": F.col("value") > 50, "arm": F.col("user_id") % 2 == 0})
     return S.permutation_test(rows, ["event_type"], "user_id", "flag", "arm", PERMS)
 
 
 @query(f"""WITH m AS ({LABELLED}), c AS (SELECT source, count(*) FILTER (flag) AS ka, count(*) FILTER (NOT good) AS kb, count(*) AS n FROM m GROUP BY 1),
-i AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS m FROM c), d AS (SELECT draw, {HASH.format(x="concat('0|', draw, '|', i)")} % m AS i FROM i, unnest(range(1, {DRAWS + 1})) AS t(draw)),
+i AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS m FROM c), d AS (SELECT draw, {DRAW} % m AS i FROM i, unnest(range(1, {DRAWS + 1})) AS t(draw)),
 r AS (SELECT draw, (sum(ka) - sum(kb)) / sum(n) AS x FROM d JOIN i USING (i) GROUP BY 1), t AS (SELECT count(*) AS n, count(DISTINCT source) AS clusters, count(*) FILTER (flag) AS ka, count(*) FILTER (NOT good) AS kb, count(*) FILTER (flag AND good) AS a_only, count(*) FILTER (NOT flag AND NOT good) AS b_only FROM m)
 SELECT n, clusters, ka / n AS rate_a, kb / n AS rate_b, (ka - kb) / n AS diff, (SELECT quantile_cont(x, 0.025) FROM r) AS diff_lo, (SELECT quantile_cont(x, 0.975) FROM r) AS diff_hi, a_only, b_only,
 least(1::DOUBLE, 2 * (SELECT sum(exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2::DOUBLE))) FROM unnest(range(0, least(a_only, b_only) + 1)) AS u(i))) AS p FROM t""")
@@ -85,9 +106,9 @@ def holm_adjusted(spark, sf_dir):
     return S.holm(_fisher(spark, sf_dir).select("lang", "p"), [], "p", ["lang"])
 
 
-@query("SELECT o_orderkey, least(1::DOUBLE, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2::DOUBLE))) FROM unnest(range(0, least(a, n - a) + 1)) AS u(i))) AS p FROM (SELECT o_orderkey, o_custkey % 20 AS a, o_custkey % 20 + o_orderkey % 30 + 1 AS n FROM orders WHERE o_orderkey % 10 = 0)")
+@query("SELECT o_orderkey, least(1::DOUBLE, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2::DOUBLE))) FROM unnest(range(0, least(a, n - a) + 1)) AS u(i))) AS p FROM (SELECT o_orderkey, o_custkey % 20 AS a, o_custkey % 20 + o_orderkey % 30 + 1 AS n FROM orders)")
 def mcnemar_grid(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", mcnemar_exact(F.col("o_custkey") % 20, F.col("o_orderkey") % 30 + 1).alias("p"))
 
 
@@ -119,19 +140,21 @@ def random_effects(spark, sf_dir):
     return got.select("event_type", "k", *[F.round(c, 6).alias(c) for c in ("mean", "se")], *[F.round(c, 5).alias(c) for c in ("tau2", "q", "predict_lo", "predict_hi")])
 
 
-GRID_Q, GRID_S = 60, 40
+#: q = 0 and evenly spaced logarithms from 1e-7 to 0.1; s from 0.001 on in steps of 0.01.
+GRID_Q, GRID_S = 3001, 100
+_Q = f"CASE WHEN i = 0 THEN 0 ELSE pow(10::DOUBLE, -7 + 6 * (i - 1) / {GRID_Q - 2}::DOUBLE) END"
 
 
 @query(f"""WITH c AS (SELECT event_type, CASE user_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 32 ELSE 128 END AS length, user_id % 2 = 0 AS strong, count(*) FILTER (value > 80) AS k, count(*) AS n FROM events GROUP BY ALL),
-g AS (SELECT i / 5000.0::DOUBLE AS q, j / 41.0::DOUBLE AS s FROM unnest(range(1, {GRID_Q + 1})) a(i), unnest(range(1, {GRID_S + 1})) b(j)),
+g AS (SELECT {_Q} AS q, 0.001::DOUBLE + j / 100.0::DOUBLE AS s FROM unnest(range(0, {GRID_Q})) a(i), unnest(range(0, {GRID_S})) b(j)),
 f AS (SELECT event_type, q, s, k, n, least(greatest(CASE WHEN strong THEN 1 - (1 - s) * pow(1 - q, length) ELSE 1 - pow(1 - q, length) END, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE) AS f FROM c, g),
 l AS (SELECT event_type, q, s, sum(k * ln(f) + (n - k) * ln(1 - f)) AS ll FROM f GROUP BY ALL)
 SELECT event_type, round(arg_max(q, ll), 9) AS q, round(arg_max(s, ll), 9) AS s, round(max(ll), 4) AS ll FROM l GROUP BY 1""")
 def hazard_grid_mle(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumns({"length": F.when(F.col("user_id") % 3 == 0, 8).when(F.col("user_id") % 3 == 1, 32).otherwise(128), "strong": F.col("user_id") % 2 == 0})
     counts = e.groupBy("event_type", "length", "strong").agg(F.count_if(F.col("value") > 80).alias("k"), F.count("*").alias("n"))
-    q = spark.range(1, GRID_Q + 1).select((F.col("id") / 5000.0).alias("q"))
-    s = spark.range(1, GRID_S + 1).select((F.col("id") / 41.0).alias("s"))
+    q = spark.range(GRID_Q).select(F.when(F.col("id") == 0, 0.0).otherwise(F.pow(F.lit(10.0), F.lit(-7.0) + 6 * (F.col("id") - 1) / (GRID_Q - 2))).alias("q"))
+    s = spark.range(GRID_S).select((F.lit(0.001) + F.col("id") / 100.0).alias("s"))
     got = S.hazard_grid(counts, ["event_type"], q, s)
     return got.select("event_type", F.round("q", 9).alias("q"), F.round("s", 9).alias("s"), F.round("ll", 4).alias("ll"))
 
@@ -214,7 +237,13 @@ def leave_one_out(spark, sf_dir):
     return spark.createDataFrame(list(found.items()), "without string, strong double")
 
 
-@query()
+_THRESHOLDS = [int(sum(math.exp(-1) / math.factorial(k) for k in range(i)) * 4294967296) for i in range(1, 9)]
+_WEIGHT = " + ".join(f"(v >= {t})::INT" for t in _THRESHOLDS)
+
+
+@query(f"""WITH c AS ({_counts('events', 'event_type', 'value > 50')}), d AS (SELECT event_type, k, n, draw, {four_sql("concat('0|', {four}, '|', user_id)", 'draw - 1')} AS v FROM c, unnest(range(1, {DRAWS + 1})) AS t(draw)),
+r AS (SELECT event_type, draw, sum(({_WEIGHT}) * k) / sum(({_WEIGHT}) * n) AS rate FROM d GROUP BY 1, 2) SELECT event_type, quantile_cont(rate, 0.025) AS lo, quantile_cont(rate, 0.975) AS hi FROM r GROUP BY 1""")
 def poisson_bootstrap(spark, sf_dir):
     counts = S.cluster_counts(_events(spark, sf_dir).withColumn("flag", F.col("y") == 1), ["event_type"], "user_id", "flag")
-    return S.poisson_draws(counts, ["event_type"], "user_id", DRAWS).groupBy("event_type").agg(F.percentile(F.col("k") / F.col("n"), F.array(F.lit(0.025), F.lit(0.975))).alias("interval"))
+    ends = S.poisson_draws(counts, ["event_type"], "user_id", DRAWS).groupBy("event_type").agg(F.percentile(F.col("k") / F.col("n"), F.array(F.lit(0.025), F.lit(0.975))).alias("e"))
+    return ends.select("event_type", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
