@@ -53,9 +53,9 @@ def too_long(spark, sf_dir):
     return fit.select(F.lit(1).alias("fits")).unionByName(rejected.select(F.lit(0).alias("fits"))).agg(F.count_if(F.col("fits") == 1).alias("fit"), F.count_if(F.col("fits") == 0).alias("rejected"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w NOT IN ('', 'the', 'a', 'an', 'of', 'in', 'on', 'at', 'to', 'and', 'is', 'was', 'for', 'by', 'it', 'its', 'as', 'with', 'from', 'that')), ' ') AS words FROM documents WHERE lang = 'es'")
+@query("SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w NOT IN ('', 'the', 'a', 'an', 'of', 'in', 'on', 'at', 'to', 'and', 'is', 'was', 'for', 'by', 'it', 'its', 'as', 'with', 'from', 'that')), ' ') AS words FROM documents")
 def folded_words(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", "text")).select("doc_id", folding.folded_words("text").alias("words"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", folding.folded_words("text").alias("words"))
 
 
 @query("WITH c AS (SELECT event_type, user_id % 3 AS unit, user_id % 2 = 0 AS arm, count(*) FILTER (value > 50) AS k, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, count(*) AS units FROM c a JOIN c b USING (event_type, unit) WHERE a.arm AND NOT b.arm GROUP BY 1")
