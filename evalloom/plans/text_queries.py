@@ -75,11 +75,25 @@ def rendered(spark, sf_dir):
     return o.withColumns({"response": reply, "field": field, "answerable": answerable, "gold_aliases": gold, "lookalike_values": looks, "document": document})
 
 
-@query(f"""SELECT o_orderkey, CASE WHEN form IN (1, 2, 3, 9) THEN [concat(amount, '.0')] ELSE []::VARCHAR[] END AS money, CASE WHEN form IN (4, 5) THEN [strftime(day, '%Y-%m-%d')] ELSE []::VARCHAR[] END AS dates,
-CASE WHEN form = 6 THEN [level] ELSE []::INT[] END AS floors FROM ({RENDERED})""")
+# The replies as SQL writes them, and its own patterns for what they state
+_MONEY_SQL = "concat('$', format('{:,}', amount))"
+_DAY_SQL = "strftime(day, '%B %-d, %Y')"
+REPLIES = f"""SELECT *, CASE form WHEN 0 THEN 'The records do not mention that lease. Therefore, the answer is not in the records.' WHEN 1 THEN concat('The monthly rent is ', {_MONEY_SQL}, '.')
+WHEN 2 THEN concat('It is not listed, but maybe ', format('{{:,}}', amount), '.') WHEN 3 THEN concat('<think>rent?</think>**Final answer:** ', amount, ' dollars') WHEN 4 THEN concat('The lease ends on ', {_DAY_SQL}, '.')
+WHEN 5 THEN concat('Answer: ', strftime(day, '%Y-%m-%d')) WHEN 6 THEN concat('They lease floor ', level, '.') WHEN 7 THEN 'N/A' WHEN 8 THEN 'Could you tell me which company you mean?'
+ELSE concat('There is no such lease. The closest one pays ', {_MONEY_SQL}, '. Therefore, the rent is ', {_MONEY_SQL}, '.') END AS reply FROM ({RENDERED})"""
+_AMOUNT = r"(?i)(?:\$|usd\s*)\s?\d[\d,]*(?:\.\d+)?|\b(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{4,}(?:\.\d+)?)\s*(?:dollars|usd)?\b"
+_YEAR = r"^(?:19|20)\d\d\s*(?:dollars|usd)?$"
+_LONG_DAY = r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}\b"
+_STOREY = r"(?i)\bfloor\s*[:#]?\s*\d{1,3}\b|\b\d{1,3}(?:st|nd|rd|th)[\s-]+floor\b|^\W*(?:floor\s*)?\d{1,3}(?:st|nd|rd|th)?\W*$|\blevel\s+\d{1,3}\b"
+
+
+@query(f"""SELECT o_orderkey, list_filter(m, lambda x, i: list_position(m, x) = i) AS money,
+list_concat(list_transform(regexp_extract_all(reply, '{_LONG_DAY}'), lambda d: strftime(strptime(d, '%B %-d, %Y'), '%Y-%m-%d')), regexp_extract_all(reply, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b')) AS dates,
+list_transform(regexp_extract_all(reply, '{_STOREY}'), lambda f: CAST(regexp_extract(f, '[0-9]+') AS INT)) AS floors FROM (SELECT *, list_transform(list_filter(regexp_extract_all(reply, '{_AMOUNT}'), lambda m: NOT regexp_matches(m, '{_YEAR}')), lambda m: concat(regexp_replace(m, '[^0-9.]', '', 'g'), '.0')) AS m FROM ({REPLIES}))""")
 def reply_value_extract(spark, sf_dir):
     amounts = F.transform(V.parse_money("response"), lambda v: F.concat(v.cast("long").cast("string"), F.lit(".0")))
-    return rendered(spark, sf_dir).select("o_orderkey", amounts.alias("money"), V.parse_dates("response").alias("dates"), F.when(F.col("form") == 6, V.parse_floors("response")).otherwise(F.array().cast("array<int>")).alias("floors"))
+    return rendered(spark, sf_dir).select("o_orderkey", amounts.alias("money"), V.parse_dates("response").alias("dates"), V.parse_floors("response").alias("floors"))
 
 
 LABEL = """CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN form IN (0, 7) THEN 'wrong_refusal' WHEN form = 8 THEN 'other' WHEN form IN (4, 5, 6) THEN 'correct' WHEN o_orderkey % 2 = 0 THEN 'correct' ELSE 'wrong' END
