@@ -10,64 +10,69 @@ stars are joined over all shards.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import flat, pieces, releasing, table, words_of, written
+from evalloom.llm.common import anonymous, column_of, flat, gathered, joined_by_key, joined_small, named, pieces, releasing, table, words_of, written
 from evalloom.llm.components import connected, labels
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints that fit the sharding tree, and how many a shard should hold.
-SAMPLE, SHARD = 16_384, 50_000
-#: Fingerprints of a leaf, whose pairs are all compared.
-LEAF = 384
+SAMPLE, SHARD = 131_072, 50_000
+#: Fingerprints of a leaf, whose pairs are all compared; shingles hashed at once.
+LEAF, AT_ONCE = 384, 200_000
+#: Fingerprints that no vantage point parts from which on changed bits are looked up instead of comparing all pairs.
+DENSE = 40_000
 SPACE = b" \t\n\v\f\r"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """uint64 for each row of UTF-8 bytes; 0 without words."""
+    """uint64 for each row of UTF-8 bytes; 0 without words. Shingles are hashed AT_ONCE at a time, so a long text is not worked on as a whole."""
     data = _LOWER[data]
     start, end, first = words_of(data, offsets, SPACE)
-    n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
-    if not len(start):
-        return out
-    # words with one space between them
-    size = end - start
-    to = np.concatenate([[0], np.cumsum(size + 1)])
-    joined = np.full(to[-1], 32, np.uint8)
-    at = np.repeat(to[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-    joined[at] = data[np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))]
     words = np.diff(first)
     shingles = np.where(words == 0, 0, np.maximum(words - width + 1, 1))
     ends = np.cumsum(shingles)
-    word = np.repeat(first[:-1] - (ends - shingles), shingles) + np.arange(int(ends[-1]))
-    last = word + np.repeat(np.minimum(words, width), shingles) - 1
-    raw, digest = joined.tobytes(), xxhash.xxh64_digest
-    hashed = b"".join([digest(raw[a:b], seed) for a, b in zip(to[word].tolist(), (to[last] + size[last]).tolist(), strict=True)])
-    bits = np.unpackbits(np.frombuffer(hashed, np.uint8).reshape(-1, 8), axis=1)
-    some = shingles > 0
-    counts = np.add.reduceat(bits, (ends - shingles)[some], axis=0, dtype=np.int32)
-    out[some] = np.packbits(counts * 2 > shingles[some][:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-    return out
-
-
-def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (long, the fingerprint's bits)."""
+    counts, digest = np.zeros((len(words), 64), np.int32), xxhash.xxh64_digest
+    for low in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+        shingle = np.arange(low, min(low + AT_ONCE, int(ends[-1])))
+        row = np.searchsorted(ends, shingle, side="right")
+        word = first[row] + shingle - (ends - shingles)[row]
+        last = word + np.minimum(words[row], width) - 1
+        # the words of these shingles, with one space between them
+        a, z = int(word[0]), int(last[-1]) + 1
+        size = end[a:z] - start[a:z]
+        to = np.cumsum(size + 1) - size - 1
+        joined = np.full(int(to[-1] + size[-1] + 1), 32, np.uint8)
+        joined[np.repeat(to - np.cumsum(size) + size, size) + np.arange(int(size.sum()))] = gathered(data, start[a:z], size)
+        raw = joined.tobytes()
+        hashed = b"".join([digest(raw[x:y], seed) for x, y in zip(to[word - a].tolist(), (to[last - a] + size[last - a]).tolist(), strict=True)])
+        bits = np.unpackbits(np.frombuffer(hashed, np.uint8).reshape(-1, 8), axis=1)
+        begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        counts[row[begins]] += np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > shingles[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def fingerprinted(rows_: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, row_col: str | None = None) -> DataFrame:
+    """doc_id, fp (long, the fingerprint's bits) and row: row_col, or a number of its own for each row."""
 
     def rows(batches):
         for b in batches:
-            data, offsets = flat(b.column(1))
+            data, offsets = flat(b.column(2))
             for at, to in pieces(offsets, 1_000_000):
-                fp = fingerprints(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                fp = fingerprints(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], width)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), pa.array(fp.view(np.int64))], ["row", "doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(releasing(rows), "doc_id long, fp long")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    numbered = rows_.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return numbered.mapInArrow(releasing(rows), "row long, doc_id long, fp long")
 
 
 def distance(x: np.ndarray, v) -> np.ndarray:
@@ -137,6 +142,30 @@ def _leaf_links(x: np.ndarray, radius: int) -> np.ndarray:
         label = after
 
 
+def _flips(radius: int) -> np.ndarray:
+    """All values of at most `radius` bits but 0."""
+    one = [1 << k for k in range(64)]
+    return np.array([sum(c) for n in range(1, radius + 1) for c in itertools.combinations(one, n)], np.uint64)
+
+
+def _dense_links(x: np.ndarray, radius: int) -> np.ndarray:
+    """As _leaf_links, for a large set that no vantage point parts: each value with some bits changed is looked up, so the work grows with len(x) and not its square."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k, flip in enumerate(flips := _flips(radius)):
+        y = x ^ flip
+        some = np.flatnonzero(y < x)
+        at = np.searchsorted(x, y[some])
+        hit = x[at] == y[some]  # y < x, so at is within
+        a, b = np.concatenate([a, some[hit]]), np.concatenate([b, at[hit]])
+        if len(a) > 4 * len(x) + 100_000 or k == len(flips) - 1:
+            label = labels(len(x), a, b)
+            a = np.flatnonzero(label != np.arange(len(x)))
+            b = label[a]
+    label = np.arange(len(x))
+    label[a] = b
+    return label
+
+
 def linked(x: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> np.ndarray:
     """For each of the sorted distinct fingerprints x, the smallest place that it reaches by links of at most radius bits."""
     a, b, todo = [], [], [np.arange(len(x))]
@@ -144,7 +173,7 @@ def linked(x: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> np.ndarray:
         rows = todo.pop()
         found = split(x[rows], radius) if len(rows) > leaf else None
         if found is None:
-            label = _leaf_links(x[rows], radius)
+            label = _dense_links(x[rows], radius) if radius <= 2 and len(rows) > DENSE else _leaf_links(x[rows], radius)
             moved = label != np.arange(len(rows))
             a.append(rows[moved])
             b.append(rows[label[moved]])
@@ -175,25 +204,37 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SH
     return distinct.select("fp").mapInArrow(dealt, "fp long, leaf int").groupBy("leaf").applyInArrow(stars, "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: doc_id, fp, fingerprint, component_id (the smallest doc_id that the row reaches).
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE, row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, fp, fingerprint, component_id (the smallest doc_id that the row reaches), and row.
 
     Null texts count as empty; all empty texts have fingerprint 0 and are linked. Null ids are never the smallest, unless
-    the component has no other. Other columns of docs are not read. An empty table gives an empty result.
+    the component has no other. Repeated rows and ids are rows like any other. Texts may have any length. Other columns
+    of docs are not read. An empty table gives an empty result. row is row_col, or a
+    number of its own for each row; root is the same for all rows of a component.
     """
-    rows = written(fingerprinted(docs, id_col, text_col), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    rows = written(fingerprinted(docs, id_col, text_col, width, row_col), "fingerprints")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = connected(fingerprint_links(distinct, radius))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    group = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(rooted.join(group, "root").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
+    group = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("rows"))
+    of = written(joined_by_key(rooted, group, "root", "rows").select("fp", "root", "component_id", "n"), "fingerprint-components")
+    return joined_by_key(rows, of, "fp", "n").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row", "root")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id, null ids last, and of repeated ids one row.
+
+    Rows are told apart by themselves, not by their ids. docs may have any columns. An empty table gives an empty result.
+    """
+    rows = written(anonymous(docs).withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
+    found = near_copies(rows, column_of(docs, id_col), column_of(docs, text_col), radius, width, row_col="row")
+    return named(joined_small(rows, one_of_each(found, "root").select(F.col("gone").alias("row")), "row", "left_anti"), docs)
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each component's smallest id, with all its columns; rows of null ids stay. Ids are taken to be distinct."""
-    gone = near_copies(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+def one_of_each(rows: DataFrame, group: str) -> DataFrame:
+    """gone: the row numbers of all rows (doc_id, row) of each group but the one of the smallest doc_id, null last, and of these the smallest row."""
+    first = rows.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    return joined_by_key(rows, first.select(group, F.col("first.row").alias("stays"), "rows"), group, "rows").where("row <> stays").select(F.col("row").alias("gone"))
 
 
 def op3_simhash(spark, sf_dir):

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+import evalloom.llm.simhash as S
 from evalloom.llm.common import flat
 from evalloom.llm.components import connected, labels
 from evalloom.llm.simhash import Tree, fingerprint_links, fingerprints, linked, near_copies, without_near_copies
@@ -52,6 +53,28 @@ def test_dense_ball():
     assert (linked(x, leaf=64) == 0).all()
 
 
+def test_dense_sets_by_changed_bits():
+    rng = np.random.default_rng(3)
+    x = np.unique(np.concatenate([rng.integers(0, 1 << 10, 300, dtype=np.uint64) << np.uint64(s) for s in (0, 20, 40)]))
+    assert (S._dense_links(x, 2) == groups(x)).all() and (S._dense_links(x, 1) == groups(x, 1)).all()
+
+
+def test_repeated_ids(spark):
+    """A row that is nobody's copy stays, though its id is that of a copy."""
+    rows = [(1, "a b c d"), (5, "a b c d"), (5, "e f g h"), (5, "e f g h")]
+    assert sorted(map(tuple, without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == [(1, "a b c d"), (5, "e f g h")]
+
+
+def test_long_text():
+    text = " ".join(f"w{k % 977}" for k in range(5000))
+    want = plain(text)
+    S_at, S.AT_ONCE = S.AT_ONCE, 700
+    try:
+        assert fingerprints(*flat(pa.array(["x y", text, "", text + " z"]))).tolist() == [plain("x y"), want, 0, plain(text + " z")]
+    finally:
+        S.AT_ONCE = S_at
+
+
 def test_links_on_the_cluster(spark):
     x = planted(900, 300, 5)
     distinct = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
@@ -76,5 +99,6 @@ def test_rows(odd, none):
     of = {(r.doc_id, r.fingerprint): r.component_id for r in got}
     assert {v for (i, f), v in of.items() if f == "0" * 16} == {3} and of[2, f"{plain(odd.where('doc_id = 2').first().text):016x}"] == 1
     stay = without_near_copies(odd)
-    assert stay.columns == odd.columns and {r.doc_id for r in stay.collect()} >= {1, 3, 7, None} and not {2, 4, 5} & {r.doc_id for r in stay.collect()}
+    ids = [r.doc_id for r in stay.collect()]
+    assert stay.columns == odd.columns and set(ids) >= {1, 3, 7, None} and not {2, 4, 5} & set(ids) and len(ids) == len({r.component_id for r in got if r.component_id is not None}) + 1
     assert near_copies(none).collect() == []
