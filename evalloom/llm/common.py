@@ -216,13 +216,39 @@ def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.nd
     return out
 
 
+def grouped(key: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the first place of each, and for each key its place among the distinct; keys are below bound.
+
+    Where keys and places fit 64 bits together, they are sorted as one number, which is much faster than sorting places.
+    """
+    n = len(key)
+    key = key.astype(np.uint64, copy=False)
+    if n and bound * n < 1 << 64:
+        both = np.sort(key * np.uint64(n) + np.arange(n, dtype=np.uint64))
+        ordered = both // np.uint64(n)
+        place = (both - ordered * np.uint64(n)).astype(np.int64)
+    else:
+        place = np.argsort(key, kind="stable")
+        ordered = key[place]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(n, np.int64)
+    which[place] = np.cumsum(new) - 1
+    return ordered[new], place[new], which
+
+
 def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, in order, of the distinct pieces, the place of one piece for each, and for each piece its place among the distinct.
 
     All pieces are compared with the one that stands for them; pieces that differ have places of their own, though their hashes be equal.
     """
     hashes = word_hashes(data, start, end)
-    distinct, some, which = np.unique(hashes, return_index=True, return_inverse=True)
+    place = np.argsort(hashes)  # any one piece stands for its like
+    distinct = hashes[place]
+    new = np.ones(len(place), bool)
+    new[1:] = distinct[1:] != distinct[:-1]
+    distinct, some, which = distinct[new], place[new], np.empty(len(place), np.int64)
+    which[place] = np.cumsum(new) - 1
     size = end - start
     one = some[which]
     same = size == size[one]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.blocks import ROW_COLUMNS, ROW_NAMES, bundle, doc_ids, joined, message_rows, ordered, pack, pack_sorted, text_blocks, unbundle, unpack, unpack_sorted
-from evalloom.llm.common import HOT, bucketed, crc_mod, distinct_words, gathered, mixed, release, releasing, shuffle_width, table, words_of, written
+from evalloom.llm.common import HOT, bucketed, crc_mod, distinct_words, gathered, grouped, mixed, release, releasing, shuffle_width, table, words_of, written
 from evalloom.llm.simhash import _LOWER, SPACE
 
 #: Words of an n-gram, at most 3; counts up to K are discounted by Good and Turing.
@@ -92,14 +92,15 @@ class Model:
         bits = self.bits(level)
         return key * np.uint64(pow(_MIX, -1, 1 << bits)) & np.uint64((1 << bits) - 1)
 
-    def bucket(self, key: np.ndarray, word: np.ndarray, level: int) -> np.ndarray:
-        """By the permuted key's range; for hot histories by history and word."""
+    def bucket(self, key: np.ndarray, level: int) -> np.ndarray:
+        """By the permuted key's range."""
         bits = self.bits(level)
         top = min(bits, 32)
-        out = (key >> np.uint64(bits - top)) * np.uint64(self.buckets) >> np.uint64(top)
-        hot = among(self.levels[level - 2].hot, key)
-        out[hot] = (mixed(key[hot] + mixed(word[hot])) >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)
-        return out.astype(np.int64)
+        return ((key >> np.uint64(bits - top)) * np.uint64(self.buckets) >> np.uint64(top)).astype(np.int64)
+
+    def spread(self, key: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The buckets of hot histories: by history and word."""
+        return ((mixed(key + mixed(word)) >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def among(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -111,9 +112,9 @@ def among(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Grams:
     """A block's distinct n-grams of one length, sorted by history and word, by places in the block."""
 
-    def __init__(self, history: np.ndarray, word: np.ndarray, suffix: np.ndarray, words: int, trains: np.ndarray):
-        distinct, some, self.place = np.unique(history.astype(np.int64) * words + word, return_index=True, return_inverse=True)
-        self.place = self.place.astype(np.int32)
+    def __init__(self, history: np.ndarray, word: np.ndarray, suffix: np.ndarray, histories: int, words: int, trains: np.ndarray):
+        distinct, some, place = grouped(history.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64), histories * words)
+        self.place = place.astype(np.int32)
         self.history, self.word, self.suffix = history[some], word[some], suffix[some]
         self.own = np.bincount(self.place[trains], minlength=len(distinct))
 
@@ -149,7 +150,7 @@ class Block:
         self.at, self.grams, place = at, {}, token
         for k in range(2, order + 1):
             some = np.flatnonzero(at >= k - 1)
-            self.grams[k] = Grams(place[some - 1], token[some], place[some], self.words, trains[some])
+            self.grams[k] = Grams(place[some - 1], token[some], place[some], self.words if k == 2 else len(self.grams[k - 1].word), self.words, trains[some])
             place = np.full(len(token), -1, np.int32)
             place[some] = self.grams[k].place
 
@@ -181,13 +182,24 @@ class Told:
             self._take(k, [r for r in answers if r["kind"] == k])
 
     def sent(self, k: int) -> tuple[np.ndarray, ...]:
-        """The n-grams that buckets are asked for, in the order of their messages; their permuted history keys, and where each bucket's begin."""
+        """The n-grams that buckets are asked for, in the order of their messages: by bucket and permuted history key; these keys, and where each bucket's begin."""
         g, model = self.block.grams[k], self.model
         some = np.flatnonzero(~self.alone[k - 1][g.history])
-        key, word = model.permuted(self.key[k][g.history[some]], k), self.id[g.word[some]]
-        bucket = model.bucket(key, word, k)
-        place = np.lexsort((word, key, bucket))
-        return some[place], key[place], np.searchsorted(bucket[place], np.arange(model.buckets + 1))
+        history = g.history[some]
+        key = model.permuted(self.key[k], k)
+        place = np.argsort(key, kind="stable")
+        rank = np.empty(len(key), np.uint64)
+        rank[place] = np.arange(len(key), dtype=np.uint64)
+        bucket = model.bucket(key, k)[history]
+        hot = np.flatnonzero(among(model.levels[k - 2].hot, key)[history])
+        bucket[hot] = model.spread(key[history[hot]], self.id[g.word[some[hot]]])
+        # one number holds bucket, rank and place, so no two are equal and the order is the same wherever it is worked out
+        n = max(1, len(some))
+        if model.buckets * len(key) * n >= 1 << 64:
+            place = np.lexsort((rank[history], bucket))
+        else:
+            place = (np.sort((bucket.astype(np.uint64) * np.uint64(len(key)) + rank[history]) * np.uint64(n) + np.arange(len(some), dtype=np.uint64)) % np.uint64(n)).astype(np.int64)
+        return some[place], key[history[place]], np.searchsorted(bucket[place], np.arange(model.buckets + 1))
 
     def _take(self, k: int, answers: list[dict]) -> None:
         b, g, model = self.block, self.block.grams[k], self.model
@@ -232,12 +244,12 @@ class Told:
 
 def shares_of(out: np.ndarray, history: np.ndarray, count: np.ndarray, lower: np.ndarray) -> None:
     """Adds to each history's row: next words by count 1 to K, the sum of higher counts, the mass of its next words one order lower."""
-    some = (count > 0) & (count <= K)
-    np.add.at(out, (history[some], count[some] - 1), 1)
-    some = count > K
-    np.add.at(out[:, K], history[some], count[some])
-    some = count > 0
-    np.add.at(out[:, K + 1], history[some], lower[some])
+    some = np.flatnonzero((count > 0) & (count <= K))
+    out += np.bincount(history[some].astype(np.int64) * (K + 2) + count[some] - 1, minlength=out.size).reshape(out.shape)
+    some = np.flatnonzero(count > K)
+    out[:, K] += np.bincount(history[some], weights=count[some], minlength=len(out))
+    some = np.flatnonzero(count > 0)
+    out[:, K + 1] += np.bincount(history[some], weights=lower[some], minlength=len(out))
 
 
 def _each(batch):
@@ -358,7 +370,13 @@ def _answer(k: int, model: Model):
         sizes = list(map(len, keys))
         key, word = np.concatenate(keys), np.concatenate(words)
         del keys, words
-        place = np.lexsort((word, key))
+        if model.bits(k) <= 32:
+            place = np.argsort(key << np.uint64(32) | word)  # the order among equals doesn't matter
+        else:  # histories by rank
+            place = np.argsort(key)
+            rank = np.empty(len(key), np.uint64)
+            rank[place] = np.cumsum(np.append(False, key[place][1:] != key[place][:-1])).astype(np.uint64)
+            place = np.argsort(rank << np.uint64(32) | word)
         key, word = key[place], word[place]
         new = np.append(True, (key[1:] != key[:-1]) | (word[1:] != word[:-1]))
         begin = np.flatnonzero(new)
