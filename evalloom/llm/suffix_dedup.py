@@ -39,6 +39,8 @@ LENGTH, GRAM = 100, 32
 SLICE = 250_000
 #: Blocks that are sampled for frequent pieces, the share of the sample's documents from which on a piece is frequent, and how many such pieces are put last.
 SAMPLE_BLOCKS, FREQUENT, LAST = 8, 0.002, 65_536
+#: Ranges of keys that a bucket works on one after another, to use little memory.
+PARTS = 8
 #: Runs of one anchor beyond which their windows are dealt one by one.
 HOT_RUNS = 20_000
 ALONE, SHARED, HOT = 0, 1, 2
@@ -105,7 +107,7 @@ class Runs:
         return np.unique(self.anchor[self.first], return_counts=True)
 
     def sent(self, told: np.ndarray, data: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-        """What goes to buckets, in order: starts, numbers of windows, ids and places, and where each bucket's begin. told: by distinct anchor."""
+        """What goes to buckets, in order: starts, numbers of windows, ids and places, and where each bucket's PARTS begin. told: by distinct anchor."""
         told = np.repeat(told, self.anchors()[1])
         some, hot = self.first[told == SHARED], self.first[told == HOT]
         key, start, windows = self.anchor[some], self.start[some], (self.stop - self.start)[some]
@@ -116,7 +118,7 @@ class Runs:
             windows, some = np.concatenate([windows, np.ones(len(single), np.int64)]), np.concatenate([some, np.repeat(hot, n)])
         place = np.argsort(key, kind="stable")
         start, some = start[place], some[place]
-        return start, windows[place], self.id[some], self.at[some] + start - self.start[some], bucket_bounds(key[place], buckets)
+        return start, windows[place], self.id[some], self.at[some] + start - self.start[some], bucket_bounds(key[place], buckets * PARTS)
 
 
 def _runs_of(data: np.ndarray, offsets: np.ndarray, grams: Rolling, wholes: Rolling, order: Order) -> list[np.ndarray]:
@@ -206,10 +208,12 @@ def _send(buckets: int, order: Order):
         for row in blocks.to_pylist():
             _, data, _, runs = _block(row, order)
             start, windows, ids, at, bounds = runs.sent(_told([r for r in told if r["block"] == row["block"]]), data, buckets)
-            for k, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                if a < z:
-                    text = gathered(data, start[a:z], windows[a:z] + LENGTH - 1)
-                    out.append((row["block"], SENT, k, bundle(pack(windows[a:z].astype(np.uint8)), pack(ids[a:z]), pack(at[a:z].astype(np.uint32))), zstandard.compress(text.tobytes(), 3), None))
+            for k in range(buckets):
+                parts = list(zip(bounds[k * PARTS : (k + 1) * PARTS].tolist(), bounds[k * PARTS + 1 : (k + 1) * PARTS + 1].tolist(), strict=True))
+                if parts[0][0] < parts[-1][1]:
+                    numbers = [bundle(pack(windows[a:z].astype(np.uint8)), pack(ids[a:z]), pack(at[a:z].astype(np.uint32))) if a < z else b"" for a, z in parts]
+                    texts = [zstandard.compress(gathered(data, start[a:z], windows[a:z] + LENGTH - 1).tobytes(), 3) if a < z else b"" for a, z in parts]
+                    out.append((row["block"], SENT, k, bundle(*numbers), bundle(*texts), None))
         release()
         return message_rows(out)
 
@@ -218,21 +222,20 @@ def _send(buckets: int, order: Order):
 
 def prefix_ranks(data: np.ndarray, start: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Ranks, in suffix order, of the prefixes of `length` bytes that begin at start; equal prefixes have equal ranks. Prefix doubling, from 8 bytes on."""
-    padded = np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
     n = len(data)
-    rank = np.zeros(n, np.uint64)
-    for k in range(8):
-        rank = (rank << np.uint64(8)) | padded[k : k + n]
+    rank = unaligned(data)[:n].byteswap()
     have = 8
     while True:
         step = min(have, length - have)
         if step <= 0:
             return rank[start]
-        ordered_, numbered = np.unique(rank, return_inverse=True)
-        rank = numbered.astype(np.uint64)
+        place = np.argsort(rank)
+        ordered_ = rank[place]
+        rank[place] = np.cumsum(np.append(False, ordered_[1:] != ordered_[:-1]), dtype=np.uint64)
+        most = int(rank.max()) + 2 if n else 1
         after = np.zeros(n, np.uint64)
         after[: n - step] = rank[step:]
-        rank = rank * np.uint64(len(ordered_) + 1) + after
+        rank = rank * np.uint64(most) + after
         have += step
 
 
@@ -306,23 +309,27 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, windows: np.ndarray, d
 
 def _resolve(group: pa.Table) -> pa.Table:
     rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-    windows, docs, ats = [], [], []
-    for r in rows:
-        n, doc, at = (unpack(x, kind) for x, kind in zip(unbundle(r["a"]), (np.uint8, np.int64, np.uint32), strict=True))
-        windows.append(n.astype(np.int64))
-        docs.append(doc)
-        ats.append(at.astype(np.int64))
-    data = np.frombuffer(b"".join([zstandard.decompress(r["b"]) for r in rows]), np.uint8)
-    n = np.concatenate(windows)
-    size = n + LENGTH - 1
-    repeats = repeated_windows(data, np.cumsum(size) - size, n, np.concatenate(docs), np.repeat(np.arange(len(rows)), list(map(len, windows))), np.concatenate(ats))
-    out, a = [], 0
-    for r, w in zip(rows, windows, strict=True):
-        z = a + int(w.sum())
-        out.append((r["block"], SENT, r["bucket"], zstandard.compress(np.packbits(repeats[a:z]).tobytes(), 1), None, None))
-        a = z
+    numbers, texts, found = [unbundle(r["a"]) for r in rows], [unbundle(r["b"]) for r in rows], [[] for _ in rows]
+    for part in range(PARTS):
+        some = [k for k in range(len(rows)) if numbers[k][part]]
+        if not some:
+            continue
+        windows, docs, ats = [], [], []
+        for k in some:
+            n, doc, at = (unpack(x, kind) for x, kind in zip(unbundle(numbers[k][part]), (np.uint8, np.int64, np.uint32), strict=True))
+            windows.append(n.astype(np.int64))
+            docs.append(doc)
+            ats.append(at.astype(np.int64))
+        data = np.frombuffer(b"".join([zstandard.decompress(texts[k][part]) for k in some]), np.uint8)
+        n = np.concatenate(windows)
+        size = n + LENGTH - 1
+        repeats = repeated_windows(data, np.cumsum(size) - size, n, np.concatenate(docs), np.repeat(some, list(map(len, windows))), np.concatenate(ats))
+        a = 0
+        for k, w in zip(some, windows, strict=True):
+            found[k].append(repeats[a : a + int(w.sum())])
+            a += int(w.sum())
     release()
-    return message_rows(out)
+    return message_rows([(r["block"], SENT, r["bucket"], zstandard.compress(np.packbits(np.concatenate(x)).tobytes(), 1), None, None) for r, x in zip(rows, found, strict=True)])
 
 
 def _cut(with_text: bool, buckets: int, order: Order):
@@ -339,7 +346,7 @@ def _cut(with_text: bool, buckets: int, order: Order):
             np.add.at(edge, runs.start[copies], 1)
             np.add.at(edge, runs.stop[copies] + LENGTH - 1, -1)
             for r in ordered(mine, SENT):
-                a, z = bounds[r["bucket"]], bounds[r["bucket"] + 1]
+                a, z = bounds[r["bucket"] * PARTS], bounds[(r["bucket"] + 1) * PARTS]
                 n = windows[a:z]
                 window = np.repeat(start[a:z] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 window = window[np.unpackbits(np.frombuffer(zstandard.decompress(r["a"]), np.uint8))[: len(window)].astype(bool)]
