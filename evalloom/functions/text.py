@@ -191,6 +191,18 @@ def without_paths(x) -> Column:
     return F.regexp_replace(_c(x), r"(?:/[\w.\-]+)+/([\w.\-]+)", "$1")
 
 
+def clean_question(x) -> Column:
+    """A question without the instructions on how to answer that follow it."""
+    return strip(F.element_at(F.split(_c(x), r"\s+(?:Reply|Or reply|Respond|If not explicitly|Indicate your final answer)\b"), 1))
+
+
+def as_question(x) -> Column:
+    """With one space between words, a capital first letter and a question mark."""
+    t = collapse(x)
+    t = F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))
+    return F.when(t.endswith("?"), t).otherwise(F.concat(t, F.lit("?")))
+
+
 def batch_answers(text, n: int) -> Column:
     """map of answer number to text: the first line of a number from 1 to n begins its answer, all other lines go on with the answer before."""
     rx = r"^(?:\*\*)?\(?(\d{1,2})[.):\]]\s*(?:\*\*)?\s*(.*)$"

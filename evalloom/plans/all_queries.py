@@ -4,7 +4,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from evalloom.plans import answer_queries, build_queries, link_queries, report_queries, statistics_queries, text_queries  # noqa: F401
+from evalloom.plans import answer_queries, build_queries, link_queries, report_queries, statistics_queries, study_queries, text_queries  # noqa: F401
 from evalloom.plans import registry
 
 #: Columns of floating point numbers, which two engines sum in different orders: both round them to 9 digits, off the ties.
@@ -23,6 +23,9 @@ FLOATS = {
     "interaction_bootstrap": "interaction lo hi",
     "macro_bootstrap": "macro lo hi",
     "poisson_bootstrap": "lo hi",
+    "detection_draws": "d_prime d_lo d_hi criterion c_lo c_hi",
+    "arm_contrasts": "rate_a rate_b diff diff_lo diff_hi p",
+    "setting_summary": "tokens passages similarity gold_position",
     "paired_mcnemar": "rate_a rate_b diff diff_lo diff_hi p",
     "fisher_test": "p",
     "holm_adjusted": "p p_holm",

@@ -22,6 +22,23 @@ def run_name(path: Column) -> Column:
     return F.struct(part(1).alias("exp"), part(2).alias("model"), part(3).alias("prompt"), part(4).try_cast("double").alias("temperature"), part(5).try_cast("int").alias("seed"))
 
 
+SETTING = r"^(gold_present|no_gold_lookalike|no_gold_random)_(\d+)k$"
+
+
+def setting_name(name: Column) -> Column:
+    """struct(name, length_k, gold, filler, level) of a setting's name; null for names of another form."""
+    kind = F.regexp_extract(name, SETTING, 1)
+    random = F.endswith(kind, F.lit("random"))
+    parts = F.struct(name.alias("name"), F.regexp_extract(name, SETTING, 2).try_cast("int").alias("length_k"), (kind == "gold_present").alias("gold"), F.when(random, "random").otherwise("lookalike").alias("filler"), F.when(kind == "gold_present", "gold").when(random, "random").otherwise("lookalike").alias("level"))
+    return F.when(name.rlike(SETTING), parts)
+
+
+def scored_extra(spark: SparkSession, path: str, model: str, exp: str = "exp3", run: str = "t0_s0", prompt: str = "normal") -> DataFrame:
+    """The scored table of one extra run, whose folder doesn't say what it is of: exp, model, run and prompt are as given."""
+    rows = scored(spark, path).drop("exp", "model", "prompt", "temperature", "seed")
+    return rows.withColumns({"exp": F.lit(exp), "model": F.lit(model), "run": F.lit(run), "prompt": F.lit(prompt), "made_up": F.col("label") == "made_up", "length": F.col("length_k"), "copies_n": F.coalesce("copies", F.lit(0))})
+
+
 def scored(spark: SparkSession, pattern: str, models: list[str] | None = None) -> DataFrame:
     """Scored tables with what their folders say, typed columns, and scorable, answered, flagged and doc. models: others are left out."""
     from evalloom.functions.text import FLAGGED

@@ -10,6 +10,7 @@ from evalloom.functions import stats as C
 from evalloom.functions import text as T
 from evalloom.functions.folding import folded, folded_words, trimmed
 from evalloom.operators import statistics as S
+from evalloom.operators import studies
 from evalloom.operators.link import asked_field, closest_years, has_field, parse_question, text_names
 from evalloom.operators.ordered import even_positions, numbered
 from evalloom.operators.retrieve import qualified
@@ -68,7 +69,96 @@ def test_regressions(spark):
     assert fit["x"][0] == pytest.approx(math.log(p1 / (1 - p1)) - math.log(p0 / (1 - p0)), abs=1e-4)
     assert S.logit_clustered(df, "y", ["x"], ["g"], ridge=0.0)["x"][0] == pytest.approx(fit["x"][0], abs=1e-4)
     two = S.logit_clustered(df.withColumn("h", F.col("g") % 7), "y", ["x"], ["g", "h"])
-    assert two["x"][1] > 0 and S.exchange_rate(df.withColumn("z", F.col("g") % 2), "y", "z", "x") is not None
+    assert two["x"][1] > 0
+
+
+def test_sandwich_errors(spark):
+    """Against sums by cluster in plain numpy."""
+    rng = np.random.default_rng(8)
+    x, g = rng.integers(0, 4, 800), rng.integers(0, 25, 800)
+    y = (rng.random(800) < 1 / (1 + np.exp(-(-1 + 0.4 * x)))).astype(int)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), g.tolist(), strict=True)), "x int, y int, g int")
+    got = S.logit_clustered(df, "y", ["x"], ["g"])
+    b = np.array([got["intercept"][0], got["x"][0]])
+    design = np.column_stack([np.ones(800), x])
+    p = 1 / (1 + np.exp(-design @ b))
+    pull = np.diag([0, 0.1])
+    assert np.abs(design.T @ (y - p) - pull @ b).max() < 1e-5
+    inverse = np.linalg.inv(design.T @ (design * (p * (1 - p))[:, None]) + pull)
+    sums = np.array([((y - p)[:, None] * design)[g == k].sum(axis=0) for k in range(25)])
+    want = np.sqrt(np.diag(inverse @ (sums.T @ sums) @ inverse * 25 / 24))
+    assert [got["intercept"][1], got["x"][1]] == pytest.approx(want, rel=1e-6)
+
+
+def test_permuted_places(spark):
+    """Each draw is a permutation; over draws, subsets spread as drawn ones do."""
+    n, m, perms = 37, 15, 2000
+    keys = F.flatten(F.array(*[C.keyed_draws(0, F.col("perm"), F.lit(str(k))) for k in range(C.ROUNDS // 4)]))
+    rows = spark.range(perms).select(F.col("id").alias("perm"), keys.alias("ks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("i"))
+    got = rows.select("perm", "i", C.permuted_place(F.col("i"), F.lit(n).cast("bigint"), F.col("ks")).alias("to")).toPandas()
+    table = got.pivot(index="perm", columns="i", values="to").to_numpy()
+    assert (np.sort(table, axis=1) == np.arange(n)).all()
+    taken = (table < m).astype(float)
+    assert np.abs(taken.mean(axis=0) - m / n).max() < 0.05
+    value = np.arange(n) ** 2.0
+    means = taken @ value / m
+    want = np.sqrt(value.var(ddof=1) / m * (1 - m / n))  # of a draw without replacement
+    assert abs(means.mean() - value.mean()) < 4 * want / np.sqrt(perms) and abs(means.std() / want - 1) < 0.06
+
+
+def test_exchange_rate(spark):
+    rng = np.random.default_rng(5)
+    n = 12_000
+    doc, strong, length, model = rng.integers(0, 200, n), rng.integers(0, 2, n), rng.integers(0, 5, n), rng.integers(0, 2, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(-2 + 0.3 * length + 0.9 * strong)))).astype(int)
+    df = spark.createDataFrame(list(zip(doc.tolist(), strong.tolist(), length.tolist(), model.tolist(), y.tolist(), strict=True)), "doc int, strong int, doublings int, model int, y int")
+    got = studies.exchange_rate(df, "y", "strong", "doublings", ["model"], "model", "doc", draws=60)
+    assert got["exchange"] == pytest.approx(3, abs=1) and got["lo"] < got["exchange"] < got["hi"]
+    flat = studies.exchange_rate(df.withColumn("y", (F.col("doc") % 2)), "y", "strong", "doublings", ["model"], "model", "doc", draws=20)
+    assert flat["exchange"] is None
+
+
+def test_reports(spark):
+    rows = []
+    for m in ("m1", "m2"):
+        for length in (8, 32):
+            for level in ("none", "strong"):
+                for run in ("t0_s0", "t1_s1"):
+                    for k in range(40):
+                        bad = k < (4 if level == "none" else 20) + (12 if length == 32 else 0)
+                        rows += [("e", m, "normal", run, level, "name", "sibling", 1, length, False, "made_up" if bad else "refused"), ("e", m, "normal", run, level, "name", "sibling", 1, length, True, "correct" if not bad else "wrong")]
+    scored = spark.createDataFrame(rows, "exp string, model string, prompt string, run string, level string, ladder string, filler string, copies int, length int, answerable boolean, label string")
+    tables = studies.main_report(scored)
+    assert {(r.model, r.length): (r.k, r.n, r.rate) for r in tables["length"].collect()} == {(m, x): ((4, 40, 10.0) if x == 8 else (16, 40, 40.0)) for m in ("m1", "m2") for x in (8, 32)}
+    assert {r.model: r.breaks_at for r in tables["breaking"].collect()} == {"m1": 32, "m2": 32}
+    assert {r.model: r.breaks_at for r in tables["accuracy_drop"].collect()} == {"m1": 32, "m2": 32}
+    assert {r.runs for r in tables["stability"].collect()} == {2}
+    lines = studies.summary_lines({"length": tables["length"]})
+    assert lines[2] == "## length" and "| m1 | 8 | 4 | 40 | 10.0 |" in "".join(x[: len("| m1 | 8 | 4 | 40 | 10.0 |")] for x in lines[6:7])
+    effects = studies.effects_report(scored.where("not answerable").select("model", (F.col("label") == "made_up").cast("int").alias("y"), (F.col("level") == "strong").cast("int").alias("strong"), F.log2(F.col("length") / 8).alias("doublings")), "model", "y", "strong", "doublings")
+    assert effects.count() == 6 and {r.model for r in effects.collect()} == {"m1", "m2", "all"}
+    models = studies.experiment_models(spark.createDataFrame([("a", ["all_open"]), ("b", ["x"]), ("c", [])], "name string, models array<string>"), ["p", "q"])
+    assert sorted(map(tuple, models.collect())) == [("a", "p"), ("a", "q"), ("b", "x")]
+    assert studies.joined_answers(spark.createDataFrame([("q", "m", "d", ["x", "y"]), ("r", "m", "d", None)], "qid string, model string, doc_id string, true_answers array<string>")).select("true_answers").collect() == [("x | y",), ("",)]
+
+
+def test_prompts_and_mixes():
+    from evalloom.operators import generate as G
+
+    assert G.type_counts({"a": 0.5, "b": 0.33, "c": 0.17}, 10) == {"a": 5, "b": 3, "c": 2} and sum(G.type_counts(G.MIX["sibling"], 7).values()) == 7
+    pool = G.filler_pool(G.World(3, []), "sibling", 50)
+    companies = {r.fields["name"] for r in pool if r.type == "company"}
+    assert len(pool) == 50 and {r.fields["tenant"] for r in pool if r.type == "lease"} <= companies
+    assert len({G.prompt_version(s) for s in ("records", "wikipedia")}) == 2
+
+
+def test_prompt_texts(spark):
+    from evalloom.operators import generate as G
+
+    got = one(spark, G.prompt(F.lit("DOC"), F.lit("Why?"), "strict")["prompt"], G.prompt(F.lit("DOC"), F.array(F.lit("A?"), F.lit("B?")), "batch12")["prompt"], G.prompt(F.lit("DOC"), F.lit("Why?"), "normal", "wikipedia")["prompt"])
+    assert all(t.index("DOC") < t.index("?") for t in got) and G.NOT_THERE in got[0] and "1. A?\n2. B?" in got[1] and "passages" in got[2]
+    with pytest.raises(ValueError):
+        G.prompt(F.lit(""), F.lit(""), "batch12", "wikipedia")
 
 
 def test_bootstraps_agree(spark):
