@@ -6,21 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(rows: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
-    """rows with number, from 0 on, in the order. Rows are dealt to ranges by a sample of the order's first column, numbered within each range, and shifted by the ranges' sizes, so no task sees all rows."""
-    first = rows.schema[order[0]].dataType.typeName()
-    if first in ("long", "integer", "double", "float", "short", "timestamp_ntz", "timestamp", "date"):
-        as_number = F.col(order[0]).cast("double") if first not in ("timestamp_ntz", "timestamp", "date") else F.unix_micros(F.col(order[0]).cast("timestamp")).cast("double")
-        edges = rows.agg(F.percentile_approx(as_number, [i / parts for i in range(1, parts)], 1000).alias("e")).first()["e"] or []
-        part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e <= as_number)) if edges else F.lit(0)
-    else:
-        edges = sorted({r["e"] for r in rows.select(F.col(order[0]).cast("string").alias("e")).where("e is not null").orderBy(F.md5("e"), "e").limit(parts).collect()})  # `parts` values
-        part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order[0]).cast("string"))) if edges else F.lit(0)
-    dealt = rows.withColumn("__part", F.coalesce(part, F.lit(-1)))
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"))  # at most parts + 1 rows
-    within = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    return within.join(F.broadcast(before), "__part").withColumn("number", F.col("__before") + F.col("__n")).drop("__part", "__n", "__before")
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with number, from 0 on, in the order, nulls first.
+
+    Rows are dealt to as many ranges of all order columns as a shuffle has partitions, sorted and numbered there, and
+    shifted by the sizes of the ranges before; so no task sees all rows, nor all rows of one value. The sorted rows are
+    kept, since where ranges end is drawn anew each time they are cut.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).persist()
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
+    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"))  # a row for each range
+    return ranged.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("number", F.col("__before") + place).drop("__part", "__at", "__before")
 
 
 def running_share(rows: DataFrame, group: list[str], order: list, cost: str) -> DataFrame:
