@@ -13,11 +13,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import table
+from evalloom.llm.common import flat, pieces, releasing, table
 
 # Element ids, fixed by the format (RFC 8794, RFC 9559).
 EBML, EBML_VERSION, EBML_READ_VERSION, MAX_ID_LENGTH, MAX_SIZE_LENGTH = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -32,6 +31,8 @@ TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x
 #: Samples of a frame, samples a second, frames of a block, blocks of a cluster.
 FRAME, RATE, LACE, BLOCKS = 576, 8000, 8, 32
 FRAME_MS = FRAME * 1000 // RATE
+#: Bytes of texts, unless one is longer, made into files at once.
+AT_ONCE = 4_000_000
 
 
 def _id(value: int) -> bytes:
@@ -284,16 +285,20 @@ def feature(media: Media, payload: bytes) -> str:
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and media: each whole text (null: empty) as UTF-8, padded with bytes 255 to a positive multiple of FRAME, as a Matroska file."""
+    """doc_id, n_bytes and media: each whole text (null: empty) as UTF-8, padded with bytes 255 to a positive multiple of FRAME, as a Matroska file.
+
+    Null and repeated ids are kept; a text may have any length that a binary value can have, and is worked on with few
+    others. Other columns are not read. An empty table gives an empty result.
+    """
 
     def rows(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in pc.cast(part.column(1), pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+            data, offsets = flat(b.column(1))
+            for at, to in pieces(offsets, AT_ONCE):
+                texts = [data[a:z].tobytes() for a, z in zip(offsets[at:to].tolist(), offsets[at + 1 : to + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(map(len, texts), pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(rows, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(releasing(rows), "doc_id long, n_bytes long, media binary")
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -316,15 +321,19 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     return media.select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(rows, "doc_id long, track long, timestamp_ns long, key boolean, start long, size long, error string")
 
 
-def digested(media: DataFrame) -> DataFrame:
-    """Reads the stored files back: payload and file digests and the feature, one row per row of stored()."""
+def digested(media: DataFrame, id_col: str = "doc_id", n_col: str = "n_bytes", media_col: str = "media") -> DataFrame:
+    """Reads the stored files back: payload and file digests and the feature, one row per row. Null media, and bytes that are no Matroska, have null digests."""
 
     def rows(batches):
         for b in batches:
             out = []
             for doc, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                data = data.as_buffer().to_pybytes()
-                found = parse(data)
+                try:
+                    data = data.as_buffer().to_pybytes() if data.is_valid else b""
+                    found = parse(data)
+                except (ValueError, IndexError):
+                    out.append((doc, n, *[None] * 6))
+                    continue
                 payload = samples(data, found)
                 out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(found, payload)))
             if out:
@@ -332,7 +341,7 @@ def digested(media: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select(F.col(id_col).cast("long"), F.col(n_col).cast("long"), F.col(media_col)).mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op6_matroska(spark, sf_dir):

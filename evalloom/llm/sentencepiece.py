@@ -245,8 +245,13 @@ def _sliced(batches, model_path: str):
             yield b.column(0).slice(at, to - at), ids, counts, same
 
 
-def digested(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 and ids_sha256 (of little-endian unsigned 32-bit ids), and whether decoding gives the text back."""
+def digested(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_ids, ids_crc32 and ids_sha256 (of little-endian unsigned 32-bit ids), and whether decoding gives the text back.
+
+    One row per row: null and repeated ids are kept, null texts count as empty, which have no ids. Texts may have any
+    length. A word mark in a text counts as a space, so decoding doesn't give it back. Other columns are not read. An
+    empty table gives an empty result.
+    """
 
     def rows(batches):
         for doc, ids, counts, same in _sliced(batches, model_path):
@@ -258,7 +263,7 @@ def digested(docs: DataFrame, model_path: str) -> DataFrame:
             n, crc, sha = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "ids_sha256", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_ids long, ids_crc32 long, ids_sha256 string, round_trip boolean")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(rows, "doc_id long, n_ids long, ids_crc32 long, ids_sha256 string, round_trip boolean")
 
 
 def op4_sentencepiece(spark, sf_dir):

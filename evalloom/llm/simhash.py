@@ -22,8 +22,8 @@ from evalloom.llm.common import anonymous, column_of, flat, gathered, joined_by_
 from evalloom.llm.components import connected, labels
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Fingerprints that fit the sharding tree, and how many a shard should hold.
-SAMPLE, SHARD = 131_072, 50_000
+#: Fingerprints that fit the sharding tree, in all and for each shard, and how many a shard should hold.
+SAMPLE, SAMPLED, SHARD = 131_072, 1024, 50_000
 #: Fingerprints of a leaf, whose pairs are all compared; shingles hashed at once.
 LEAF, AT_ONCE = 384, 200_000
 #: Fingerprints that no vantage point parts from which on changed bits are looked up instead of comparing all pairs.
@@ -186,7 +186,7 @@ def linked(x: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> np.ndarray:
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of column fp, enough to give all groups within radius bits."""
     leaves = -(-distinct.count() // shard)
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect() if leaves > 1 else []  # at most SAMPLE rows
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(SAMPLE, SAMPLED * leaves)).collect() if leaves > 1 else []  # at most SAMPLE rows
     tree = Tree(np.array([r["fp"] for r in sample], np.int64).view(np.uint64), leaves, radius)
 
     def dealt(batches):

@@ -57,3 +57,10 @@ def test_bad_files(spark):
 
 def test_empty(none):
     assert M.digested(M.stored(none)).collect() == []
+
+
+def test_digests_of_what_is_no_file(spark, odd):
+    rows = spark.createDataFrame([(1, 3, bytearray(b"junk")), (1, 3, None), (None, 0, bytearray(M.mux(M.padded(b""))))], "doc_id long, n_bytes long, media binary")
+    got = sorted(map(tuple, M.digested(rows).collect()), key=str)
+    assert [r[:4] for r in got[:2]] == [(1, 3, None, None)] * 2 and got[2][2] == 576
+    assert M.digested(M.stored(odd)).count() == odd.count()
