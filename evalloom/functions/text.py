@@ -28,6 +28,7 @@ CONCLUSION = r"(?iU)^(?:therefore|so|thus|hence|in conclusion|in summary|overall
 SENTENCE_END = r"(?U)(?<=[.!?])\s+(?=[A-Z\"'(*])|\n+"
 FLAGGED = r"(?iU)\b(?:however|note|noting|although|though|but|closest|similar|instead|not exactly|spelled|spelling|typo|differ|different|assum|might|may be|possibly|likely|seems|appears)\b"
 PUNCTUATION = "[!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~‘’“”–—…]"
+# Words that queries are asked without.
 STOP_WORDS = (
     "a an the of in on at to for from by with and or but is are was were be been being it its this that "
     "these those as which who whom whose what when where why how do does did has have had not no yes i you he she they "
@@ -203,20 +204,29 @@ def as_question(x) -> Column:
     return F.when(t.endswith("?"), t).otherwise(F.concat(t, F.lit("?")))
 
 
+# Fixed value: how a line of a numbered reply begins.
+NUMBERED = r"^(?:\*\*)?\(?(\d{1,2})[.):\]]\s*(?:\*\*)?\s*(.*)$"
+
+
 def batch_answers(text, n: int) -> Column:
     """map of answer number to text: the first line of a number from 1 to n begins its answer, all other lines go on with the answer before."""
-    rx = r"^(?:\*\*)?\(?(\d{1,2})[.):\]]\s*(?:\*\*)?\s*(.*)$"
     lines = F.filter(F.transform(F.split(F.coalesce(_c(text), F.lit("")), r"\r\n|\n|\r"), lambda x: strip(x)), lambda x: x != "")
-    none = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>"))
+    numbers = F.transform(lines, lambda x: F.regexp_extract(x, NUMBERED, 1).try_cast("int"))
+
+    # in steps, so that lines and numbers are worked out once: struct(lines, numbers) -> where answers begin -> the answers
+    def answers(s):
+        begins = F.filter(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(F.array_position(s["numbers"], k).cast("int").alias("at"), k.alias("k"))), lambda b: b["at"] > 0)
+        places = F.array_sort(begins)
+
+        def one(b, i):
+            end = F.coalesce(F.try_element_at(places, i + 2)["at"], F.size(s["lines"]) + 1)
+            first = strip(F.regexp_extract(F.element_at(s["lines"], b["at"]), NUMBERED, 2))
+            rest = F.slice(s["lines"], b["at"] + 1, F.greatest(end - b["at"] - 1, F.lit(0)))
+            return F.struct(b["k"].alias("k"), strip(F.concat_ws(" ", first, F.array_join(rest, " "))).alias("v"))
 
-    def step(acc, line):
-        number = F.regexp_extract(line, rx, 1).try_cast("int")
-        begins = F.coalesce(number.between(1, n) & ~F.map_contains_key(acc["found"], number), F.lit(False))
-        longer = F.transform_values(acc["found"], lambda k, v: F.when(k == acc["now"], strip(F.concat_ws(" ", v, line))).otherwise(v))
-        begun = F.map_concat(acc["found"], F.map_from_arrays(F.array(F.coalesce(number, F.lit(-1))), F.array(strip(F.regexp_extract(line, rx, 2)))))
-        return F.struct(F.when(begins, number).otherwise(acc["now"]).alias("now"), F.when(begins, begun).otherwise(longer).alias("found"))
+        return F.map_from_entries(F.transform(places, one))
 
-    return F.aggregate(lines, F.struct(F.lit(0).alias("now"), none.alias("found")), step)["found"]
+    return F.transform(F.array(F.struct(lines.alias("lines"), numbers.alias("numbers"))), answers)[0]
 
 
 def _number(x: Column) -> Column:

@@ -42,18 +42,20 @@ def _text(x) -> Column:
     return F.coalesce(_c(x), F.lit(""))
 
 
-def parse_dates(x) -> Column:
-    """ISO dates, pattern by pattern; what is no date of the calendar is left out."""
-    found = []
-    for rx, (year, month, day) in DATES:
-        y, m, d = (F.regexp_extract_all(_text(x), F.lit(rx), F.lit(g)) for g in (year, month, day))
+def _iso_date(match: Column, rx: str, groups: tuple[int, int, int]) -> Column:
+    y, m, d = (F.regexp_extract(match, rx, g) for g in groups)
+    month = F.coalesce(m.try_cast("int"), F.array_position(F.array(*map(F.lit, MONTHS)), F.substr(F.lower(m), F.lit(1), F.lit(3))).cast("int"))
+    text = F.concat(y, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(d, 2, "0"))
+    return F.when(y != "0000", F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
+
 
-        def one(s):
-            number = F.coalesce(s["m"].try_cast("int"), F.array_position(F.array(*map(F.lit, MONTHS)), F.substr(F.lower(s["m"]), F.lit(1), F.lit(3))).cast("int"))
-            text = F.concat(s["y"], F.lit("-"), F.lpad(number.cast("string"), 2, "0"), F.lit("-"), F.lpad(s["d"], 2, "0"))
-            return F.when(s["y"] != "0000", F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
+def parse_dates(x) -> Column:
+    """ISO dates, pattern by pattern; what is no date of the calendar is left out. A pattern runs over the text once, and its groups are cut from the matches."""
+    
+    def dates_of(rx, groups):
+        return F.transform(F.regexp_extract_all(_text(x), F.lit(rx), F.lit(0)), lambda match: _iso_date(match, rx, groups))
 
-        found.append(F.transform(F.arrays_zip(y.alias("y"), m.alias("m"), d.alias("d")), one))
+    found = [dates_of(rx, groups) for rx, groups in DATES]
     return F.array_distinct(F.filter(F.concat(*found), lambda v: v.isNotNull()))
 
 
@@ -71,13 +73,14 @@ def parse_money(x) -> Column:
 
 
 def parse_floors(x) -> Column:
-    groups = [F.regexp_extract_all(_text(x), F.lit(FLOOR), F.lit(g)).alias(f"g{g}") for g in range(1, 7)]
+    """Floors as numbers: of each match, its digits, or else its ordinal."""
+    ordinal = F.array(*map(F.lit, ORDINALS))
 
-    def one(s):
-        digits = F.concat(s["g1"], s["g2"], s["g4"], s["g5"], s["g6"]).try_cast("int")
-        return F.coalesce(digits, F.array_position(F.array(*map(F.lit, ORDINALS)), F.lower(s["g3"])).cast("int"))
+    def one(m):
+        word = F.lower(F.regexp_extract(m, rf"(?iU)\b({'|'.join(ORDINALS)})\b", 1))
+        return F.coalesce(F.regexp_extract(m, r"(?U)\d{1,3}", 0).try_cast("int"), F.array_position(ordinal, word).cast("int"))
 
-    return F.array_distinct(F.transform(F.arrays_zip(*groups), one))
+    return F.array_distinct(F.transform(F.regexp_extract_all(_text(x), F.lit(FLOOR), F.lit(0)), one))
 
 
 def values_of_kind(x, kind) -> Column:
