@@ -11,10 +11,13 @@ from evalloom.functions.text import _c, letters
 
 # States of a key slot, closest first.
 PRIORITY = ["near_spelling", "other_date", "shared_name", "other_party"]
-NAME = r"(?!(?:Does|Did|Do|Is|Was|Were|Has|Have|What|Who|When|Which|How|Where|In|For|The|According|Reply|Manager|Comments)\b)[A-Z][a-zA-Z\-]+(?: (?!(?:Does|Did|Do|Is|Was|Were|Has|Have|What|Who|When|Which|How|Where|In|For|The|According|Reply|Manager|Comments)\b)[A-Z][a-zA-Z\-]+){1,3}"
+# Fixed value: words that begin no name.
+NO_NAME = "Does|Did|Do|Is|Was|Were|Has|Have|What|Who|When|Which|How|Where|In|For|The|According|Reply|Manager|Comments"
+_NAME_WORD = rf"(?!(?:{NO_NAME})\b)[A-Z][a-zA-Z\-]+"
+NAME = rf"{_NAME_WORD}(?: {_NAME_WORD}){{1,3}}"
 DAY = r"\d{4}-\d{2}-\d{2}"
 PERIOD = r"(?:January|February|March|April|May|June|July|August|September|October|November|December) \d{4}"
-#: by document type: patterns tried in order, and what their groups are
+# By document type, patterns tried in order, and what their groups are
 QUESTIONS = {
     "lease_document": [(rf"({NAME})'s? lease with ({NAME}) starting ({DAY})", ["lessee", "lessor", "date"])],
     "field_report": [(rf"({NAME})'s? field report about ({NAME}) on ({DAY})", ["agent", "lessee", "date"]), (rf"did ({NAME}) file about ({NAME}) on ({DAY})", ["agent", "lessee", "date"])],
@@ -25,7 +28,7 @@ QUESTIONS = {
     ],
 }
 SLOTS = {"lease_document": ["lessee", "lessor", "date"], "field_report": ["agent", "lessee", "date"], "hr": ["employee", "period"]}
-#: by document type: what a question asks for, by its first matching pattern: (pattern, value column, presence flag)
+# By document type, what a question asks for, by its first matching pattern: (pattern, value column, presence flag)
 FIELDS = {
     "lease_document": [
         ("pet deposit", "pet_deposit", "has_pet_clause"), ("pets? (?:are )?allowed|what pets", "pet_details", "has_pet_clause"), (r"\bpet", None, "has_pet_clause"),

@@ -86,25 +86,81 @@ def first_runs(rows: DataFrame, run: list[str], order: str, n: int) -> DataFrame
     return rows.join(F.broadcast(first), run, "left_semi")  # n rows
 
 
-def sqlite_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a SQLite file that the driver can open, all columns as text."""
+def sqlite_tables(spark: SparkSession, path: str, partitions: int = 8) -> dict[str, DataFrame]:
+    """The tables of a SQLite file on a file system that driver and executors share, all columns as text, each read by ranges of its rows."""
+    spark.dataSource.register(SqliteSource)
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        found = {}
-        for (name,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'").fetchall():
-            cursor = db.execute(f'SELECT * FROM "{name}"')
-            columns = [c[0] for c in cursor.description]
-            rows = [tuple(None if v is None else str(v) for v in r) for r in cursor]
-            found[name] = spark.createDataFrame(rows, T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return found
+        names = [name for (name,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%'")]
+    return {name: spark.read.format("sqliterows").option("table", name).option("partitions", partitions).load(path) for name in names}
+
+
+class SqliteSource(DataSource):
+    """spark.read.format("sqliterows").option("table", name).load(path): a table's rows, dealt to partitions by ranges of their numbers; a table without row numbers is one partition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqliterows"
+
+    def schema(self) -> T.StructType:
+        with _sqlite(self.options["path"]) as db:
+            columns = [c[0] for c in db.execute(f"SELECT * FROM {_quoted(self.options['table'])} LIMIT 0").description]
+        return T.StructType([T.StructField(c, T.StringType()) for c in columns])
+
+    def reader(self, schema) -> SqliteReader:
+        return SqliteReader(self.options)
+
+
+def _sqlite(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{path.removeprefix('file://')}?mode=ro", uri=True)
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+class SqliteReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.table, self.n = options["path"], _quoted(options["table"]), int(options.get("partitions", "8"))
+
+    def partitions(self) -> list[Entries]:
+        with _sqlite(self.path) as db:
+            try:
+                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
+            except sqlite3.OperationalError:  # without row numbers
+                return [Entries([(None, None)])]
+        if low is None:
+            return [Entries([])]
+        step = max(1, -(-(high - low + 1) // self.n))
+        return [Entries([(k, min(k + step, high + 1))]) for k in range(low, high + 1, step)]
+
+    def read(self, partition: Entries):
+        with _sqlite(self.path) as db:
+            for low, high in partition.rows:
+                rows = db.execute(f"SELECT * FROM {self.table}") if low is None else db.execute(f"SELECT * FROM {self.table} WHERE rowid >= ? AND rowid < ?", (low, high))
+                for row in rows:
+                    yield tuple(None if v is None else str(v) for v in row)
 
 
 def test_set(spark: SparkSession, path: str) -> DataFrame:
-    """A YAML list of test questions that the driver can open; ids L<level>-<type>-T<template>-<n> are taken apart."""
-    import yaml
+    """A YAML list of test questions, or one under `tests`; ids L<level>-<type>-T<template>-<n> are taken apart, and questions cleaned of the instructions that follow them in `prompt`.
+
+    The file is read as text and its items are parsed where Spark puts them, so the driver holds no more than any task.
+    """
+    from evalloom.functions.text import clean_question
+
+    def parsed(frames):
+        import pandas as pd
+        import yaml
+
+        for frame in frames:
+            for text in frame["value"]:
+                found = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)) or []
+                found = found.get("tests", []) if isinstance(found, dict) else found
+                as_text = lambda v: None if v is None else str(v)
+                yield pd.DataFrame([(as_text(r.get("question_id")), as_text(r.get("template") or r.get("question")), as_text(r.get("doc_type")), as_text(r.get("expected_response"))) for r in found], columns=["question_id", "prompt", "doc_type", "expected_response"])
 
-    with open(path, encoding="utf-8") as f:
-        rows = [(str(r.get("question_id")), r.get("question"), r.get("doc_type"), None if r.get("expected_response") is None else str(r["expected_response"])) for r in yaml.safe_load(f) or []]
-    df = spark.createDataFrame(rows, "question_id string, question string, doc_type string, expected_response string")
+    df = spark.read.text(path, wholetext=True).mapInPandas(parsed, "question_id string, prompt string, doc_type string, expected_response string")
+    df = df.withColumn("question", clean_question("prompt"))
     part = lambda g: F.regexp_extract("question_id", r"^(L\d+)-([a-z_]+)-T(\d+)-(\d+)$", g)
     return df.withColumns({"level": part(1), "template_no": part(3).try_cast("int"), "n": part(4).try_cast("int")})
 

@@ -47,6 +47,36 @@ def test_sqlite_and_yaml(spark, tmp_path):
     assert (got.level, got.template_no, got.n, got.expected_response) == ("L11", 2, 7, "5")
 
 
+def test_sqlite_ranges(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "y.db") as db:
+        db.execute('CREATE TABLE "odd ""name""" (a INTEGER PRIMARY KEY, b TEXT)')
+        db.executemany('INSERT INTO "odd ""name""" VALUES (?, ?)', [(k * 3, f"v{k}") for k in range(1000)])
+        db.execute("CREATE TABLE bare (k TEXT PRIMARY KEY, v REAL) WITHOUT ROWID")
+        db.execute("INSERT INTO bare VALUES ('x', 0.5)")
+        db.execute("CREATE TABLE emptied (z TEXT)")
+    got = R.sqlite_tables(spark, str(tmp_path / "y.db"), partitions=7)
+    assert sorted(int(r.a) for r in got['odd "name"'].collect()) == [3 * k for k in range(1000)] and got['odd "name"'].rdd.getNumPartitions() == 7
+    assert got["bare"].collect() == [("x", "0.5")] and got["emptied"].collect() == []
+
+
+def test_yaml_below_tests(spark, tmp_path):
+    (tmp_path / "t.yaml").write_text("tests:\n- {question_id: L11-hr-T2-7, template: 'What is it? Reply with a number.', doc_type: hr}\n")
+    got = R.test_set(spark, str(tmp_path / "t.yaml")).first()
+    assert (got.question, got.prompt, got.expected_response) == ("What is it?", "What is it? Reply with a number.", None)
+
+
+def test_extra_runs_and_settings(spark, tmp_path):
+    columns = [c.split()[0] for c in R.SCORED.split(", ")]
+    values = {"qid": "d1/u0", "answerable": "False", "length_k": "32", "copies": "", "label": "made_up", "captured": "True"}
+    (tmp_path / "scored.csv").write_text(",".join(columns) + "\n" + ",".join(values.get(c, "") for c in columns) + "\n")
+    got = R.scored_extra(spark, str(tmp_path / "scored.csv"), "m_bf16").first()
+    assert (got.exp, got.model, got.run, got.prompt, got.made_up, got.length, got.copies_n, got.doc) == ("exp3", "m_bf16", "t0_s0", "normal", True, 32, 0, "d1")
+    names = spark.createDataFrame([("gold_present_8k",), ("no_gold_random_32k",), ("other_8k",)], "n string")
+    from pyspark.sql import functions as F
+
+    assert [r.s and (r.s.length_k, r.s.gold, r.s.filler, r.s.level) for r in names.select(R.setting_name(F.col("n")).alias("s")).collect()] == [(8, True, "lookalike", "gold"), (32, False, "random", "random"), None]
+
+
 def test_corpus_split(spark):
     text = "intro\n=== LEASE: l1 ===\nbody one\n=== FIELD REPORT: f2 ===\nbody two"
     got = R.split_corpus(spark.createDataFrame([(1, text)], "c int, t string"), "c", "t").orderBy("char_start").collect()
