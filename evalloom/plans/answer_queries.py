@@ -9,16 +9,16 @@ from evalloom.operators import label as L
 from evalloom.operators import reports as R
 from evalloom.plans.registry import query, spread, table
 from evalloom.plans.statistics_queries import DRAW, DRAWS
-from evalloom.plans.text_queries import LABELS, rendered
+from evalloom.plans.text_queries import _NOT_FOUND, LABELS, rendered
 
-HELD = f"SELECT *, CASE WHEN o_orderkey % 4 < 2 AND label = 'made_up' THEN true ELSE false END AS captured, NOT answerable AND o_orderkey % 4 < 2 AND form NOT IN (0, 7, 8) AS mentions FROM ({LABELS})"
+HELD = f"SELECT *, CASE WHEN o_orderkey % 4 < 2 AND label = 'made_up' THEN true ELSE false END AS captured, NOT answerable AND o_orderkey % 4 < 2 AND states AS mentions FROM ({LABELS})"
 
 
 def scored(spark, sf_dir):
     return L.capture_tags(L.label_answers(rendered(spark, sf_dir)))
 
 
-@query(f"SELECT form, avg((label = 'refused')::INT) AS refused, avg((label = 'made_up' AND form = 2)::INT) AS flagged, avg((label = 'made_up' AND form <> 2)::INT) AS silent, count(*) AS n FROM ({LABELS}) WHERE NOT answerable GROUP BY form")
+@query(f"SELECT form, avg((label = 'refused')::INT) AS refused, avg((label = 'made_up' AND hedges)::INT) AS flagged, avg((label = 'made_up' AND NOT hedges)::INT) AS silent, count(*) AS n FROM ({LABELS}) WHERE NOT answerable GROUP BY form")
 def three_way_split(spark, sf_dir):
     return R.three_way(scored(spark, sf_dir).withColumn("flagged", F.col("hedged")), ["form"])
 
@@ -34,10 +34,14 @@ def several_groupings(spark, sf_dir):
     return R.all_cells(rows, {"cells": ["form", "part"], "labels": ["label"], "forms": ["form"]}, {"n": F.count(F.lit(1)), "captured": F.count_if("captured")})
 
 
-@query(f"SELECT 'refused' AS old, 'made_up' AS new, count(*) AS n FROM ({LABELS}) WHERE form = 2 AND NOT answerable")
+_FIRST = f"CASE WHEN answerable THEN CASE WHEN {_NOT_FOUND('c')} THEN 'wrong_refusal' ELSE 'wrong' END ELSE CASE WHEN {_NOT_FOUND('c')} THEN 'refused' ELSE 'made_up' END END"
+
+
+@query(f"SELECT old, label AS new, count(*) AS n FROM (SELECT *, {_FIRST} AS old FROM ({LABELS})) WHERE old <> label GROUP BY 1, 2")
 def label_changes(spark, sf_dir):
-    new = L.label_answers(rendered(spark, sf_dir)).where("not answerable and form = 2").select("o_orderkey", "label")
-    old = rendered(spark, sf_dir).where("not answerable and form = 2")
+    """All replies labelled by the first scoring, which takes every reply to state a wrong value, and by the present one."""
+    new = L.label_answers(rendered(spark, sf_dir)).select("o_orderkey", "label")
+    old = rendered(spark, sf_dir)
     old = old.withColumn("label", R.provisional_label("response", F.col("answerable"), F.lit(True), F.lit(False)))
     return R.label_changes(old, new, "o_orderkey")
 

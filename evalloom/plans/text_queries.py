@@ -96,17 +96,58 @@ def reply_value_extract(spark, sf_dir):
     return rendered(spark, sf_dir).select("o_orderkey", amounts.alias("money"), V.parse_dates("response").alias("dates"), V.parse_floors("response").alias("floors"))
 
 
-LABEL = """CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN form IN (0, 7) THEN 'wrong_refusal' WHEN form = 8 THEN 'other' WHEN form IN (4, 5, 6) THEN 'correct' WHEN o_orderkey % 2 = 0 THEN 'correct' ELSE 'wrong' END
-ELSE CASE WHEN form IN (0, 7) THEN 'refused' WHEN form = 8 THEN 'other' ELSE 'made_up' END END"""
-LABELS = f"SELECT *, {LABEL} AS label, o_orderkey % 3 = 0 AS answerable FROM ({RENDERED})"
+def _rx(pattern: str) -> str:
+    """A fixed pattern in SQL quotes, without the flag that is Java's alone."""
+    return "'" + pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''") + "'"
 
 
-@query(f"SELECT o_orderkey, label, CASE label WHEN 'correct' THEN 'correct' WHEN 'refused' THEN 'correct' WHEN 'made_up' THEN 'made_up' WHEN 'wrong' THEN 'made_up' ELSE 'other' END AS outcome, form = 2 AS hedged FROM ({LABELS})")
+def _moneys(x: str) -> str:
+    return f"list_transform(list_filter(regexp_extract_all({x}, '{_AMOUNT}'), lambda m: NOT regexp_matches(m, '{_YEAR}')), lambda m: concat(regexp_replace(m, '[^0-9.]', '', 'g'), '.0'))"
+
+
+def _days(x: str) -> str:
+    return f"list_concat(list_transform(regexp_extract_all({x}, '{_LONG_DAY}'), lambda d: strftime(strptime(d, '%B %-d, %Y'), '%Y-%m-%d')), regexp_extract_all({x}, '\\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\b'))"
+
+
+def _floors(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, '{_STOREY}'), lambda f: regexp_extract(f, '[0-9]+'))"
+
+
+def _values(x: str) -> str:
+    return f"CASE field WHEN 'money' THEN {_moneys(x)} WHEN 'date' THEN {_days(x)} ELSE {_floors(x)} END"
+
+
+def _abstains(x: str) -> str:
+    return f"regexp_matches(regexp_replace({x}, {_rx(EDGES)}, '', 'g'), {_rx(T.ABSTAIN)})"
+
+
+EDGES = r"""^[ ."'\[\]]+|[ ."'\[\]]+$"""
+_NOT_FOUND = lambda x: f"({_abstains(x)} OR regexp_matches({x}, {_rx(T.REFUSAL)}))"
+_HEDGED = lambda x: f"regexp_matches({x}, {_rx(T.HEDGE)})"
+
+# The replies' parts, by SQL's own reading of the texts
+PARTS = f"""SELECT *, CASE WHEN c = '' THEN '' WHEN marked THEN regexp_replace(trim(string_split_regex(c, {_rx(T.FINAL)})[-1]), '^[ \\[\\]]+|[ \\[\\]]+$', '', 'g') ELSE coalesce(list_filter(s[2:], lambda x: regexp_matches(x, {_rx(T.CONCLUSION)}))[-1], s[1]) END AS part,
+CASE WHEN c = '' THEN 'empty' WHEN marked THEN 'final_line' WHEN len(list_filter(s[2:], lambda x: regexp_matches(x, {_rx(T.CONCLUSION)}))) > 0 THEN 'conclusion' ELSE 'first_sentence' END AS source
+FROM (SELECT *, regexp_matches(c, {_rx(T.FINAL)}) AS marked, list_filter(list_transform(string_split(regexp_replace(c, '([.!?])\\s+([A-Z"''(*])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s
+FROM (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(reply, '(?is)<think>.*?</think>', ' ', 'g'), '\\*\\*|__|`', '', 'g'), '[ \\t]+', ' ', 'g')) AS c FROM ({REPLIES})))"""
+# Their labels, by the rules; what is right follows from the order
+_GOLD = "CASE WHEN form IN (4, 5) THEN strftime(day, '%Y-%m-%d') WHEN form = 6 THEN CAST(level AS VARCHAR) ELSE concat(amount + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 17 END, '.0') END"
+_JUDGED = f"""SELECT *, {_values('part')} AS pv, {_values('c')} AS cv, {_NOT_FOUND('part')} AS refuses, {_HEDGED('part')} AS part_hedged, {_abstains('part')} AS abstains
+FROM (SELECT *, CASE WHEN form IN (4, 5) THEN 'date' WHEN form = 6 THEN 'floor' ELSE 'money' END AS field, {_GOLD} AS gold, o_orderkey % 3 = 0 AS answerable FROM ({PARTS}))"""
+_OTHER = f"list_filter(s, lambda x: len({_values('x')}) > 0 AND NOT ({_NOT_FOUND('x')} AND NOT {_HEDGED('x')}))[1]"
+_SETTLED = f"""SELECT *, CASE WHEN by_part OR other IS NULL THEN part ELSE other END AS src, CASE WHEN by_part THEN pv WHEN other IS NULL THEN [] ELSE {_values('other')} END AS vals
+FROM (SELECT *, CASE WHEN NOT by_part THEN {_OTHER} END AS other FROM (SELECT *, len(pv) > 0 OR refuses AS by_part FROM ({_JUDGED})))"""
+LABELS = f"""SELECT *, CASE WHEN source = 'empty' THEN 'other'
+WHEN answerable THEN CASE WHEN (list_contains(vals, gold) OR list_contains(pv, gold)) AND NOT (refuses AND len(pv) = 0) THEN 'correct' WHEN (refuses AND NOT part_hedged) OR (refuses AND len(vals) = 0) THEN 'wrong_refusal' WHEN len(vals) > 0 THEN 'wrong' ELSE 'other' END
+WHEN refuses AND NOT ({_HEDGED('src')} OR part_hedged) AND len(pv) = 0 THEN 'refused' WHEN len(vals) > 0 THEN 'made_up' WHEN refuses OR abstains THEN 'refused' ELSE 'other' END AS label, {_HEDGED('c')} AS hedges, len(cv) > 0 AS states FROM ({_SETTLED})"""
+
+
+@query(f"SELECT o_orderkey, label, CASE label WHEN 'correct' THEN 'correct' WHEN 'refused' THEN 'correct' WHEN 'made_up' THEN 'made_up' WHEN 'wrong' THEN 'made_up' ELSE 'other' END AS outcome, hedges AS hedged FROM ({LABELS})")
 def reply_label(spark, sf_dir):
     return L.label_answers(rendered(spark, sf_dir)).select("o_orderkey", "label", "outcome", "hedged")
 
 
-@query(f"""SELECT o_orderkey, NOT answerable AND o_orderkey % 4 < 2 AND form NOT IN (0, 7, 8) AS mentions_lookalike, label = 'made_up' AND o_orderkey % 4 < 2 AS captured,
+@query(f"""SELECT o_orderkey, NOT answerable AND o_orderkey % 4 < 2 AND states AS mentions_lookalike, label = 'made_up' AND o_orderkey % 4 < 2 AS captured,
 CASE WHEN label <> 'made_up' THEN '-' WHEN o_orderkey % 4 < 2 THEN 'lookalike' WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 7 > 3 THEN 'other_record' ELSE 'not_in_document' END AS value_source FROM ({LABELS})""")
 def capture_source(spark, sf_dir):
     return L.capture_tags(L.label_answers(rendered(spark, sf_dir)), "document").select("o_orderkey", "mentions_lookalike", "captured", "value_source")
@@ -119,9 +160,9 @@ def condition_table(spark, sf_dir):
     return L.condition_table(scored, ["form"]).select("form", "n_no_answer", "made_up", "refused", "captured", "n_with_answer", "correct", "wrong")
 
 
-@query(f"SELECT o_orderkey, CASE WHEN form IN (3, 5) THEN 'final_line' WHEN form IN (0, 9) THEN 'conclusion' ELSE 'first_sentence' END AS source FROM ({RENDERED})")
+@query(f"SELECT o_orderkey, source, part FROM ({PARTS})")
 def answer_part(spark, sf_dir):
-    return rendered(spark, sf_dir).select("o_orderkey", T.answer_part("response")["source"].alias("source"))
+    return rendered(spark, sf_dir).select("o_orderkey", T.answer_part("response").alias("p")).select("o_orderkey", "p.source", "p.part")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, string_split_regex(regexp_replace(text, '([.!?])\\s+([A-Z"''(*])', '\\1' || chr(1) || '\\2', 'g'), chr(1) || '|\\n+') AS s FROM conversations)
