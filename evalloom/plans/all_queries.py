@@ -4,7 +4,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from evalloom.plans import answer_queries, build_queries, link_queries, report_queries, statistics_queries, study_queries, text_queries  # noqa: F401
+from evalloom.plans import answer_queries, build_queries, link_queries, report_queries, statistics_queries, study_queries, text_queries, unit_queries  # noqa: F401
 from evalloom.plans import registry
 
 #: Columns of floating point numbers, which two engines sum in different orders: both round them to 9 digits, off the ties.
