@@ -164,12 +164,12 @@ class Told:
         b = self.block
         ids, counts, alone = [], [], []
         for r in ordered(answers, 1):
-            number, count = unbundle(r["a"])
-            ids.append(unpack(number, np.uint32))
+            rank, count = unbundle(r["a"])
+            ids.append(2 + unpack(rank, np.uint32).astype(np.uint64) * np.uint64(model.buckets) + np.uint64(r["bucket"]))
             counts.append(unpack(count, np.uint64))
             alone.append(np.unpackbits(np.frombuffer(r["b"], np.uint8))[: len(ids[-1])])
         #: global numbers, counts, and whether no other block has them, of the block's words
-        self.id = np.concatenate([np.array([BEGIN, END], np.uint64), joined(ids, np.uint32).astype(np.uint64)])
+        self.id = np.concatenate([np.array([BEGIN, END], np.uint64), joined(ids, np.uint64)])
         self.count = {1: np.concatenate([np.zeros(2, np.int64), joined(counts, np.uint64).astype(np.int64)])}
         self.alone = {1: np.concatenate([np.zeros(2, bool), joined(alone, np.uint8).astype(bool)])}
         self.count[1][END] = model.texts
@@ -218,7 +218,9 @@ class Told:
             heads = g.history[own[np.append(True, key[a + 1 : z] != key[a : z - 1])]]
             low[heads] = np.unpackbits(np.frombuffer(lows, np.uint8))[: len(heads)].astype(bool)
             wanted = heads[np.unpackbits(np.frombuffer(needed, np.uint8))[: len(heads)].astype(bool)]
-            shares[wanted] = np.frombuffer(zstandard.decompress(numbers), np.float64).reshape(K + 2, -1).T
+            counts, lower = unbundle(numbers)
+            shares[wanted, : K + 1] = unpack(counts, np.uint64).reshape(K + 1, -1).T
+            shares[wanted, K + 1] = unpack(lower, np.float64)
         lone = np.flatnonzero(self.alone[k - 1][g.history])
         shares_of(shares, g.history[lone], g.own[lone], self.p[k - 1][g.suffix[lone]])
         own = self.alone[k - 1]
@@ -288,7 +290,7 @@ def _stats(total: np.ndarray, most: int = 0) -> bytes:
 
 
 def _answer_words(buckets: int):
-    """Numbers a bucket's words, frequent ones first, and adds their counts up."""
+    """Ranks a bucket's words, frequent ones first, and adds their counts up. A word's number is 2 + rank * buckets + bucket."""
 
     def found(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["block"])
@@ -306,12 +308,11 @@ def _answer_words(buckets: int):
         place = np.lexsort((np.arange(len(some)), -total))
         rank = np.empty(len(some), np.int64)
         rank[place] = np.arange(len(some))
-        number = (2 + rank * buckets + bucket).astype(np.uint64)
         out, at = [], 0
         for r, n in zip(rows, map(len, sizes), strict=True):
             w = which[at : at + n]
             at += n
-            out.append((r["block"], 1, bucket, bundle(pack(number[w].astype(np.uint32)), pack(total[w].astype(np.uint64))), np.packbits(alone[w]).tobytes(), None))
+            out.append((r["block"], 1, bucket, bundle(pack(rank[w].astype(np.uint32)), pack(total[w].astype(np.uint64))), np.packbits(alone[w]).tobytes(), None))
         known = place[: int((total > 0).sum())]
         words = zstandard.compress(gathered(data, (end - size)[some[known]], size[some[known]]).tobytes(), 3)
         out.append((None, TABLE + 1, bucket, words, pack(size[some[known]].astype(np.uint32)), pack(total[known].astype(np.uint64))))
@@ -400,7 +401,8 @@ def _answer(k: int, model: Model):
             begins = np.cumsum(followers) - followers
             h = history[e[begins]]
             needed = (np.add.reduceat(total[e] == 0, begins) > 0) & (of_history[h] > 0)
-            numbers = zstandard.compress(np.ascontiguousarray(shares[h[needed]].T).tobytes(), 1)
+            wanted = shares[h[needed]]
+            numbers = bundle(pack(np.ascontiguousarray(wanted[:, : K + 1].T).ravel().astype(np.uint64)), pack(np.ascontiguousarray(wanted[:, K + 1])))
             out.append((r["block"], k, bucket, bundle(pack(total[e].astype(np.uint64)), np.packbits(alone[e]).tobytes(), np.packbits(low[h]).tobytes(), np.packbits(needed).tobytes(), numbers), None, None))
         seen = total > 0
         heads_ = np.flatnonzero(np.append(True, key[seen][1:] != key[seen][:-1])) if seen.any() else np.zeros(0, np.int64)
