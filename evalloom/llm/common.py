@@ -172,10 +172,12 @@ def unaligned(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
 
 
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def _lane(view: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The first min(8, left) bytes at `at`."""
-    over = (8 - np.minimum(left, 8)).astype(np.uint64) * np.uint64(8)
-    return view[at] << over >> over
+    return view[at] & _FIRST[np.minimum(left, 8)]
 
 
 #: Longer words are hashed and compared one by one.
@@ -243,11 +245,15 @@ def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     All pieces are compared with the one that stands for them; pieces that differ have places of their own, though their hashes be equal.
     """
     hashes = word_hashes(data, start, end)
-    place = np.argsort(hashes)  # any one piece stands for its like
-    distinct = hashes[place]
+    # sorted as one number with their places, which takes the hashes' low bits: what these alone would tell apart, the bytes do
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    both = np.sort(hashes & ~low | np.arange(len(hashes), dtype=np.uint64))
+    place = (both & low).astype(np.int64)
+    both &= ~low
     new = np.ones(len(place), bool)
-    new[1:] = distinct[1:] != distinct[:-1]
-    distinct, some, which = distinct[new], place[new], np.empty(len(place), np.int64)
+    new[1:] = both[1:] != both[:-1]
+    some, which = place[new], np.empty(len(place), np.int64)
+    distinct = hashes[some]
     which[place] = np.cumsum(new) - 1
     size = end - start
     one = some[which]
