@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +102,20 @@ def permuted_place(place: Column, n: Column, keys: Column) -> Column:
         return F.when(F.shiftright(mixed, 29).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(at)
 
     return F.aggregate(keys, place, moved)
+
+
+def permutation_keys(perms: int, seed: int = 0) -> np.ndarray:
+    """The keys of permutations 1 to perms, ROUNDS each: what keyed_draws of the seed, the permutation's number and 0, 1, ... gives."""
+    digests = [[hashlib.md5(f"{seed}|{p}|{four}".encode()).hexdigest() for four in range(ROUNDS // 4)] for p in range(1, perms + 1)]
+    return np.array([[int(d[at : at + 8], 16) for d in row for at in range(0, 32, 8)] for row in digests], np.int64).reshape(perms, ROUNDS)
+
+
+def permuted_places(place: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
+    """permuted_place of many places for many permutations at once: a row for each row of keys."""
+    at = np.broadcast_to(place.astype(np.int64), (len(keys), len(place)))
+    for key in keys.T[:, :, None]:
+        mirror = (key - at) % n
+        mixed = ((np.maximum(at, mirror) ^ key) & 0x7FFFFFFF) * MULTIPLIERS[0]
+        mixed = ((mixed >> 16) & 0x7FFFFFFF) * MULTIPLIERS[1]
+        at = np.where(mixed >> 29 & 1, mirror, at)
+    return at

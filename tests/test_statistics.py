@@ -98,6 +98,7 @@ def test_permuted_places(spark):
     got = rows.select("perm", "i", C.permuted_place(F.col("i"), F.lit(n).cast("bigint"), F.col("ks")).alias("to")).toPandas()
     table = got.pivot(index="perm", columns="i", values="to").to_numpy()
     assert (np.sort(table, axis=1) == np.arange(n)).all()
+    assert (table[1:] == C.permuted_places(np.arange(n), n, C.permutation_keys(perms - 1))).all()  # the same in numpy
     taken = (table < m).astype(float)
     assert np.abs(taken.mean(axis=0) - m / n).max() < 0.05
     value = np.arange(n) ** 2.0
