@@ -212,3 +212,30 @@ def test_text_forms(spark):
     got = df.first()
     assert (got.a, got.b, got.c, got.d, got.f) == ("cafe of zurich", "cafe zurich", "The Café,", "café of zürich", "a b")
     assert got.e == sorted({"beb", "bib", "bob", "bub", "bb", "babb"})
+
+
+def _drawn_plainly(groups, columns, draws):
+    import hashlib
+
+    out = {}
+    for key, rows in groups.items():
+        rows = sorted(rows)
+        for draw in range(draws):
+            sums = [0] * columns
+            for slot in range(len(rows)):
+                digest = hashlib.md5(f"0|{draw // 4}|{slot}".encode()).hexdigest()
+                picked = rows[int(digest[draw % 4 * 8 : draw % 4 * 8 + 8], 16) % len(rows)]
+                sums = [s + v for s, v in zip(sums, picked[1:], strict=True)]
+            out[key, draw + 1] = sums
+    return out
+
+
+def test_bootstrap_draws_are_not_rows(spark, monkeypatch):
+    """Clusters dealt to several packs, tasks and slices give the plain draws, and no draw is joined as a row."""
+    for name, value in (("FEW", 10), ("PACKED", 16), ("HELD", 40), ("SLOTS", 7)):
+        monkeypatch.setattr(S, name, value, raising=False)
+    groups = {g: [(u, (u * 7 + len(g)) % 300, u % 5 + 70_000 * (u == 3)) for u in range(n)] for g, n in (("a", 1), ("bb", 23), ("ccc", 50))}
+    counts = spark.createDataFrame([(g, *r) for g, rows in groups.items() for r in rows], "g string, u long, k long, n long")
+    drawn = S.bootstrap_draws(counts, ["g"], "u", 10)
+    assert "Join" not in drawn._jdf.queryExecution().executedPlan().toString()
+    assert {(r.g, r.draw): [r.k, r.n] for r in drawn.collect()} == _drawn_plainly(groups, 2, 10)
