@@ -239,3 +239,13 @@ def test_bootstrap_draws_are_not_rows(spark, monkeypatch):
     drawn = S.bootstrap_draws(counts, ["g"], "u", 10)
     assert "Join" not in drawn._jdf.queryExecution().executedPlan().toString()
     assert {(r.g, r.draw): [r.k, r.n] for r in drawn.collect()} == _drawn_plainly(groups, 2, 10)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_detection_draws_are_not_rows(spark):
+    rows = spark.range(40).selectExpr("id % 2 AS g", "id % 7 AS u", "id % 3 = 0 AS signal", "id % 5 = 0 AS hit", "id % 4 = 0 AS alarm")
+    drawn = studies.detection_draws(rows, ["g"], "u", "signal", "hit", "alarm", 20)
+    assert "posexplode" not in _plan(drawn) and drawn.count() == 2
