@@ -10,7 +10,7 @@ from evalloom.functions import stats as C
 from evalloom.functions import text as T
 from evalloom.functions.folding import folded, folded_words, trimmed
 from evalloom.operators import statistics as S
-from evalloom.operators import studies
+from evalloom.operators import reports, studies
 from evalloom.operators.link import asked_field, closest_years, has_field, parse_question, text_names
 from evalloom.operators.ordered import even_positions, numbered
 from evalloom.operators.retrieve import qualified
@@ -249,3 +249,9 @@ def test_detection_draws_are_not_rows(spark):
     rows = spark.range(40).selectExpr("id % 2 AS g", "id % 7 AS u", "id % 3 = 0 AS signal", "id % 5 = 0 AS hit", "id % 4 = 0 AS alarm")
     drawn = studies.detection_draws(rows, ["g"], "u", "signal", "hit", "alarm", 20)
     assert "posexplode" not in _plan(drawn) and drawn.count() == 2
+
+
+def test_interaction_draws_are_not_rows(spark):
+    rows = spark.range(80).selectExpr("id % 2 AS g", "id % 7 AS u", "id % 5 = 0 AS flag", "cast(floor(id / 2) % 2 AS int) AS a", "cast(floor(id / 4) % 2 AS int) AS b")
+    drawn = reports.interaction(rows, ["g"], "u", "flag", "a", "b", 20)
+    assert "posexplode" not in _plan(drawn) and drawn.count() == 2
