@@ -255,3 +255,9 @@ def test_interaction_draws_are_not_rows(spark):
     rows = spark.range(80).selectExpr("id % 2 AS g", "id % 7 AS u", "id % 5 = 0 AS flag", "cast(floor(id / 2) % 2 AS int) AS a", "cast(floor(id / 4) % 2 AS int) AS b")
     drawn = reports.interaction(rows, ["g"], "u", "flag", "a", "b", 20)
     assert "posexplode" not in _plan(drawn) and drawn.count() == 2
+
+
+def test_macro_draws_are_not_rows(spark):
+    rows = spark.range(40).selectExpr("id % 2 AS g", "id % 7 AS u", "id % 5 = 0 AS flag")
+    drawn = reports.macro_bootstrap(rows, ["g"], "u", "flag", 20)
+    assert "posexplode" not in _plan(drawn) and drawn.count() == 2
