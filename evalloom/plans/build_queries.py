@@ -22,19 +22,19 @@ def specs(spark, sf_dir):
 true AS tiled, 4 AS stated, 0 AS stated_but_absent, true AS budget_counted, 0 AS near_names FROM supplier""")
 def generated_documents(spark, sf_dir):
     """Counts, and what can be read off the texts: whether records tile them, witnesses state their answers and absent keys are absent, whether the tokens are as many as said, and how many invented names are within two edits of another."""
-    documents, records, questions = G.parts(G.build(specs(spark, sf_dir)))
-    texts = documents.select("doc_id", "text", "n_tokens", "n_lookalikes", "within_tolerance")
-    pieces = records.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "rid", "role", "char_start", F.substr("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("piece"))
-    rebuilt = pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_start", "piece"))), lambda x: x["piece"]), G.SEPARATOR).alias("rebuilt"))
-    asked = questions.select("doc_id", "qid", "answerable", "tenant", "gold", F.col("witness_rid").alias("rid"))
-    witnessed = asked.where("answerable").join(pieces, ["doc_id", "rid"]).groupBy("doc_id").agg(F.count_if(F.contains("piece", F.col("gold"))).cast("int").alias("stated"))
-    named = documents.where("ladder = 'name'").select("doc_id", "text").join(asked.where("not answerable"), "doc_id").groupBy("doc_id").agg(F.count_if(F.contains("text", F.col("tenant"))).cast("int").alias("said"))
-    stems = asked.select("doc_id", F.lower(F.split_part("tenant", F.lit(" "), F.lit(1))).alias("stem")).distinct()
-    near = stems.alias("a").join(stems.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.stem") < F.col("b.stem"))).where(F.levenshtein("a.stem", "b.stem", 2) >= 0).groupBy(F.col("a.doc_id").alias("doc_id")).agg(F.count("*").cast("int").alias("near_names"))
-    counted = questions.groupBy("doc_id").agg(F.count("*").cast("int").alias("questions"), F.countDistinct("qid").cast("int").alias("distinct_qids"))
-    out = texts.join(counted, "doc_id").join(rebuilt, "doc_id").join(witnessed, "doc_id", "left").join(named, "doc_id", "left").join(near, "doc_id", "left")
-    tokens = F.regexp_count("text", F.lit(r"[A-Za-z]{1,6}|\d{1,3}|[^\sA-Za-z\d]"))
-    return out.select("doc_id", "questions", "distinct_qids", F.col("n_lookalikes").cast("long").alias("lookalikes"), "within_tolerance", (F.col("rebuilt") == F.col("text")).alias("tiled"), "stated", F.coalesce("said", F.lit(0)).alias("stated_but_absent"), (tokens == F.col("n_tokens")).alias("budget_counted"), F.coalesce("near_names", F.lit(0)).alias("near_names"))
+    text, ladder = F.col("document.text"), F.col("document.ladder")
+    piece = lambda r: F.substr(text, r["char_start"] + 1, r["char_end"] - r["char_start"])
+    placed = F.transform(F.array_sort(F.transform("records", lambda r: F.struct(r["char_start"].alias("char_start"), r["char_end"].alias("char_end")))), piece)
+    stated = F.filter("questions", lambda q: q["answerable"] & F.exists("records", lambda r: (r["rid"] == q["witness_rid"]) & F.contains(piece(r), q["gold"])))
+    said = F.filter("questions", lambda q: (ladder == "name") & ~q["answerable"] & F.contains(text, q["tenant"]))
+    stems = F.array_distinct(F.transform("questions", lambda q: F.lower(F.split_part(q["tenant"], F.lit(" "), F.lit(1)))))
+    near = F.aggregate("stems", F.lit(0), lambda n, a: n + F.size(F.filter("stems", lambda b: (a < b) & (F.levenshtein(a, b, 2) >= 0))))
+    tokens = F.regexp_count(text, F.lit(r"[A-Za-z]{1,6}|\d{1,3}|[^\sA-Za-z\d]"))
+    # each document's tables are read where it was built: nothing is kept, joined or sent
+    return G.build(specs(spark, sf_dir)).withColumn("stems", stems).select(
+        "document.doc_id", F.size("questions").alias("questions"), F.size(F.array_distinct("questions.qid")).alias("distinct_qids"), F.col("document.n_lookalikes").cast("long").alias("lookalikes"), "document.within_tolerance",
+        (F.array_join(placed, G.SEPARATOR) == text).alias("tiled"), F.size(stated).alias("stated"), F.size(said).alias("stated_but_absent"), (tokens == F.col("document.n_tokens")).alias("budget_counted"), near.alias("near_names"),
+    )
 
 
 #: What is done to a document, by s_suppkey // 2 % 10, on the ladder by name and by role, and the rules that it breaks.

@@ -84,3 +84,11 @@ def test_spellings_one_edit_away_are_near_no_other_stem(key):
                 continue
             words = re.findall("[A-Za-z]{4,}", document["text"][r["char_start"] : r["char_end"]])
             assert not [w for w in words if G.shortened(w.lower()) & G.shortened(q["stem"].lower())]
+
+
+def test_generated_documents_are_read_where_they_are_built(spark, sf):
+    """Nothing is kept, joined or broadcast, so the driver holds no texts; and a task holds few documents at once."""
+    from evalloom.plans.build_queries import generated_documents
+
+    plan = generated_documents(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Join|Broadcast|InMemory", plan) and "MapInPandas" in plan
