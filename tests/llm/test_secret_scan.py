@@ -1,7 +1,10 @@
 import hashlib
 import re
 
-from evalloom.llm.secret_scan import masked, scan
+from pyspark.sql import functions as F
+
+from evalloom.llm import secret_scan
+from evalloom.llm.secret_scan import looks_live, masked, ownership, scan
 
 ASSIGN = re.compile(r"""(?a:(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 
@@ -86,3 +89,19 @@ def test_masked_keeps_columns(odd, none):
     assert got.columns == odd.columns and got.count() == odd.count()
     assert scan(none).collect() == [] and masked(none).collect() == []
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_patterns_over_the_corpus_run_once_a_text(spark, monkeypatch):
+    """Spark filters spans below explode; with the patterns in that filter, they ran anew for each match of a text."""
+    held = []
+    monkeypatch.setattr(secret_scan, "ownership", lambda found: held.append(ownership(found)) or held[-1])
+    many = " ".join(f"token=Ab{hashlib.sha1(str(k).encode()).hexdigest()}" for k in range(1000))
+    docs = spark.createDataFrame([(1, many, "s", "en")], "doc_id long, text string, source string, lang string")
+    assert masked(docs, corpus=docs).first().text == " ".join(["token=[SECRET]"] * 1000)
+    assert "regexp" not in held[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_live_values_have_six_characters_at_least(spark):
+    values = ["a1b2c3", "a1b2cc", "a1b2c3" * 50_000, "a1b2c" * 50_000, "1", "é1aßZ漢", "é1aßZé"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", looks_live(F.col("v")).alias("live")).collect()
+    assert [r.live for r in got] == [len(set(r.v)) >= 6 for r in got] == [True, False, True, False, False, True, False]
