@@ -102,3 +102,28 @@ def test_filled_documents_meet_their_budget_where_words_are_long():
     for texts in ([plain, long, plain], [plain, long, long], [plain, "x" * 30, "y" * 30, long]):
         got = G._filled([passage(k, t) for k, t in enumerate(texts)], 100, None, 0.01, random.Random(1))
         assert got[1] in (99, 100, 101) and got[4]
+
+
+def test_filled_documents_cut_candidates_where_they_are_made(spark):
+    """What goes to a shuffle is a document's best candidates, narrow rows, batch by batch; the documents are those of all candidates, whatever the targets and batches."""
+    texts = {str(k): ("" if k == 7 else "word " * (3 + k * 5 % 17)).strip() for k in range(120)}
+    passages = G.costed(spark.createDataFrame([(p, f"T{p}", t) for p, t in texts.items()], "pid string, title string, text string"))
+    asked = [("a", 60, None), ("b", 300, ("Gold", "It stands here.")), ("c", 2000, None), ("none", 50, None)]
+    settings = spark.createDataFrame(asked, "doc_id string, target int, gold struct<title: string, text: string>")
+    ranks = [(d, int(p) * (3 if d == "a" else 7) % 40, p) for d in ("a", "b", "c") for p in texts]  # ranks tie
+    candidates = spark.createDataFrame(ranks, "doc_id string, rank int, pid string").repartition(5).join(passages.select("pid", "cost"), "pid")
+    costs = {r.pid: r.cost for r in passages.collect()}
+    assert costs == {p: G.tokens(f"T{p}\n{t}") for p, t in texts.items()}
+    want = {}
+    for d, target, gold in asked:
+        all_ = [{"title": f"T{p}", "text": texts[p], "cost": costs[p]} for _, _, p in sorted(x for x in ranks if x[0] == d)]
+        before, near = 0, []
+        for p in all_:
+            near += [p] if before <= 2 * target else []
+            before += p["cost"]
+        want[d] = G._filled(near, target, gold and {"title": gold[0], "text": gold[1]}, 0.01, random.Random(f"fill|0|{d}"))
+    assert {r.doc_id: tuple(r)[1:] for r in G.filled_documents(candidates, passages, settings).collect()} == want
+
+    batch = candidates.where("doc_id <> 'c'").select("doc_id", "rank", "pid", "cost").toArrow().combine_chunks().to_batches()[0]
+    (left,) = G._within(40)([batch])
+    assert set(left.column("doc_id").to_pylist()) == {"a", "b"} and left.num_rows < 12 < batch.num_rows
