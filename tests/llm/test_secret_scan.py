@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -105,3 +106,26 @@ def test_live_values_have_six_characters_at_least(spark):
     values = ["a1b2c3", "a1b2cc", "a1b2c3" * 50_000, "a1b2c" * 50_000, "1", "é1aßZ漢", "é1aßZé"]
     got = spark.createDataFrame([(v,) for v in values], "v string").select("v", looks_live(F.col("v")).alias("live")).collect()
     assert [r.live for r in got] == [len(set(r.v)) >= 6 for r in got] == [True, False, True, False, False, True, False]
+
+
+def test_many_values_are_replaced_run_by_run(spark, monkeypatch):
+    """As one after another, longest first: values within values and runs, of shared beginnings, beside one another, beside masks and keys; and thousands in a text."""
+    draw = random.Random(4)
+    new = lambda n: "".join(draw.choice("abcdefGHIJKL0123456789") for _ in range(n))
+    a, b = new(14), new(16)
+    tricky = f"token={a} x{a}y {a}{a} secret={b}{a} {b}{a}{b} password={a[:12]} [SECRET]{a[:12]}{b}[SECRET]\n\x00é{a}😀{a}/ api_key: {b} {a[2:]}{b}"
+    heads = " ".join(f"token=eyJhbGciOiJIUzI1Ni{new(14)}" for _ in range(90)) + " eyJhbGciOiJIUzI1Ni"
+    key = f"token={new(20)} -----BEGIN RSA PRIVATE KEY-----\n{new(40)}\n-----END RSA PRIVATE KEY----- {a}"
+    many = "".join(f"token={new(24)} words\n" for _ in range(4000))
+    rows = [(k, t, "en", "own") for k, t in enumerate([tricky, heads, key, many, f"token={a}", None, "plain", f"{a} "])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    spans = {r.doc_id: [(s["kind"], s["value"]) for s in r.spans if s["verdict"] == "live"] for r in scan(docs).collect()}
+    want = {}
+    for k, t, *_ in rows:
+        for v in sorted({v for _, v in spans[k]}, key=lambda v: (-len(v), v)):
+            t = t.replace(v, "[SECRET]")
+        want[k] = t
+    assert len(spans[0]) >= 3 and len(spans[1]) > secret_scan.MANY and ("pem", key[key.index("-") : -15]) in spans[2] and len(spans[3]) >= 4000
+    assert {r.doc_id: r.text for r in masked(docs).collect()} == want
+    monkeypatch.setattr(secret_scan, "MANY", 0)
+    assert {r.doc_id: r.text for r in masked(docs).collect()} == want
